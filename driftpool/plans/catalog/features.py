@@ -132,7 +132,7 @@ SELECT domain, seq, round((x1 + x3 + x5) / 3, 10) + 0.0 AS mean_score, round((co
        round((sin(x1) + sin(x3) + sin(x5)) / 3, 10) + 0.0 AS sine_score,
        round(least(1.0, sqrt(x1 * x1 + x3 * x3 + x5 * x5)), 10) + 0.0 AS norm_score,
        round(abs(abs(abs(x1) - x3) - x5), 10) + 0.0 AS folded_score,
-       round((x1 + x3 + x2 + x4) / 4, 10) + 0.0 AS composite_score FROM line""")
+       round(least(1.0, (x1 + x3 + x2 + x4) / 4), 10) + 0.0 AS composite_score FROM line""")
 def concept_scores(spark, folder):
     rows = tables.line_rows(spark, folder).withColumn("features", F.array(*tables.FEATURES))
     f, picked = F.col("features"), [0, 2, 4]

@@ -1 +1,297 @@
-""""""
+"""Queries on fits, pool scoring and ensemble weights."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from driftpool.functions import linalg, metrics
+from driftpool.operators import ensemble, gram, score
+from driftpool.plans import config
+from driftpool.plans.catalog import query
+from driftpool.plans.catalog.common import (LINE, POOL, WINDOW, big, first_models, pool_predictions, r,
+                                            wide_predictions)
+from driftpool.session import join_bounded
+from driftpool.sources import tables
+
+POOL_SIZE = 10
+POOL_IDS = [f"m{i}" for i in range(POOL_SIZE)]
+
+SUMS = LINE + """,
+sums AS (
+  SELECT domain, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my,
+         covar_pop(x1, x1) * count(*) AS c11, covar_pop(x1, x2) * count(*) AS c12, covar_pop(x2, x2) * count(*) AS c22,
+         covar_pop(x1, y) * count(*) AS c1, covar_pop(x2, y) * count(*) AS c2,
+         sum(x1 * x1) AS r11, sum(x1 * x2) AS r12, sum(x2 * x2) AS r22, sum(x1 * y) AS r1, sum(x2 * y) AS r2
+  FROM stream GROUP BY domain)"""
+
+
+def _two(models):
+    return models.select("domain", r(F.col("coef")[0]).alias("w1"), r(F.col("coef")[1]).alias("w2"),
+                         r(F.col("intercept")).alias("b"))
+
+
+@query("first_models", f"""WITH {SUMS.replace('FROM stream GROUP BY', f'FROM stream WHERE seq <= {WINDOW} GROUP BY')}, w AS (
+  SELECT domain, (c1 * c22 - c2 * c12) / (c11 * c22 - c12 * c12) AS w1,
+         (c2 * c11 - c1 * c12) / (c11 * c22 - c12 * c12) AS w2, m1, m2, my FROM sums)
+SELECT domain, round(w1, 6) + 0.0 AS w1, round(w2, 6) + 0.0 AS w2, round(my - w1 * m1 - w2 * m2, 6) + 0.0 AS b FROM w""")
+def first_models_(spark, folder):
+    return _two(first_models(tables.line_stream(spark, folder)))
+
+
+@query("ridge_models", f"""WITH {SUMS}, w AS (
+  SELECT domain, (c1 * (c22 + 1) - c2 * c12) / ((c11 + 1) * (c22 + 1) - c12 * c12) AS w1,
+         (c2 * (c11 + 1) - c1 * c12) / ((c11 + 1) * (c22 + 1) - c12 * c12) AS w2, m1, m2, my FROM sums)
+SELECT domain, round(w1, 6) + 0.0 AS w1, round(w2, 6) + 0.0 AS w2, round(my - w1 * m1 - w2 * m2, 6) + 0.0 AS b FROM w""")
+def ridge_models(spark, folder):
+    return _two(gram.fit(tables.line_stream(spark, folder), ["domain"], ["x1", "x2"], "y", "ridge", alpha=1.0))
+
+
+@query("kernel_ridge_models", f"""WITH {SUMS}
+SELECT domain, round((r1 * (r22 + 3) - r2 * r12) / ((r11 + 3) * (r22 + 3) - r12 * r12), 6) + 0.0 AS w1,
+       round((r2 * (r11 + 3) - r1 * r12) / ((r11 + 3) * (r22 + 3) - r12 * r12), 6) + 0.0 AS w2, 0.0::DOUBLE AS b FROM sums""")
+def kernel_ridge_models(spark, folder):
+    return _two(gram.fit(tables.line_stream(spark, folder), ["domain"], ["x1", "x2"], "y", "kernel_ridge", alpha=3.0))
+
+
+@query("elastic_models", f"""WITH {SUMS}, w AS (
+  SELECT domain, n, m1, my, sqrt(c11) AS s, c1 / sqrt(c11) / n AS pull FROM sums)
+SELECT domain, round(sign(pull) * greatest(abs(pull) - 0.001 * 0.7, 0) / (1.0 / n + 0.001 * 0.3) / s, 6) + 0.0 AS w1,
+  round(my - m1 * (sign(pull) * greatest(abs(pull) - 0.001 * 0.7, 0) / (1.0 / n + 0.001 * 0.3) / s), 6) + 0.0 AS b FROM w""")
+def elastic_models(spark, folder):
+    models = gram.fit(tables.line_stream(spark, folder), ["domain"], ["x1"], "y", "elastic", alpha=0.001, l1=0.7)
+    return models.select("domain", r(F.col("coef")[0]).alias("w1"), r(F.col("intercept")).alias("b"))
+
+
+@query("supplier_models", f"""WITH {POOL}
+SELECT model_id, round(w, 6) + 0.0 AS w, round(b, 6) + 0.0 AS b, used_for FROM pool""")
+def supplier_models(spark, folder):
+    """The pool of one-feature models, solved from moments."""
+    rows = tables.line_stream(spark, folder).withColumn(
+        "model_id", F.concat(F.lit("m"), (F.col("l_suppkey") % 10).cast("string")))
+    models = gram.fit(rows, ["model_id"], ["x1"], "y")
+    return models.select("model_id", r(F.col("coef")[0]).alias("w"), r(F.col("intercept")).alias("b"),
+                         F.col("n").alias("used_for"))
+
+
+def _constants():
+    source = np.random.default_rng(7)
+    w = source.normal(0.0, np.sqrt(2.0 * 0.5), (3, 2))
+    return w, source.uniform(0.0, 2.0 * np.pi, 3)
+
+
+def _sql_fourier():
+    w, b = _constants()
+    return ", ".join(f"round(cos({float(b[i])!r} + x1 * {float(w[i, 0])!r} + x4 * {float(w[i, 1])!r}) * sqrt(2.0 / 3), 6) + 0.0 AS f{i}"
+                     for i in range(3))
+
+
+@query("fourier_features", f"WITH {LINE} SELECT domain, seq, {_sql_fourier()} FROM line")
+def fourier_features(spark, folder):
+    columns = gram.fourier([F.col("x1"), F.col("x4")], 3, 0.5, 7)
+    return tables.line_rows(spark, folder).select(
+        "domain", big(F.col("seq")).alias("seq"), *[r(c).alias(f"f{i}") for i, c in enumerate(columns)])
+
+
+@query("fourier_ridge_models")
+def fourier_ridge_models(spark, folder):
+    rows = tables.line_stream(spark, folder)
+    names = [f"f{i}" for i in range(16)]
+    columns = gram.fourier([F.col(c) for c in tables.FEATURES], 16, 0.5, 11)
+    projected = rows.select("domain", "y", *[c.alias(n) for c, n in zip(columns, names)])
+    return gram.fit(projected, ["domain"], names, "y", "ridge", alpha=0.2)
+
+
+@query("insensitive_models")
+def insensitive_models(spark, folder):
+    """Epsilon-insensitive fit of every full window of every stream: groups of at most one window."""
+    rows = tables.as_stream(tables.line_stream(spark, folder))
+    windows = rows.withColumn("block", F.floor((F.col("seq") - 1) / config.WINDOW))
+    return window_fits(windows, ["domain", "block"], "insensitive")
+
+
+def window_fits(rows, keys, learner):
+    def one(pdf):
+        x = np.stack(pdf["features"].to_numpy())
+        w, b = linalg.LEARNERS[learner](x, pdf["y"].to_numpy())
+        out = pdf[keys].head(1).copy()
+        out["n"], out["coef"], out["intercept"] = len(pdf), [[float(v) for v in w]], float(b)
+        return out
+    types = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(one, f"{types}, n bigint, coef array<double>, intercept double")
+
+
+@query("tree_accuracy")
+def tree_accuracy(spark, folder):
+    """One regression tree over all streams, the stream as a feature; accuracy by stream."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    rows = tables.line_stream(spark, folder).select("domain", *tables.FEATURES, "y")
+    indexed = StringIndexer(inputCol="domain", outputCol="place").fit(rows).transform(rows)
+    ready = VectorAssembler(inputCols=["place"] + tables.FEATURES, outputCol="features").transform(indexed)
+    tree = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=10, seed=1).fit(ready)
+    return tree.transform(ready).groupBy("domain").agg(
+        F.count("*").alias("n"), r(metrics.r2("y", "prediction"), 4).alias("r2"))
+
+
+SCORES = POOL + """,
+scores AS (
+  SELECT domain, model_id, count(*) AS n, avg((y - p) * (y - p)) AS mse,
+         1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2
+  FROM pairs GROUP BY domain, model_id)"""
+
+
+def _scores(spark, folder):
+    return ensemble.scores(pool_predictions(spark, folder), ["domain"])
+
+
+@query("pool_scores", f"""WITH {SCORES}
+SELECT domain, model_id, n, round(r2, 6) + 0.0 AS r2, round(mse, 6) AS mse FROM scores""")
+def pool_scores(spark, folder):
+    return _scores(spark, folder).select("domain", "model_id", "n", r(F.col("r2")).alias("r2"), r(F.col("mse")).alias("mse"))
+
+
+@query("mean_of_pool", f"""WITH {POOL}
+SELECT domain, seq, round(avg(p), 6) + 0.0 AS p, count(*) AS models FROM pairs GROUP BY domain, seq""")
+def mean_of_pool(spark, folder):
+    wide = wide_predictions(spark, folder)
+    equal = F.transform("preds", lambda _: F.lit(1.0))
+    return wide.select("domain", big(F.col("seq")).alias("seq"), r(score.normalised(F.col("preds"), equal)).alias("p"),
+                       F.size("preds").cast("bigint").alias("models"))
+
+
+def _weighted(name, sql, weigh):
+    @query(name, sql)
+    def run(spark, folder):
+        return weigh(_scores(spark, folder)).select("domain", "model_id", r(F.col("weight"), 6).alias("weight"))
+    return run
+
+
+_weighted("r2_weights", f"""WITH {SCORES}
+SELECT domain, model_id, round(greatest(r2, 1e-14) / sum(greatest(r2, 1e-14)) OVER (PARTITION BY domain), 6) + 0.0 AS weight FROM scores""",
+          lambda s: ensemble.r2_weights(s, ["domain"]))
+_weighted("mse_weights", f"""WITH {SCORES}
+SELECT domain, model_id, round(1 / mse / sum(1 / mse) OVER (PARTITION BY domain), 6) + 0.0 AS weight FROM scores""",
+          lambda s: ensemble.mse_weights(s, ["domain"]))
+_weighted("accuracy_weights", f"""WITH {SCORES}
+SELECT domain, model_id, round(1 - mse / sum(mse) OVER (PARTITION BY domain), 6) + 0.0 AS weight FROM scores WHERE r2 > 0""",
+          lambda s: ensemble.accuracy_weights(s, ["domain"]))
+_weighted("equal_weights", f"""WITH {SCORES}
+SELECT domain, model_id, round(1.0 / count(*) OVER (PARTITION BY domain), 6) AS weight FROM scores""",
+          lambda s: ensemble.equal_weights(s, ["domain"]))
+
+
+@query("perf_cull", f"""WITH {SCORES}, k AS (
+  SELECT *, row_number() OVER (PARTITION BY domain ORDER BY r2 DESC, model_id) AS place,
+         count(*) FILTER (WHERE r2 > 0.001) OVER (PARTITION BY domain) AS passed FROM scores)
+SELECT domain, model_id, round(r2, 6) + 0.0 AS r2 FROM k WHERE r2 > 0.001 OR (passed = 0 AND place <= 3)""")
+def perf_cull(spark, folder):
+    kept = ensemble.perf_cull(_scores(spark, folder), ["domain"], 0.001)
+    return kept.select("domain", "model_id", r(F.col("r2")).alias("r2"))
+
+
+@query("decayed_weights", f"""WITH {POOL}, b AS (
+  SELECT domain, model_id, (seq - 1) // 1000 AS block, sum(abs(p - y)) AS e FROM pairs GROUP BY 1, 2, 3)
+SELECT domain, model_id, block, round(ln(power(0.8::DOUBLE, sum(e) OVER (PARTITION BY domain, model_id ORDER BY block))), 5) AS log_weight
+FROM b WHERE block < 3""")
+def decayed_weights(spark, folder):
+    out = ensemble.decayed_weights(pool_predictions(spark, folder), ["domain"], 1000)
+    return out.filter("block < 3").select("domain", "model_id", big(F.col("block")).alias("block"), r(F.log("weight"), 5).alias("log_weight"))
+
+
+@query("joining_weights", f"""WITH {POOL}
+SELECT domain, seq, round(0.1 * sum(0.1 * abs(p - y)), 8) + 0.0 AS weight FROM pairs GROUP BY domain, seq""")
+def joining_weights(spark, folder):
+    pairs = pool_predictions(spark, folder)
+    pool = spark.createDataFrame([(m, 0.1) for m in POOL_IDS], "model_id string, weight double")
+    loss = ensemble.joining_weight(pairs, pool, ["domain", "seq"])
+    return loss.select("domain", big(F.col("seq")).alias("seq"), r(F.col("weight"), 8).alias("weight"))
+
+
+@query("stacked_models", f"""WITH {SUMS}
+SELECT domain, round((c1 * c22 - c2 * c12) / (c11 * c22 - c12 * c12), 6) + 0.0 AS w1,
+       round((c2 * c11 - c1 * c12) / (c11 * c22 - c12 * c12), 6) + 0.0 AS w2,
+       round(my - (c1 * c22 - c2 * c12) / (c11 * c22 - c12 * c12) * m1 - (c2 * c11 - c1 * c12) / (c11 * c22 - c12 * c12) * m2, 6) + 0.0 AS b
+FROM sums""")
+def stacked_models(spark, folder):
+    """Least squares over two base predictions (each passes one feature through)."""
+    wide = tables.line_stream(spark, folder).select("domain", "y", F.array("x1", "x2").alias("preds"))
+    stats = ensemble.prediction_moments(wide, ["domain"], 2)
+    w = ensemble.weights(stats, ["domain"], "ols")
+    return w.select("domain", r(F.col("weights")[0]).alias("w1"), r(F.col("weights")[1]).alias("w2"), r(F.col("intercept")).alias("b"))
+
+
+@query("stacked_pool", f"""WITH {LINE}, f AS (
+  SELECT domain, regr_slope(y, x1) AS w, regr_intercept(y, x1) AS b FROM stream GROUP BY domain)
+SELECT s.domain, seq, round(f.w * x1 + f.b, 5) + 0.0 AS p FROM stream s JOIN f ON s.domain = f.domain""")
+def stacked_pool(spark, folder):
+    """Ten collinear base models: the minimum-norm fit predicts what one regression predicts."""
+    wide = wide_predictions(spark, folder)
+    stats = ensemble.prediction_moments(wide, ["domain"], POOL_SIZE)
+    w = ensemble.weights(stats, ["domain"], "ols")
+    rows = join_bounded(wide, w, ["domain"])
+    return rows.select("domain", big(F.col("seq")).alias("seq"),
+                       r(score.combined(F.col("preds"), F.col("weights"), F.col("intercept")), 5).alias("p"))
+
+
+@query("weighted_pool_accuracy", f"""WITH {SCORES}, e AS (
+  SELECT p.domain, p.seq, any_value(p.y) AS y, sum(p.p * greatest(s.r2, 1e-14)) / sum(greatest(s.r2, 1e-14)) AS p
+  FROM pairs p JOIN scores s ON s.domain = p.domain AND s.model_id = p.model_id GROUP BY p.domain, p.seq)
+SELECT domain, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2,
+       round(avg(abs(y - p)), 6) AS mae FROM e GROUP BY domain""")
+def weighted_pool_accuracy(spark, folder):
+    wide = wide_predictions(spark, folder)
+    w = ensemble.weights(ensemble.prediction_moments(wide, ["domain"], POOL_SIZE), ["domain"], "r2")
+    rows = join_bounded(wide, w, ["domain"]).withColumn("p", score.normalised(F.col("preds"), F.col("weights")))
+    return rows.groupBy("domain").agg(r(metrics.r2("y", "p")).alias("r2"), r(metrics.mae("y", "p")).alias("mae"))
+
+
+def three_feature_pool(spark, folder):
+    """Predictions of ten three-feature models, fitted per group of suppliers."""
+    stream = tables.line_stream(spark, folder)
+    xs = ["x1", "x2", "x4"]
+    named = stream.withColumn("model_id", F.concat(F.lit("m"), (F.col("l_suppkey") % 10).cast("string")))
+    models = gram.fit(named, ["model_id"], xs, "y").drop("n").withColumn("pool_id", F.lit(0))
+    rows = stream.select("domain", "seq", "y", F.array(*xs).alias("features"), F.lit(0).alias("pool_id"))
+    return score.score_wide(rows, models, ["pool_id"]).drop("pool_id", "features")
+
+
+@query("ensemble_weights")
+def ensemble_weights(spark, folder):
+    """Weights of every method that needs only accuracies and predictions, from one pass."""
+    from driftpool.session import staged
+    stats = staged(ensemble.prediction_moments(three_feature_pool(spark, folder), ["domain"], POOL_SIZE))
+    kinds = ["ols", "non_negative", "r2", "mse", "ols_perf", "ols_near", "ols_clusters", "accuracy_weighted", "equal"]
+    out = None
+    for kind in kinds:
+        part = ensemble.weights(stats, ["domain"], kind, target=0).withColumn("ensemble", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("angle_weights")
+def angle_weights(spark, folder):
+    """Weights of the methods that compare models by their principal directions."""
+    from driftpool.operators import similar
+    stream = tables.line_stream(spark, folder)
+    named = stream.withColumn("model_id", F.concat(F.lit("m"), (F.col("l_suppkey") % 10).cast("string")))
+    pcs = gram.components(named, ["model_id"], ["x1", "x2", "x4"], "y", 0.3).withColumn("pool_id", F.lit(0))
+    bases = similar.packed(pcs, ["pool_id"], "pcs")
+    stats = ensemble.prediction_moments(three_feature_pool(spark, folder), ["domain"], POOL_SIZE)
+    both = join_bounded(stats.withColumn("pool_id", F.lit(0)), bases, ["pool_id"])
+    out = None
+    for kind in ("ols_angles", "ols_near_angles", "ols_cluster_angles"):
+        part = ensemble.weights(both, ["domain"], kind, target=0, pcs="pcs", angle=0.9).withColumn("ensemble", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("information_weights")
+def information_weights(spark, folder):
+    """Least squares after culling models that share too much information."""
+    from driftpool.operators import similar
+    wide = three_feature_pool(spark, folder)
+    shared = similar.shared_information(wide, ["domain"], POOL_IDS, 16)
+    whole = shared.unionByName(shared.select("domain", F.col("i"), F.col("i").alias("j"), F.lit(1.0).alias("shared")).distinct())
+    matrix = whole.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("i", "j", "shared"))).alias("_m")).select(
+        "domain", F.col("_m.shared").alias("mi"))
+    stats = ensemble.prediction_moments(wide, ["domain"], POOL_SIZE).join(matrix, "domain")
+    return ensemble.weights(stats, ["domain"], "ols_information", target=0, mi="mi", mi_cull=0.5)
