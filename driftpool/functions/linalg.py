@@ -56,9 +56,12 @@ def ols(m: Moments):
     return w, m.mean_y - m.mean_x @ w
 
 
-def ridge(m: Moments, alpha: float):
+def ridge(m: Moments, alpha: float, unit_columns: bool = False):
+    """Ridge with intercept; ``unit_columns`` scales centred columns to length 1 first."""
     a, b = m.centred()
-    w = np.linalg.solve(a + alpha * np.eye(len(b)), b)
+    scale = np.sqrt(np.diag(a).clip(min=0.0)) if unit_columns else np.ones(len(b))
+    scale[scale < 1e-12] = 1.0
+    w = np.linalg.solve(a / np.outer(scale, scale) + alpha * np.eye(len(b)), b / scale) / scale
     return w, m.mean_y - m.mean_x @ w
 
 
@@ -209,39 +212,48 @@ def local_affinity(d: np.ndarray, k: int) -> np.ndarray:
     return np.exp(-d * d / (left * right))
 
 
-def _alignment(z: np.ndarray) -> float:
-    top = np.abs(z).max(axis=1, keepdims=True)
-    return float(((z / np.maximum(top, 1e-12)) ** 2).sum())
+def _aligned(z: np.ndarray, sweeps: int = 6):
+    """Rotate columns in their planes until each row points along one column.
+
+    Rotations keep the length of a row, so the cost only depends on the largest
+    entry per row; all angles of a grid are tried at once.
+    """
+    z = z.copy()
+    square = (z ** 2).sum(axis=1)
+    grid = np.linspace(-1.0, 1.0, 33)
 
+    def cost_of(top):
+        return (square[:, None] / np.maximum(top, 1e-12) ** 2).sum(axis=0)
 
-def _aligned(x: np.ndarray, sweeps: int = 8):
-    """Rotate columns in their planes until each row points along one column."""
-    z, cost = x.copy(), _alignment(x)
-    grid = np.linspace(-np.pi / 4, np.pi / 4, 33)
+    cost = float(cost_of(np.abs(z).max(axis=1)[:, None])[0])
     for _ in range(sweeps):
         before = cost
         for i in range(z.shape[1]):
             for j in range(i + 1, z.shape[1]):
+                rest = np.delete(np.abs(z), (i, j), axis=1)
+                rest = rest.max(axis=1)[:, None] if rest.shape[1] else np.zeros((len(z), 1))
+                a, b = z[:, i:i + 1], z[:, j:j + 1]
                 centre, width = 0.0, np.pi / 4
-                for _ in range(3):
-                    best = None
-                    for angle in centre + grid * (width / (np.pi / 4)):
-                        c, s = np.cos(angle), np.sin(angle)
-                        trial = z.copy()
-                        trial[:, i], trial[:, j] = c * z[:, i] - s * z[:, j], s * z[:, i] + c * z[:, j]
-                        value = _alignment(trial)
-                        if best is None or value < best[0] - 1e-12:
-                            best = (value, angle, trial)
-                    centre, width = best[1], width / 16
-                if best[0] < cost - 1e-12:
-                    cost, z = best[0], best[2]
-        if before - cost < 1e-9:
+                for _ in range(2):
+                    angles = centre + grid * width
+                    c, s = np.cos(angles), np.sin(angles)
+                    costs = cost_of(np.maximum(rest, np.maximum(np.abs(c * a - s * b), np.abs(s * a + c * b))))
+                    best = int(np.argmin(costs))
+                    centre, width = angles[best], width / 16
+                if costs[best] < cost - 1e-12:
+                    c, s = np.cos(centre), np.sin(centre)
+                    z[:, [i, j]] = np.column_stack([c * a - s * b, s * a + c * b])
+                    cost = float(costs[best])
+        if before - cost < 1e-6:
             break
     return cost, z
 
 
 def self_tuned_clusters(affinity: np.ndarray, most: int = 10) -> np.ndarray:
-    """Cluster number per model: spectral embedding, 2..most clusters, least alignment cost."""
+    """Cluster number per model: spectral embedding, 2..most clusters, least alignment cost.
+
+    Each further cluster adds one eigenvector to the columns aligned so far.
+    """
     n = len(affinity)
     if n < 2:
         return np.zeros(n, dtype=int)
@@ -249,44 +261,37 @@ def self_tuned_clusters(affinity: np.ndarray, most: int = 10) -> np.ndarray:
     degree = np.sqrt(np.maximum(a.sum(axis=0), 1e-300))
     values, vectors = np.linalg.eigh(a / np.outer(degree, degree))
     top = min(max(int((values > 0).sum()), 2), most, n)
-    best = None
+    best, z = None, vectors[:, -1:]
     for c in range(2, top + 1):
-        cost, z = _aligned(vectors[:, -c:])
+        cost, z = _aligned(np.column_stack([vectors[:, -c], z]))
         if best is None or cost < best[0] - 1e-9:
             best = (cost, z)
     return np.argmax(np.abs(best[1]), axis=1)
 
 
-def binned_information(a: np.ndarray, b: np.ndarray, bins: int) -> float:
-    """MI(a,b) / MI(b,b) over equal-width bins; a constant b gives 0."""
-    def place(v):
-        low, high = v.min(), v.max()
-        if low == high:
-            return np.zeros(len(v), dtype=int)
-        return np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
-
-    def info(i, j):
-        joint = np.zeros((bins, bins))
-        np.add.at(joint, (i, j), 1.0 / len(i))
-        pi, pj = joint.sum(axis=1, keepdims=True), joint.sum(axis=0, keepdims=True)
-        seen = joint > 0
-        return float((joint[seen] * np.log(joint[seen] / (pi @ pj)[seen])).sum())
-
-    i, j = place(a), place(b)
-    own = info(j, j)
-    return info(i, j) / own if own > 0 else 0.0
-
-
-def _ridge_rows(X, y, alpha=1.0):
-    return ridge(Moments.of_rows(X, y), alpha)
+def information_matrix(base: np.ndarray, bins: int) -> np.ndarray:
+    """MI(a,b) / MI(b,b) of all pairs of columns over equal-width bins; a constant b gives 0."""
+    n, m = base.shape
+    low, high = base.min(axis=0), base.max(axis=0)
+    span = np.where(high > low, high - low, 1.0)
+    place = np.minimum(((base - low) / span * bins).astype(int), bins - 1)
+    member = np.zeros((n, m * bins))
+    member[np.arange(n)[:, None], place + np.arange(m) * bins] = 1.0
+    joint = (member.T @ member / n).reshape(m, bins, m, bins)
+    share = member.mean(axis=0).reshape(m, bins)
+    outer = share[:, :, None, None] * share[None, None, :, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        info = np.where(joint > 0, joint * np.log(joint / outer), 0.0).sum(axis=(1, 3))
+    own = np.diag(info)
+    return np.where(own > 1e-15, info / np.where(own > 1e-15, own, 1.0), 0.0)
 
 
 # Learner settings by name and workload.
 LEARNERS = {
     "ols": lambda X, y: ols(Moments.of_rows(X, y)),
-    "ridge": lambda X, y: _ridge_rows(X, y, 1.0),
+    "ridge": lambda X, y: ridge(Moments.of_rows(X, y), 1.0),
     "ridge_following": lambda X, y: kernel_ridge(Moments.of_rows(X, y), 3.0),
-    "ridge_heating": lambda X, y: _ridge_rows(X, y, 0.2),
+    "ridge_heating": lambda X, y: ridge(Moments.of_rows(X, y), 0.2, unit_columns=True),
     "elastic": lambda X, y: elastic(Moments.of_rows(X, y), 0.01, 0.5, True),
     "elastic_following": lambda X, y: elastic(Moments.of_rows(X, y), 0.001, 0.7, False),
     "elastic_heating": lambda X, y: elastic(Moments.of_rows(X, y), 0.001, 0.8, True),

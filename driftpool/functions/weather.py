@@ -132,6 +132,6 @@ def concept_by_schedule(seq: Column, lengths: list[int], concepts: list[int]) ->
     for n in lengths:
         total += n
         ends.append(total)
-    passed = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < seq))
+    passed = F.size(F.filter(F.array(*[F.lit(e).cast("bigint") for e in ends]), lambda e: e < seq))
     names = F.create_map(*chain.from_iterable((F.lit(i), F.lit(c)) for i, c in enumerate(concepts)))
     return names[passed]

@@ -104,9 +104,19 @@ def best_of_clusters(names: np.ndarray, r2: np.ndarray, target: int | None) -> n
 
 def weigh(kind: str, m: linalg.Moments, target: int | None, d: np.ndarray | None = None,
           mi: np.ndarray | None = None, perf_cull: float = config.PERF_CULL,
-          mi_cull: float = config.MI_CULL, angle: float = config.ANGLE_CULL):
-    """Weights and intercept of one pool; ``target`` is the position of the own model, if any."""
+          mi_cull: float = config.MI_CULL, angle: float = config.ANGLE_CULL, found: dict | None = None):
+    """Weights and intercept of one pool; ``target`` is the position of the own model, if any.
+
+    ``found`` keeps what depends on the pool alone for the next call.
+    """
     r2, mse = accuracies(m)
+    found = {} if found is None else found
+
+    def once(name, value):
+        if name not in found:
+            found[name] = value()
+        return found[name]
+
     every = np.ones(len(r2), dtype=bool)
 
     def culled():
@@ -132,17 +142,17 @@ def weigh(kind: str, m: linalg.Moments, target: int | None, d: np.ndarray | None
         kept = information_cull(culled(), r2, mi, mi_cull, target)
         return stacked(m, kept)
     if kind == "ols_angles":
-        kept = angle_cull(d, angle)
+        kept = once("kept", lambda: angle_cull(d, angle)).copy()
         if target is not None:
             kept[target] = True
         kept &= culled()
         return stacked(m, kept if kept.any() else culled())
     if kind in ("ols_near", "ols_near_angles"):
-        names = clusters(prediction_distances(m) if kind == "ols_near" else d)
+        names = once("clusters", lambda: clusters(prediction_distances(m) if kind == "ols_near" else d))
         own = names[target] if target is not None else names[0]
         return stacked(m, names == own)
     if kind in ("ols_clusters", "ols_cluster_angles"):
-        names = clusters(prediction_distances(m) if kind == "ols_clusters" else d)
+        names = once("clusters", lambda: clusters(prediction_distances(m) if kind == "ols_clusters" else d))
         return stacked(m, best_of_clusters(names, r2, target))
     if kind == "accuracy_weighted":
         kept = r2 > 0
@@ -243,12 +253,17 @@ def accuracy_weights(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def decayed_weights(pairs: DataFrame, keys: list[str], block: int, start: float = 1.0) -> DataFrame:
-    """Weights after each block of rows when every error decays a model: ``start * decay^(sum of errors)``."""
+    """Weights after each block of rows when every error decays a model: ``start * decay^(sum of errors)``.
+
+    ``log_weight`` stays exact where the weight itself underflows to 0.
+    """
     blocks = (pairs.withColumn("block", F.floor((F.col("seq") - 1) / block))
               .groupBy(*keys, "model_id", "block").agg(F.sum(F.abs(F.col("p") - F.col("y"))).alias("_e")))
     so_far = F.sum("_e").over(Window.partitionBy(*keys, "model_id").orderBy("block")
                               .rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.select(*keys, "model_id", "block", (start * F.pow(F.lit(config.DECAY), so_far)).alias("weight"))
+    log_weight = float(np.log(start)) + float(np.log(config.DECAY)) * so_far
+    return (blocks.withColumn("log_weight", log_weight)
+            .select(*keys, "model_id", "block", "log_weight", F.exp("log_weight").alias("weight")))
 
 
 def joining_weight(pairs: DataFrame, weighted: DataFrame, keys: list[str]) -> DataFrame:

@@ -239,7 +239,7 @@ class StreamLoop:
     def _temporary(self, X, y) -> None:
         """Use a model of a half-full window until the window is full."""
         self._close()
-        self.current, self.temporary, self.publish_at = f"temp{self.memory.own}", True, None
+        self.current, self.temporary, self.publish_at = f"temp{self.seen}", True, None
         self.model = self._fit(X, y)
         self._emit("temporary", self.seen, self.current, self.model)
 

@@ -143,10 +143,10 @@ def concept_scores(spark, folder):
 
 @query("concept_schedule", f"""WITH {LINE}
 SELECT domain, seq, CAST(CASE WHEN seq <= 300 THEN 2 WHEN seq <= 1000 THEN 0 WHEN seq <= 1250 THEN 1
-  WHEN seq <= 5000 THEN 3 END AS INTEGER) AS concept FROM line WHERE seq <= 5000""")
+  ELSE 3 END AS INTEGER) AS concept FROM line""")
 def concept_schedule(spark, folder):
-    concept = weather.concept_by_schedule(F.col("seq"), [300, 700, 250, 3750], [2, 0, 1, 3])
-    rows = tables.line_rows(spark, folder).withColumn("concept", concept).filter("concept is not null")
+    concept = weather.concept_by_schedule(F.col("seq"), [300, 700, 250, 1 << 40], [2, 0, 1, 3])
+    rows = tables.line_rows(spark, folder).withColumn("concept", concept)
     return rows.select("domain", big(F.col("seq")).alias("seq"), "concept")
 
 

@@ -190,11 +190,11 @@ def perf_cull(spark, folder):
 
 @query("decayed_weights", f"""WITH {POOL}, b AS (
   SELECT domain, model_id, (seq - 1) // 1000 AS block, sum(abs(p - y)) AS e FROM pairs GROUP BY 1, 2, 3)
-SELECT domain, model_id, block, round(ln(power(0.8::DOUBLE, sum(e) OVER (PARTITION BY domain, model_id ORDER BY block))), 5) AS log_weight
-FROM b WHERE block < 3""")
+SELECT domain, model_id, block, round(ln(0.8::DOUBLE) * sum(e) OVER (PARTITION BY domain, model_id ORDER BY block), 4) AS log_weight
+FROM b""")
 def decayed_weights(spark, folder):
     out = ensemble.decayed_weights(pool_predictions(spark, folder), ["domain"], 1000)
-    return out.filter("block < 3").select("domain", "model_id", big(F.col("block")).alias("block"), r(F.log("weight"), 5).alias("log_weight"))
+    return out.select("domain", "model_id", big(F.col("block")).alias("block"), r(F.col("log_weight"), 4).alias("log_weight"))
 
 
 @query("joining_weights", f"""WITH {POOL}

@@ -119,11 +119,11 @@ def shared_information(spark, folder):
     return _shared(spark, folder).select("domain", "i", "j", r(F.col("shared")).alias("shared"))
 
 
-@query("similar_models", f"WITH {SHARED} SELECT domain, i, j FROM shared WHERE shared > 0.02 AND j <> 'x2'")
+@query("similar_models", f"WITH {SHARED} SELECT domain, i, j FROM shared WHERE shared > 0.003 AND j <> 'x2'")
 def similar_models(spark, folder):
     shared = _shared(spark, folder)
     gone = shared.select("domain", F.lit("x2").alias("model_id")).distinct()
-    return similar.similar_by_information(shared, 0.02, gone, ["domain"]).select("domain", "i", "j")
+    return similar.similar_by_information(shared, 0.003, gone, ["domain"]).select("domain", "i", "j")
 
 
 @query("best_of_clusters", f"""WITH {SCORES}, k AS (SELECT *, CASE WHEN model_id < 'm5' THEN 0 ELSE 1 END AS cluster FROM scores)
