@@ -252,7 +252,8 @@ def _aligned(z: np.ndarray, sweeps: int = 6):
 def self_tuned_clusters(affinity: np.ndarray, most: int = 10) -> np.ndarray:
     """Cluster number per model: spectral embedding, 2..most clusters, least alignment cost.
 
-    Each further cluster adds one eigenvector to the columns aligned so far.
+    Each further cluster adds one eigenvector to the columns aligned so far;
+    equal costs take the larger number of clusters.
     """
     n = len(affinity)
     if n < 2:
@@ -264,8 +265,8 @@ def self_tuned_clusters(affinity: np.ndarray, most: int = 10) -> np.ndarray:
     best, z = None, vectors[:, -1:]
     for c in range(2, top + 1):
         cost, z = _aligned(np.column_stack([vectors[:, -c], z]))
-        if best is None or cost < best[0] - 1e-9:
-            best = (cost, z)
+        if best is None or cost <= best[0] + 1e-6 * n:
+            best = (min(cost, best[0]) if best else cost, z)
     return np.argmax(np.abs(best[1]), axis=1)
 
 

@@ -148,7 +148,7 @@ def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
                 out_ids[i] = kept
         return pd.DataFrame({"domain": rows["domain"].to_numpy()[home], "seq": seq[home], "y": y[home],
                              "p_own": target_p[home], "p": out_p[home], "n_bases": out_n[home],
-                             "bases": [o for o, h in zip(out_ids, home) if h]})
+                             "bases": pd.Series([o for o, h in zip(out_ids, home) if h], dtype=object)})
     return one
 
 
