@@ -5,22 +5,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from driftpool.plans.sequence import CHUNK_ROWS, chunk_window, next_over_chunks, with_halo
 
 
+def _parts(over):
+    """Mergeable accuracy of the rows in a frame."""
+    y, error = F.col("y"), (F.col("y") - F.col("p"))
+    return F.struct(F.count("*").over(over).alias("n"), F.sum(error * error).over(over).alias("res"),
+                    F.avg(y).over(over).alias("mean"), F.var_pop(y).over(over).alias("var"),
+                    F.min(y).over(over).alias("low"), F.max(y).over(over).alias("top"))
+
+
 def rolling_r2(rows: DataFrame, keys: list[str], window: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """R2 of the ``window`` rows from each row on, in column ``window_r2``.
 
-    Null while fewer rows are left. Frames stay inside a chunk and its halo, so
-    one long stream is spread over many tasks.
+    Null while fewer rows are left. Rows are cut into blocks of one window, so
+    a window is the tail of one block and the head of the next: both are
+    running aggregates that cost the same for any window length, and their
+    means and variances merge without cancellation. Everything stays inside a
+    chunk and its halo, so one long stream is spread over many tasks.
     """
-    frame = chunk_window(keys).rowsBetween(0, window - 1)
-    y, p = F.col("y"), F.col("p")
-    full = F.count("*").over(frame) == window
-    residual = F.sum((y - p) * (y - p)).over(frame)
-    total = F.var_pop(y).over(frame) * window
-    flat = F.min(y).over(frame) == F.max(y).over(frame)
-    value = (F.when(flat & (residual == 0), 1.0).when(flat, 0.0).otherwise(1 - residual / total))
-    return (with_halo(rows, ahead=window - 1, chunk_rows=chunk_rows)
-            .withColumn("window_r2", F.when(full, value))
-            .filter("home").drop("home", "chunk"))
+    spread = with_halo(rows, ahead=window - 1, chunk_rows=chunk_rows)
+    spread = spread.repartition(*keys, "chunk").withColumn("_block", F.floor(F.col("seq") / window))
+    inside = Window.partitionBy(*keys, "chunk", "_block")
+    running = (Window.unboundedPreceding, 0)
+    parts = (spread.withColumn("_head", _parts(inside.orderBy("seq").rowsBetween(*running)))
+             .withColumn("_tail", _parts(inside.orderBy(F.desc("seq")).rowsBetween(*running))))
+    last = F.lead(F.struct("_block", "_head"), window - 1).over(chunk_window(keys))
+    both = parts.withColumn("_last", last)
+    a, b = "_tail.", "_last._head."
+    one = F.col("_last._block") == F.col("_block")
+    n = F.lit(float(window))
+    gap = F.col(b + "mean") - F.col(a + "mean")
+    residual = F.when(one, F.col(a + "res")).otherwise(F.col(a + "res") + F.col(b + "res"))
+    total = F.when(one, F.col(a + "n") * F.col(a + "var")).otherwise(
+        F.col(a + "n") * F.col(a + "var") + F.col(b + "n") * F.col(b + "var")
+        + gap * gap * F.col(a + "n") * F.col(b + "n") / n)
+    flat = (F.col(a + "low") == F.col(a + "top")) & (one | (
+        (F.col(b + "low") == F.col(b + "top")) & (F.col(a + "low") == F.col(b + "low"))))
+    value = F.when(flat & (residual == 0), 1.0).when(flat, 0.0).otherwise(1 - residual / total)
+    return (both.withColumn("window_r2", F.when(F.col("_last").isNotNull(), value))
+            .filter("home").drop("home", "chunk", "_block", "_head", "_tail", "_last"))
 
 
 def large_error(y: str, p: str, eps: float) -> Column:

@@ -83,7 +83,7 @@ class StreamLoop:
         buffer_x = X if self.x is None else np.vstack([self.x, X])
         buffer_y = np.concatenate([self.y, y])
         head = len(self.y)
-        at, block = 0, 4 * self.cfg.window
+        at, block = 0, self.cfg.window
         while at < n:
             runs.append((at, self.current))
             here = head + at
@@ -109,7 +109,7 @@ class StreamLoop:
             self.seen += done
             self._pass_publish()
             at += done
-            block = 4 * self.cfg.window if handle else min(2 * block, BLOCK)
+            block = self.cfg.window if handle else min(2 * block, BLOCK)
             if handle:
                 handle(buffer_x[:head + at], buffer_y[:head + at])
         keep = self.cfg.window
@@ -183,8 +183,8 @@ class StreamLoop:
         picked = np.flatnonzero(opened)
         if not len(picked):
             return take, None
-        view = np.lib.stride_tricks.sliding_window_view
-        errors, labels = view((fit - truth) ** 2, w)[picked], view(truth, w)[picked]
+        frames = picked[:, None] + np.arange(w)
+        errors, labels = ((fit - truth) ** 2)[frames], truth[frames]
         residual = errors.sum(axis=1)
         total = ((labels - labels.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
         flat = labels.min(axis=1) == labels.max(axis=1)
@@ -341,14 +341,23 @@ def _grouped(cfg: LoopConfig, with_state: bool):
     return one
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Streams in order, hashed to a fixed number of tasks.
+
+    The number is given because Python work per byte is high: sizing tasks by
+    shuffle bytes alone would leave most cores idle.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "domain").sortWithinPartitions("domain", "seq")
+
+
 def run(stream: DataFrame, cfg: LoopConfig) -> DataFrame:
     """Loop over ``domain, seq, features, y``: rows, events and transitions by ``kind``.
 
     One shuffle by stream and one external sort; a task then reads its streams
     in order, batch by batch, and holds one window of rows and the memory.
     """
-    ordered = (stream.select("domain", "seq", "features", "y")
-               .repartition("domain").sortWithinPartitions("domain", "seq"))
+    ordered = in_order(stream.select("domain", "seq", "features", "y"))
     return ordered.groupBy("domain").applyInArrow(_grouped(cfg, False), OUTPUT)
 
 
@@ -376,8 +385,7 @@ def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFr
                 F.lit(None).cast("array<double>").alias("features"),
                 F.lit(None).cast("double").alias("y"), "total", "state")
             rows = rows.unionByName(carried)
-        ordered = rows.repartition("domain").sortWithinPartitions("domain", "seq")
-        done = staged(ordered.groupBy("domain").applyInArrow(_grouped(cfg, True), OUTPUT), "kind")
+        done = staged(in_order(rows).groupBy("domain").applyInArrow(_grouped(cfg, True), OUTPUT), "kind")
         state = done.filter(F.col("kind") == "state").select("domain", "state")
         kept = done.filter(F.col("kind") != "state")
         out = kept if out is None else out.unionByName(kept)

@@ -183,5 +183,7 @@ def combine(stream: DataFrame, result: DataFrame, pooled: DataFrame, cfg: LoopCo
     shared = spans.join(pooled, "domain").filter(F.col("usable_from") <= F.col("_end")).select(
         "domain", "chunk", F.lit("pool").alias("role"), "model_id", "coef", "intercept", "pcs", F.col("usable_from").cast("bigint"))
     models = change.unionByName(own).unionByName(shared)
+    tasks = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, models = rows.repartition(tasks, "domain", "chunk"), models.repartition(tasks, "domain", "chunk")
     return (rows.groupBy("domain", "chunk").cogroup(models.groupBy("domain", "chunk"))
             .applyInPandas(_chunk_weigher(kind, cfg, limits), SCHEMA))

@@ -1,5 +1,7 @@
 """Shared storage for tables that cut lineage, and size-checked broadcasts."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -57,3 +59,18 @@ def join_bounded(rows: DataFrame, side: DataFrame, on: list[str], how: str = "in
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, on + ["_salt"], how).drop("_salt")
+
+
+_shipped = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="driftpool-code-"), "driftpool")
+    # only the driver reads this archive from disk, Spark hands it to the executors
+    context.addPyFile(shutil.make_archive(base, "zip", root, "driftpool"))
+    _shipped.add(context.applicationId)
