@@ -295,3 +295,51 @@ def information_weights(spark, folder):
         "domain", F.col("_m.shared").alias("mi"))
     stats = ensemble.prediction_moments(wide, ["domain"], POOL_SIZE).join(matrix, "domain")
     return ensemble.weights(stats, ["domain"], "ols_information", target=0, mi="mi", mi_cull=0.5)
+
+
+@query("group_choice", f"""WITH {POOL}, run AS (
+  SELECT domain, concept, (seq - 1) // 500 AS k, min(seq) AS start_seq, max(seq) AS end_seq FROM stream GROUP BY 1, 2, 3),
+sc AS (
+  SELECT p.domain, r.concept, r.start_seq, p.model_id AS member, count(*) AS n,
+         1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2
+  FROM pairs p JOIN run r ON r.domain = p.domain AND p.seq BETWEEN r.start_seq AND r.end_seq - 90 GROUP BY 1, 2, 3, 4)
+SELECT domain, 'm' || concept AS model_id, start_seq, max_by(member, (r2, member)) AS best_id, round(max(r2), 6) + 0.0 AS r2,
+       CAST(max_by(member, (r2, member)) <> 'm' || concept AS INTEGER) AS substitute
+FROM sc WHERE n >= 90 GROUP BY domain, concept, start_seq""")
+def group_choice(spark, folder):
+    """Best model of a group over each concept, the last window left out."""
+    from driftpool.operators import drift, experts
+    rows = tables.line_stream(spark, folder).withColumn("model_id", F.concat(F.lit("m"), F.col("concept").cast("string")))
+    spans = drift.segments(rows, ["domain"])
+    pairs = pool_predictions(spark, folder).withColumnRenamed("model_id", "member")
+    out = experts.group_choice(pairs, spans, config.WINDOW, config.WINDOW)
+    return out.select("domain", "model_id", big(F.col("start_seq")).alias("start_seq"), "best_id",
+                      r(F.col("r2")).alias("r2"), F.col("substitute").cast("int").alias("substitute"))
+
+
+@query("closest_model", f"""WITH {POOL}, d AS (
+  SELECT a.domain, a.model_id, max(abs(a.p - b.p)) AS max_diff FROM pairs a
+  JOIN pairs b ON b.domain = a.domain AND b.seq = a.seq AND b.model_id = 'm0' WHERE a.model_id <> 'm0' GROUP BY 1, 2)
+SELECT domain, arg_min(model_id, (max_diff, model_id)) AS model_id, round(min(max_diff), 6) AS max_diff FROM d GROUP BY domain""")
+def closest_model(spark, folder):
+    from driftpool.operators import experts
+    out = experts.closest_model(wide_predictions(spark, folder), ["domain"], POOL_IDS, "m0")
+    return out.select("domain", "model_id", r(F.col("max_diff")).alias("max_diff"))
+
+
+def _experts(name, evict):
+    @query(name)
+    def run(spark, folder):
+        from driftpool.operators import experts
+        pairs = pool_predictions(spark, folder)
+        place = F.substring("model_id", 2, 5).cast("int")
+        joins = pairs.select("domain", "model_id").distinct().select("domain", "model_id", (place * 50 + 1).cast("bigint").alias("at"))
+        rows = experts.add_experts(pairs, joins, evict, size=6)
+        return rows.groupBy("domain").agg(F.count("*").alias("n"), r(metrics.r2("y", "p"), 4).alias("r2"),
+                                          r(metrics.mae("y", "p"), 4).alias("mae"), F.max("members").alias("members"))
+    run.__doc__ = f"Decaying experts that join one after another; a full pool drops its {evict}."
+    return run
+
+
+_experts("experts_oldest_out", "oldest")
+_experts("experts_weakest_out", "weakest")

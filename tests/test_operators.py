@@ -348,3 +348,44 @@ def test_ensemble_along_streams_matches_brute_force(spark, small):
             p = sum(v * (np.dot(row.features, m.coef) + m.intercept) for v, m in zip(w, base)) + b
             assert abs(whole[d, s] - p) < 1e-6, (d, s)
     assert math.isfinite(whole.sum())
+
+
+@pytest.mark.parametrize("evict", ["oldest", "weakest"])
+def test_experts_match_row_by_row_decay(spark, evict):
+    from driftpool.operators import experts
+    source = np.random.default_rng(12)
+    n, models = 160, [f"m{i}" for i in range(5)]
+    y = source.random(n)
+    P = {m: y + source.normal(0.1 * i, 0.3, n) for i, m in enumerate(models)}
+    joins = {"m0": 1, "m1": 1, "m2": 40, "m3": 90, "m4": 120}
+    rows = [("a", s + 1, m, float(y[s]), float(P[m][s])) for s in range(n) for m in models]
+    pairs = spark.createDataFrame(rows, "domain string, seq bigint, model_id string, y double, p double")
+    table = spark.createDataFrame([("a", m, t) for m, t in joins.items()], "domain string, model_id string, at bigint")
+    for chunk in (7, 1000):
+        got = {r.seq: (r.p, r.members) for r in experts.add_experts(pairs, table, evict, size=3, chunk_rows=chunk).collect()}
+        w, since = {}, {}
+        for s in range(n):
+            for m in w:
+                w[m] *= 0.8 ** abs(P[m][s - 1] - y[s - 1])
+            for m in models:
+                if joins[m] == s + 1:
+                    while len(w) > 2:
+                        gone = min(w, key=(lambda k: (since[k], k)) if evict == "oldest" else (lambda k: (w[k], k)))
+                        del w[gone], since[gone]
+                    loss = sum(v * abs(P[k][s - 1] - y[s - 1]) for k, v in w.items()) + abs(P[m][s - 1] - y[s - 1])
+                    w[m], since[m] = (0.1 * loss if w and s else 1.0), s
+            p = sum(v * P[m][s] for m, v in w.items()) / sum(w.values())
+            assert abs(got[s + 1][0] - p) < 1e-9 and got[s + 1][1] == len(w)
+
+
+def test_group_choice_leaves_out_the_tail(spark):
+    from driftpool.operators import experts
+    rows = []
+    for s in range(1, 41):
+        y = float(s % 5)
+        rows += [("a", s, "own", y, y + (0.5 if s > 30 else 0.0)), ("a", s, "other", y, y + (0.1 if s <= 30 else 0.0))]
+    pairs = spark.createDataFrame(rows, "domain string, seq bigint, member string, y double, p double")
+    spans = spark.createDataFrame([("a", "own", 1, 40)], "domain string, model_id string, start_seq bigint, end_seq bigint")
+    assert experts.group_choice(pairs, spans, 10, 20, chunk_rows=8).first().best_id == "own"
+    assert experts.group_choice(pairs, spans, 0, 20, chunk_rows=8).first().substitute
+    assert experts.group_choice(pairs, spans, 30, 20).count() == 0
