@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from driftpool.functions import linalg
 from driftpool.operators import gram
 from driftpool.plans import config
+from driftpool.plans.sequence import running_sum
 from driftpool.session import join_bounded
 
 
@@ -259,11 +260,10 @@ def decayed_weights(pairs: DataFrame, keys: list[str], block: int, start: float
     """
     blocks = (pairs.withColumn("block", F.floor((F.col("seq") - 1) / block))
               .groupBy(*keys, "model_id", "block").agg(F.sum(F.abs(F.col("p") - F.col("y"))).alias("_e")))
-    so_far = F.sum("_e").over(Window.partitionBy(*keys, "model_id").orderBy("block")
-                              .rowsBetween(Window.unboundedPreceding, 0))
-    log_weight = float(np.log(start)) + float(np.log(config.DECAY)) * so_far
-    return (blocks.withColumn("log_weight", log_weight)
-            .select(*keys, "model_id", "block", "log_weight", F.exp("log_weight").alias("weight")))
+    summed = running_sum(blocks.withColumnRenamed("block", "seq"), keys + ["model_id"], F.col("_e"), "_sum")
+    log_weight = float(np.log(start)) + float(np.log(config.DECAY)) * F.col("_sum")
+    return (summed.withColumn("log_weight", log_weight)
+            .select(*keys, "model_id", F.col("seq").alias("block"), "log_weight", F.exp("log_weight").alias("weight")))
 
 
 def joining_weight(pairs: DataFrame, weighted: DataFrame, keys: list[str]) -> DataFrame:

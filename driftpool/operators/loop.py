@@ -19,7 +19,7 @@ from driftpool.functions import linalg
 from driftpool.operators.adaptive import AdaptiveWindow
 from driftpool.operators.memory import Memory, Model
 from driftpool.plans.config import LoopConfig
-from driftpool.session import bounded_side, staged
+from driftpool.session import bounded_side, new_folder, staged
 
 BLOCK = 8192
 
@@ -374,7 +374,8 @@ def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFr
                    .withColumn("epoch", F.floor((F.col("seq") - 1) / epoch_rows).cast("int"))
                    .join(totals, "domain"), "epoch")
     longest = totals.agg(F.max("total")).first()[0] or 0
-    state, out = None, None
+    state = None
+    folder = new_folder(spark)
     for epoch in range((longest + epoch_rows - 1) // epoch_rows):
         rows = parts.filter(F.col("epoch") == epoch).drop("epoch")
         rows = rows.withColumn("state", F.lit(None).cast("string"))
@@ -385,11 +386,14 @@ def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFr
                 F.lit(None).cast("array<double>").alias("features"),
                 F.lit(None).cast("double").alias("y"), "total", "state")
             rows = rows.unionByName(carried)
-        done = staged(in_order(rows).groupBy("domain").applyInArrow(_grouped(cfg, True), OUTPUT), "kind")
-        state = done.filter(F.col("kind") == "state").select("domain", "state")
-        kept = done.filter(F.col("kind") != "state")
-        out = kept if out is None else out.unionByName(kept)
-    return out if out is not None else spark.createDataFrame([], OUTPUT)
+        done = in_order(rows).groupBy("domain").applyInArrow(_grouped(cfg, True), OUTPUT)
+        path = f"{folder}/epoch={epoch}"
+        done.write.partitionBy("kind").parquet(path)
+        state = spark.read.schema(OUTPUT).parquet(path).filter(F.col("kind") == "state").select("domain", "state")
+    if state is None:
+        return spark.createDataFrame([], OUTPUT)
+    whole = spark.read.schema(OUTPUT).parquet(folder)
+    return whole.filter(F.col("kind") != "state").select(*OUTPUT.names)
 
 
 def run_bounded(stream: DataFrame, cfg: LoopConfig, epoch_rows: int = 5_000_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftpool.session import join_bounded
+from driftpool.session import bounded_groups, join_bounded
 
 
 def linear(features: Column, coef: Column, intercept: Column) -> Column:
@@ -46,10 +46,9 @@ def pooled(models: DataFrame, keys: list[str], max_pool: int = 1000) -> DataFram
     A pool larger than ``max_pool`` is an error and not cut: its predictions
     belong in the long form of ``score_pool``.
     """
+    models = bounded_groups(models.select(*keys, "model_id", "coef", "intercept"), keys, max_pool)
     one = F.struct("model_id", "coef", "intercept")
-    packed = models.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("pool"))
-    return packed.withColumn("pool", F.when(F.size("pool") <= max_pool, F.col("pool")).otherwise(
-        F.raise_error(F.lit("pool too large for the wide form, use score_pool"))))
+    return models.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("pool"))
 
 
 def score_wide(rows: DataFrame, models: DataFrame, keys: list[str],

@@ -6,19 +6,15 @@ aggregated before, and a pool larger than ``MAX_POOL`` is refused with an error.
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from driftpool.functions import linalg
 from driftpool.operators.ensemble import angle_matrix
-from driftpool.session import join_bounded
+from driftpool.session import bounded_groups, join_bounded
 
 MAX_POOL = 1000
 
 
-def guarded(size: Column, value: Column) -> Column:
-    return F.when(size <= MAX_POOL, value).otherwise(F.raise_error(F.lit("pool too large to compare pairwise")))
-
-
 def standardised(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Columns minus mean over sample deviation; constant ones are only centred.
 
@@ -38,8 +34,8 @@ def standardised(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 def packed(models: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per pool: ids and values in id order."""
     both = F.array_sort(F.collect_list(F.struct("model_id", value)))
+    models = bounded_groups(models.select(*keys, "model_id", value), keys, MAX_POOL)
     rows = models.groupBy(*keys).agg(both.alias("_m"))
-    rows = rows.withColumn("_m", guarded(F.size("_m"), F.col("_m")))
     return rows.select(*keys, F.col("_m.model_id").alias("ids"), F.col(f"_m.{value}").alias(value))
 
 
@@ -140,9 +136,9 @@ def dense_rows(pairs: DataFrame, keys: list[str], value: str, diagonal: float) -
 
 def clusters(pairs: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
     """Self-tuning spectral clusters of each pool from its affinities."""
+    pairs = bounded_groups(pairs.select(*keys, "i", "j", "affinity"), keys, MAX_POOL * MAX_POOL // 2)
     rows = dense_rows(pairs, keys, "affinity", 1.0).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("i", "row"))).alias("_m"))
-    rows = rows.withColumn("_m", guarded(F.size("_m"), F.col("_m")))
 
     @F.pandas_udf("array<int>")
     def assign(matrix: pd.Series) -> pd.Series:
@@ -181,7 +177,7 @@ def shared_information(wide: DataFrame, keys: list[str], ids: list[str], bins: i
     size = F.lit(bins)
     ends = wide.groupBy(*keys).agg(*[f(F.col("preds")[i]).alias(f"_{n}{i}")
                                      for i in range(m) for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = join_bounded(wide.select(*keys, "preds"), ends, keys)
+    rows = join_bounded(wide.select(*keys, *[c for c in ("seq", "preds") if c in wide.columns]), ends, keys)
 
     def place(i):
         lo, hi, v = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col("preds")[i]

@@ -110,7 +110,7 @@ shared AS (SELECT a.domain, a.i, a.j, a.mi / o.mi AS shared FROM info a JOIN inf
 
 def _shared(spark, folder):
     names = ["x1", "x2", "x3", "y"]
-    wide = tables.line_stream(spark, folder).select("domain", F.array(*names).alias("preds"))
+    wide = tables.line_stream(spark, folder).select("domain", "seq", F.array(*names).alias("preds"))
     return similar.shared_information(wide, ["domain"], names, 8)
 
 

@@ -14,18 +14,29 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], buckets: list[
                 seq: str = "seq") -> DataFrame:
     """Exact row number per key without sorting a key in one task.
 
-    ``buckets`` are expressions that never decrease along ``order`` (a day, an
-    hour, a chunk). Bucket sizes are counted with map-side combine, their
-    running total gives each bucket its base, and only rows of one bucket are
-    sorted together.
+    ``buckets`` are expressions that never decrease along ``order``, coarse to
+    fine (a day, then a range of ids). Bucket sizes are counted with map-side
+    combine; running totals per level give each bucket its base, so not even
+    the list of buckets of a hot key meets in one task; only rows of one
+    finest bucket are sorted together. Rows whose key or bucket is null have
+    no place in a stream and are left out.
     """
     names = [f"_b{i}" for i in range(len(buckets))]
     tagged = df.select("*", *[b.alias(n) for n, b in zip(names, buckets)])
     place = keys + names
-    before = (Window.partitionBy(*keys).orderBy(*names)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    base = (tagged.groupBy(*place).agg(F.count("*").alias("_n"))
-            .select(*place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
+    counts = tagged.groupBy(*place).agg(F.count("*").alias("_n"))
+    base = None
+    for level in range(len(names), 0, -1):
+        outer, upto = keys + names[:level - 1], keys + names[:level]
+        totals = counts if level == len(names) else counts.groupBy(*upto).agg(F.sum("_n").alias("_n"))
+        before = (Window.partitionBy(*outer).orderBy(names[level - 1])
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        part = totals.select(*upto, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_t{level}"))
+        base = part if base is None else base.join(part, upto)
+    start = F.lit(0)
+    for level in range(1, len(names) + 1):
+        start = start + F.col(f"_t{level}")
+    base = base.select(*place, start.alias("_base"))
     inside = Window.partitionBy(*place).orderBy(*order)
     return (tagged.join(base, place)
             .withColumn(seq, F.col("_base") + F.row_number().over(inside))

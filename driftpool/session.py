@@ -23,6 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
@@ -30,7 +34,7 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     not a recomputation, and several readers share one computation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -45,13 +49,23 @@ def bounded_side(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, boo
     return (F.broadcast(kept) if small else kept), small
 
 
+def bounded_groups(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Stage ``df`` and refuse it if any group is too large to be packed into one row."""
+    kept = staged(df)
+    large = kept.groupBy(*keys).count().filter(F.col("count") > most).limit(1).collect()
+    if large:
+        raise ValueError(f"group {large[0]} has more than {most} rows and cannot be packed")
+    return kept
+
+
 def join_bounded(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner",
                  max_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """Join a long table to a normally tiny one.
 
     Within ``max_rows`` the side is broadcast and the long table stays where it
     is. Beyond that the side is copied ``salts`` times and the long table is
-    spread over the copies, so one hot key is shared by ``salts`` tasks.
+    spread over the copies by a hash of its columns, so one hot key is shared
+    by ``salts`` tasks; rows should carry a distinguishing column such as ``seq``.
     """
     side, small = bounded_side(side, max_rows)
     if small:
