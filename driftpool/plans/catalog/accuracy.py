@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from driftpool.functions import metrics
 from driftpool.operators import drift, score, stream_ops
 from driftpool.plans.catalog import query
-from driftpool.plans.catalog.common import LINE, SCORED, WINDOW, big, r, scored_lines
+from driftpool.plans.catalog.common import LINE, R2, SCORED, WINDOW, big, r, scored_lines
 from driftpool.plans.catalog.streams import DRIFT
 from driftpool.sources import tables
 
@@ -13,7 +13,7 @@ Y, P = "y", "p"
 
 
 @query("accuracy_by_stream", f"""WITH {SCORED}
-SELECT domain, count(*) AS n, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2,
+SELECT domain, count(*) AS n, round({R2}, 6) + 0.0 AS r2,
        round(avg((y - p) * (y - p)), 6) AS mse, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse,
        round(avg(abs(y - p)), 6) AS mae, round(corr(p, y), 6) + 0.0 AS pearson
 FROM scored GROUP BY domain""")
@@ -26,7 +26,7 @@ def accuracy_by_stream(spark, folder):
 
 @query("accuracy_by_concept", f"""WITH {SCORED}
 SELECT domain, concept, count(*) AS n,
-       round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2,
+       round({R2}, 6) + 0.0 AS r2,
        round(avg(abs(y - p)), 6) AS mae FROM scored GROUP BY domain, concept""")
 def accuracy_by_concept(spark, folder):
     return scored_lines(spark, folder).groupBy("domain", "concept").agg(
@@ -53,7 +53,7 @@ REPORT = f"""WITH {DRIFT}, d AS (
   SELECT domain, min(seq + {WINDOW - 1}) AS first_drift, count(*) AS drift_windows
   FROM tested WHERE large AND n = {WINDOW} AND r2 < 0.5 GROUP BY domain),
 a AS (
-  SELECT domain, count(*) AS n, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2,
+  SELECT domain, count(*) AS n, round({R2}, 6) + 0.0 AS r2,
          round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
          round(corr(p, y), 6) + 0.0 AS pearson
   FROM scored GROUP BY domain)

@@ -8,6 +8,10 @@ from driftpool.sources import tables
 
 WINDOW = 30
 
+# R2 of a group; a constant label gives 1 if predicted exactly, else 0
+R2 = """CASE WHEN min(y) < max(y) THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))
+  WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END"""
+
 LINE = """
 line AS (
   SELECT l_returnflag || l_linestatus AS domain,

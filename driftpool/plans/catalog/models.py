@@ -7,7 +7,7 @@ from driftpool.functions import linalg, metrics
 from driftpool.operators import ensemble, gram, score
 from driftpool.plans import config
 from driftpool.plans.catalog import query
-from driftpool.plans.catalog.common import (LINE, POOL, WINDOW, big, first_models, pool_predictions, r,
+from driftpool.plans.catalog.common import (LINE, POOL, R2, WINDOW, big, first_models, pool_predictions, r,
                                             wide_predictions)
 from driftpool.session import join_bounded
 from driftpool.sources import tables
@@ -132,10 +132,10 @@ def tree_accuracy(spark, folder):
         F.count("*").alias("n"), r(metrics.r2("y", "prediction"), 4).alias("r2"))
 
 
-SCORES = POOL + """,
+SCORES = POOL + f""",
 scores AS (
   SELECT domain, model_id, count(*) AS n, avg((y - p) * (y - p)) AS mse,
-         1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2
+         {R2} AS r2
   FROM pairs GROUP BY domain, model_id)"""
 
 
@@ -235,7 +235,7 @@ def stacked_pool(spark, folder):
 @query("weighted_pool_accuracy", f"""WITH {SCORES}, e AS (
   SELECT p.domain, p.seq, any_value(p.y) AS y, sum(p.p * greatest(s.r2, 1e-14)) / sum(greatest(s.r2, 1e-14)) AS p
   FROM pairs p JOIN scores s ON s.domain = p.domain AND s.model_id = p.model_id GROUP BY p.domain, p.seq)
-SELECT domain, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2,
+SELECT domain, round({R2}, 6) + 0.0 AS r2,
        round(avg(abs(y - p)), 6) AS mae FROM e GROUP BY domain""")
 def weighted_pool_accuracy(spark, folder):
     wide = wide_predictions(spark, folder)
@@ -301,7 +301,7 @@ def information_weights(spark, folder):
   SELECT domain, concept, (seq - 1) // 500 AS k, min(seq) AS start_seq, max(seq) AS end_seq FROM stream GROUP BY 1, 2, 3),
 sc AS (
   SELECT p.domain, r.concept, r.start_seq, p.model_id AS member, count(*) AS n,
-         1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2
+         {R2} AS r2
   FROM pairs p JOIN run r ON r.domain = p.domain AND p.seq BETWEEN r.start_seq AND r.end_seq - 90 GROUP BY 1, 2, 3, 4)
 SELECT domain, 'm' || concept AS model_id, start_seq, max_by(member, (r2, member)) AS best_id, round(max(r2), 6) + 0.0 AS r2,
        CAST(max_by(member, (r2, member)) <> 'm' || concept AS INTEGER) AS substitute

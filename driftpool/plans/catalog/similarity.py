@@ -163,7 +163,8 @@ def angle_distances(spark, folder):
 @query("angle_distances_of_new")
 def angle_distances_of_new(spark, folder):
     models = staged(_directions(spark, folder))
-    return similar.angle_pairs_with(models.filter("model_id = 'c3'"), models, ["domain"])
+    newest = models.groupBy("domain").agg(F.max("model_id").alias("model_id"))
+    return similar.angle_pairs_with(models.join(newest, ["domain", "model_id"], "left_semi"), models, ["domain"])
 
 
 @query("angle_clusters")
