@@ -7,7 +7,7 @@ and by the streaming runner, so both give the same result.
 """
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -302,7 +302,8 @@ def event_batch(domain: str, events: list[dict], schema: pa.Schema) -> pa.Record
     return to_batch(domain, {k: [e.get(k) for e in events] for k in names}, None, len(events), schema)
 
 
-def _grouped(cfg: LoopConfig, with_state: bool):
+def _grouped(cfg, with_state: bool):
+    """``cfg`` is one configuration, or a function that gives each stream its own."""
     schema = to_arrow_schema(OUTPUT)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +320,7 @@ def _grouped(cfg: LoopConfig, with_state: bool):
                     total = batch.column(names.index("total"))[0].as_py()
                     if kept is not None:
                         batch = batch.slice(1)
-                loop = StreamLoop(cfg, kept)
+                loop = StreamLoop(cfg(domain) if callable(cfg) else cfg, kept)
                 if batch.num_rows == 0:
                     continue
             y = batch.column(names.index("y")).to_numpy(zero_copy_only=False)
@@ -351,7 +352,7 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition(tasks, "domain").sortWithinPartitions("domain", "seq")
 
 
-def run(stream: DataFrame, cfg: LoopConfig) -> DataFrame:
+def run(stream: DataFrame, cfg: LoopConfig | Callable[[str], LoopConfig]) -> DataFrame:
     """Loop over ``domain, seq, features, y``: rows, events and transitions by ``kind``.
 
     One shuffle by stream and one external sort; a task then reads its streams

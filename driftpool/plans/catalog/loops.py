@@ -86,15 +86,11 @@ def loop_in_epochs(spark, folder):
 @query("parameter_sweep")
 def parameter_sweep(spark, folder):
     """One keyed job over all streams and settings, compared afterwards."""
-    settings = [{"learner": n} for n in ("ridge", "ols", "elastic_following")]
-    stream = _stream(spark, folder)
-    copies = sweep.expand(stream, settings).withColumn("domain", F.concat_ws("@", "domain", "learner"))
-    results = None
-    for s in settings:
-        part = copies.filter(F.col("learner") == s["learner"])
-        rows = loop.run_bounded(part, LoopConfig(eps=EPS, learner=s["learner"])).filter("kind = 'row'")
-        by = rows.groupBy("domain").agg(metrics.r2("y", "p").alias("r2"), metrics.mae("y", "p").alias("mae"))
-        results = by if results is None else results.unionByName(by)
+    configs = {n: LoopConfig(eps=EPS, learner=n) for n in ("ridge", "ols", "elastic_following")}
+    copies = sweep.expand(_stream(spark, folder), [{"learner": n} for n in configs])
+    copies = copies.withColumn("domain", F.concat_ws("@", "domain", "learner"))
+    rows = loop.run_bounded(copies, lambda domain: configs[domain.rsplit("@", 1)[1]]).filter("kind = 'row'")
+    results = rows.groupBy("domain").agg(metrics.r2("y", "p").alias("r2"), metrics.mae("y", "p").alias("mae"))
     named = results.withColumn("learner", F.substring_index("domain", "@", -1))
     out = sweep.summarise(named, ["learner"], ["r2", "mae"])
     return out.select("learner", "streams", *[r(F.col(c), 4).alias(c) for c in out.columns[2:]])
