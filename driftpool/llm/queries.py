@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from driftpool.llm import simhash
+from driftpool.llm import decontaminate, pii, sentencepieces, simhash, toxicity
 from driftpool.llm.catalog import query
 
 
@@ -16,3 +16,40 @@ def op10_simhash(spark, folder):
     found = simhash.near_components(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, folder):
+    """Calibrated toxicity of every document."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.judged(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark, folder):
+    """Words of every document that lie inside benchmark passages."""
+    index = decontaminate.build(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.audited(index).select(
+        F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), "n_hit",
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op3_pii")
+def op3_pii(spark, folder):
+    """Personal data of every document: base spans and what context patterns add."""
+    found = pii.summary(pii.spans(table(spark, folder, "documents")))
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS],
+                        F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op7_merge_dropout")
+def op7_merge_dropout(spark, folder):
+    """Pieces of every document under merge-dropout, and the text they decode to."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = sentencepieces.encoded(docs)
+    rows = rows.withColumn("back", sentencepieces.decoded(F.col("token_ids")))
+    return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.xxhash64("token_ids").alias("ids_hash"), F.sha2("back", 256).alias("decoded_sha256"),
+                       (F.col("back") == F.coalesce("text", F.lit(""))).alias("lossless"))
