@@ -147,3 +147,15 @@ def audited(index: Index) -> DataFrame:
     return index.documents.join(both, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select(
         "id", "mark", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def cleaned(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, all columns."""
+    found = phrases(build(docs, items, id_col, text_col, **settings)).select("id", "mark").distinct()
+    names = {c.lower() for c in docs.columns}
+    prefix = "k"
+    while f"{prefix}_id" in names or f"{prefix}_mark" in names:
+        prefix += "k"
+    gone = measured(found.select(F.col("id").alias(f"{prefix}_id"), F.col("mark").alias(f"{prefix}_mark")))
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{prefix}_id"))
+                     & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(f"{prefix}_mark")), "left_anti")

@@ -1,5 +1,6 @@
 """The numbered queries: thin digests of what the operators return."""
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from driftpool.llm import decontaminate, pii, sentencepieces, simhash, toxicity
@@ -53,3 +54,9 @@ def op7_merge_dropout(spark, folder):
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                        F.xxhash64("token_ids").alias("ids_hash"), F.sha2("back", 256).alias("decoded_sha256"),
                        (F.col("back") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+@query("pipeline")
+def pipeline(spark, folder):
+    """All stages of the corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, folder)

@@ -15,7 +15,9 @@ NONE = np.int64(1 << 30)
 SEED = 42
 DROPOUT = 0.1
 VARIANTS = 4
-CACHED = 150_000
+VARIANTS_MOST = 64
+RUN = 32
+CACHED = 400_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -63,8 +65,14 @@ class Pieces:
         # a space inside a piece only in runs of spaces: text may be cut before each run
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("a piece of the model spans words")
-        lines = not any("\n" in p and len(p) > 1 for p in normal)
-        self.cut = re.compile(r" *[^ \n]+|\n| +" if lines else r" *[^ ]+| +")
+        self.lines = not any("\n" in p and len(p) > 1 for p in normal)
+        self.cut = re.compile(r"\n[^ \n]*| +[^ \n]*" if self.lines else r" +[^ ]*")
+        table = np.arange(-1, -1 - 0x110000, -1, dtype=np.int64)
+        for c, i in self.single.items():
+            table[ord(c)] = i
+        # the mark for spaces is no space where the text itself has it
+        table[ord(" ")], table[ord(SPACE)] = table[ord(SPACE)], -1 - ord(SPACE)
+        self.symbols = table
 
     def _candidates(self, left, right, start, middle, end, salt, limit):
         """(rank, merged piece) of neighbours; NONE where there is no merge or its hash drops it."""
@@ -78,7 +86,14 @@ class Pieces:
             rank = np.where(_mixed(_mixed(salt ^ place) + np.uint64(7)) < np.uint64(limit), NONE, rank)
         return rank, new
 
-    def segment(self, parts: list[str], salts: np.ndarray, dropout: float) -> list[bytes]:
+    def parts(self, text: str) -> list[str]:
+        """Pieces of a text that no merge crosses; a plain word stands for itself with a space before it."""
+        if "  " in text or " \n" in text or text[0] in " \n" or text[-1] == " ":
+            found = self.cut.findall(" " + text)
+            return [x[1:] if x[0] == " " and x[1:2] not in ("", " ") else x for x in found]
+        return (text.replace("\n", " \n") if self.lines else text).split(" ")
+
+    def segment(self, parts: list[str], seed: int, dropout: float) -> list[bytes]:
         """Ids (little-endian uint32) of every part; parts are merged side by side, one merge a part and round.
 
         In each part the merge of best rank, leftmost of equals, is taken next. A candidate is a left piece, a
@@ -86,16 +101,15 @@ class Pieces:
         """
         limit = min(int(dropout * 2 ** 64), 2 ** 64 - 1)
         out = [b""] * len(parts)
+        parts = [x if x[0] in (" \n" if self.lines else " ") else " " + x for x in parts]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        text = "".join(parts)
-        single, code = self.single, {}
-        for c in set(text):
-            # the mark for spaces is no space where the text itself has it
-            code[c] = single.get(SPACE if c == " " else c, -1 - ord(c)) if c != SPACE else -1 - ord(c)
-        sym = np.fromiter((code[c] for c in text), np.int64, len(text))
+        text = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        sym = self.symbols[text]
         word = np.repeat(np.arange(len(parts)), lengths)
         beg = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         fin = beg + 1
+        own = _mixed((text.astype(np.uint64) << np.uint64(32)) | beg.astype(np.uint64))
+        salts = _mixed(np.add.reduceat(own, np.cumsum(lengths) - lengths) + np.uint64(hash_of(seed, 0)))
         rank, new = np.full(len(text), NONE), np.full(len(text), -1, np.int64)
 
         def look(at):
@@ -162,44 +176,37 @@ class Encoder:
         self.new, self.old = [{} for _ in range(self.variants)], [{} for _ in range(self.variants)]
 
     def encode(self, texts: list[str | None], keys: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, flat ids). The draw of a word depends on the seed, the key and its place in the text."""
-        split = [self.table.cut.findall(" " + t) if t else [] for t in texts]
-        draws = []
+        """(offsets, flat ids). The draw of a word depends on the seed, the key and which run of words it is in."""
+        split = [self.table.parts(t) if t else [] for t in texts]
+        runs = []   # (variant, words) in order
         for words, key in zip(split, keys):
-            base = np.uint64((hash_of(self.seed, key or 0)) & (2 ** 64 - 1))
-            with np.errstate(over="ignore"):
-                draws.append((_mixed(np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + base)
-                              % np.uint64(self.variants)).tolist() if self.variants > 1 else [0] * len(words))
-        wanted = [set() for _ in range(self.variants)]
-        for words, draw in zip(split, draws):
             if self.variants == 1:
-                wanted[0].update(words)
+                runs.append([(0, words)])
             else:
-                for v, w in zip(draw, words):
-                    wanted[v].add(w)
+                runs.append([(hash_of(self.seed + 1 + at, key or 0) % self.variants, words[at:at + RUN])
+                             for at in range(0, len(words), RUN)])
+        wanted = [set() for _ in range(self.variants)]
+        for run in runs:
+            for v, words in run:
+                wanted[v].update(words)
         got = []
         for v, words in enumerate(wanted):
-            new, old, here, missing = self.new[v], self.old[v], {}, []
-            for w in words:
-                x = new.get(w) or old.get(w)
-                if x is None:
-                    missing.append(w)
-                else:
-                    here[w] = x
+            new, old = self.new[v], self.old[v]
+            here = {w: new[w] for w in words & new.keys()}
+            words -= here.keys()
+            here.update((w, old[w]) for w in words & old.keys())
+            missing = list(words - here.keys())
             for at in range(0, len(missing), 1 << 16):
                 part = missing[at:at + (1 << 16)]
-                salts = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8"), self.seed * 64 + v) for w in part),
-                                    np.uint64, len(part))
                 with np.errstate(over="ignore"):
-                    here.update(zip(part, self.table.segment(part, salts, self.dropout)))
-            if len(new) + len(here) > CACHED // self.variants * 2:
+                    here.update(zip(part, self.table.segment(part, self.seed * VARIANTS_MOST + v, self.dropout)))
+            if len(new) > CACHED // self.variants:
                 self.old[v], self.new[v] = new, {}
-            self.new[v].update({w: x for w, x in here.items() if len(w) < 64})
-            got.append(here)
-        flat, ends = [], []
-        size = 0
-        for words, draw in zip(split, draws):
-            one = b"".join([got[v][w] for v, w in zip(draw, words)])
+            self.new[v].update((w, x) for w, x in here.items() if len(w) < 64)
+            got.append(here.__getitem__)
+        flat, ends, size = [], [], 0
+        for run in runs:
+            one = b"".join([x for v, words in run for x in map(got[v], words)])
             flat.append(one)
             size += len(one) // 4
             ends.append(size)
@@ -230,9 +237,9 @@ def token_ids(key: Column, text: Column, model: str = MODEL, dropout: float = DR
               variants: int = VARIANTS) -> Column:
     """array<int> of a text's pieces, with merges dropped by a keyed hash.
 
-    The model file is read by the driver and handed to the tasks. ``key`` (a long) and the place of a word choose
-    one of ``variants`` draws for it, so equal words differ within and between texts, and a run can be repeated
-    anywhere. Null and empty texts give an empty array. U+2581 in a text is written in bytes.
+    The model file is read by the driver and handed to the tasks. ``key`` (a long) and the place of a run of RUN words
+    choose one of ``variants`` draws for its words, so equal words differ within and between texts, and the result
+    is the same wherever and however often it is made. Null and empty texts give an empty array. U+2581 in a text is written in bytes.
     """
     data = _model(model)
 

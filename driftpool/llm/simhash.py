@@ -5,6 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from driftpool.llm.bounds import measured
 from driftpool.llm.components import connected_components
 from driftpool.session import staged
 
@@ -161,3 +162,151 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("id", "fp", "component_id")
+
+
+SHINGLE, SIMILARITY = 5, 0.8
+WIDE = 4          # words of 64 bits in the fingerprint that similarity is judged by
+SAMPLES, EACH = 12, 3
+SMALL_BUCKET = 24
+
+
+def _mixed(x):
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_KEYS = _mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sketch(text: str | None, size: int = SHINGLE) -> tuple[list[int], list[int]]:
+    """(words of the wide fingerprint, sampled fingerprints) of the distinct shingles of a whole text.
+
+    A sampled fingerprint is the SimHash of the EACH shingles that come first under a keyed order, so texts of
+    similarity s share one with a chance of about s ** EACH.
+    """
+    words = (text or "").encode("utf-8").lower().split()
+    n, digest = len(words), xxhash.xxh64_intdigest
+    if not n:
+        return [0] * WIDE, [0] * SAMPLES
+    joined = b" ".join(words)
+    if n <= size:
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        ends = np.cumsum(lengths + 1) - 1
+        hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(
+            (ends - lengths)[:n - size + 1].tolist(), ends[size - 1:].tolist())], np.uint64))
+    wide = []
+    for k in range(WIDE):
+        bits = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 1 << 15):
+            part = _mixed(hashes[at:at + (1 << 15)] + np.uint64(k)).astype("<u8")
+            bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        wide.append(int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0]))
+    samples = []
+    first = np.resize(hashes, EACH) if len(hashes) < EACH else None
+    for key in _KEYS:
+        if first is None:
+            order = _mixed(hashes ^ key)
+            a, b, c = np.partition(order, EACH - 1)[:EACH]
+        else:
+            a, b, c = np.sort(_mixed(first ^ key))
+        samples.append(int(((a & b) | (a & c) | (b & c)).astype(np.int64)))
+    return wide, samples
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of the wide fingerprint that sets of this Jaccard similarity have on average."""
+    return round(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) * WIDE * BITS)
+
+
+def _sketches(docs, id_col, text_col, size):
+    def run(batches):
+        for batch in batches:
+            found = [sketch(t, size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([w for w, _ in found], pa.list_(pa.int64())),
+                 pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["id", "mark", "wide", "samples"])
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, mark bigint, wide array<bigint>, samples array<bigint>")
+
+
+def _alike(most):
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE)), F.lit(0))
+    return apart <= most
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                    similarity: float = SIMILARITY, radius: int = 3) -> DataFrame:
+    """Staged (id, mark, first_id, first_mark, many): the document that stands for the group of each distinct row.
+
+    Rows are told apart by id and ``mark``, a hash of the text; ``many`` counts repeated rows. Candidates are texts
+    with a 64-bit word of their fingerprint within ``radius`` bits, found by the deletion-variant index, and texts
+    with equal sampled fingerprints; a link needs the similarity by the wide fingerprint. Buckets of sampled
+    fingerprints of more than SMALL_BUCKET texts are not paired: their members are compared with four of them,
+    other ones in every bucket. The smallest id of a group stands for it (null last); null and empty texts are
+    one group.
+    """
+    rows = staged(_sketches(docs, id_col, text_col, size))
+    nodes = rows.groupBy("id", "mark").agg(F.count("*").alias("many"), F.any_value("wide").alias("wide"),
+                                           F.any_value("samples").alias("samples"))
+    # equal fingerprints are one text to this method: they need no pairs
+    nodes = staged(nodes)
+    texts = staged(nodes.groupBy("wide", "samples").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("key"))
+                   .withColumn("node", F.monotonically_increasing_id()))
+    keyed = staged(texts.select("node", "wide", F.posexplode("samples").alias("band", "sample")))
+    sizes = keyed.groupBy("band", "sample").agg(F.count("*").alias("n"), *[
+        f(F.struct(F.xxhash64("node", "band", F.lit(k)), "node", "wide")).alias(f"{f.__name__}{k}")
+        for k in (1, 2) for f in (F.min, F.max)]).filter("n > 1")
+    sizes = staged(sizes)
+    small = sizes.filter(F.col("n") <= SMALL_BUCKET).select("band", "sample")
+    few = keyed.join(small, ["band", "sample"])
+    pairs = (few.select("band", "sample", F.col("node").alias("a"), F.col("wide").alias("x"))
+             .join(few.select("band", "sample", F.col("node").alias("b"), F.col("wide").alias("y")), ["band", "sample"])
+             .filter("a < b").filter(_alike(most_bits(similarity))).select("a", "b"))
+    large = sizes.filter(F.col("n") > SMALL_BUCKET).select("band", "sample", F.explode(F.array(
+        *[F.col(c) for c in ("min1", "max1", "min2", "max2")])).alias("lead"))
+    led = (keyed.join(large, ["band", "sample"])
+           .select(F.col("lead.node").alias("a"), F.col("lead.wide").alias("x"), F.col("node").alias("b"),
+                   F.col("wide").alias("y")).filter("a != b").filter(_alike(most_bits(similarity))).select("a", "b"))
+    words = texts.select("node", "wide", F.col("wide")[0].alias("fp"))
+    close = links(words, radius)
+    lead = words.groupBy("fp").agg(F.min(F.struct("node", "wide")).alias("lead"))
+    close = (close.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a")
+             .join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b")
+             .select(F.col("la.node").alias("a"), F.col("la.wide").alias("x"), F.col("lb.node").alias("b"),
+                     F.col("lb.wide").alias("y")).filter(_alike(most_bits(similarity))).select("a", "b"))
+    root = connected_components(pairs.unionAll(led).unionAll(close), "a", "b")
+    rooted = staged(texts.join(root, F.col("node") == F.col("root"), "left_anti").select("node", "key", "wide", "samples")
+                    .join(root.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+                    .select("key", "wide", "samples", F.coalesce("root", "node").alias("root"))
+                    .unionAll(texts.join(root.select("root").distinct(), F.col("node") == F.col("root"), "left_semi")
+                              .select("key", "wide", "samples", F.col("node").alias("root"))))
+    least = rooted.groupBy("root").agg(F.min("key").alias("first"))
+    named = rooted.join(least, "root").select("wide", "samples", "first")
+    return staged(nodes.join(named, ["wide", "samples"]).select(
+        "id", "mark", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"), "many"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate group, all columns; one of repeated rows."""
+    found = near_duplicates(docs, id_col, text_col, **settings)
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    names = {c.lower() for c in docs.columns}
+    prefix = "k"
+    while f"{prefix}_id" in names or f"{prefix}_mark" in names:
+        prefix += "k"
+    i, m = f"{prefix}_id", f"{prefix}_mark"
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (
+        F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(m))
+    gone = measured(found.filter(~same).select(F.col("id").alias(i), F.col("mark").alias(m)))
+    again = measured(found.filter(same & (F.col("many") > 1)).select(F.col("id").alias(i), F.col("mark").alias(m)))
+    kept = docs.join(gone, on, "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, on, "left_anti").unionAll(once)
