@@ -3,8 +3,9 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftpool.llm import decontaminate, pii, sentencepieces, simhash, toxicity
+from driftpool.llm import decontaminate, pii, sentencepieces, simhash, simple8b, toxicity
 from driftpool.llm.catalog import query
+from driftpool.session import new_folder
 
 
 def table(spark, folder, name):
@@ -60,3 +61,11 @@ def op7_merge_dropout(spark, folder):
 def pipeline(spark, folder):
     """All stages of the corpus pipeline over the documents."""
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op4_simple8b")
+def op4_simple8b(spark, folder):
+    """Place, number and check sum of every document's token ids, read back from the files."""
+    files = new_folder(spark)
+    simple8b.write(table(spark, folder, "documents"), files)
+    return simple8b.read(spark, files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

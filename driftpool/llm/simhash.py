@@ -281,11 +281,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select(F.col("la.node").alias("a"), F.col("la.wide").alias("x"), F.col("lb.node").alias("b"),
                      F.col("lb.wide").alias("y")).filter(_alike(most_bits(similarity))).select("a", "b"))
     root = connected_components(pairs.unionAll(led).unionAll(close), "a", "b")
-    rooted = staged(texts.join(root, F.col("node") == F.col("root"), "left_anti").select("node", "key", "wide", "samples")
-                    .join(root.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-                    .select("key", "wide", "samples", F.coalesce("root", "node").alias("root"))
-                    .unionAll(texts.join(root.select("root").distinct(), F.col("node") == F.col("root"), "left_semi")
-                              .select("key", "wide", "samples", F.col("node").alias("root"))))
+    root = root.select(F.col("node").alias("n"), "root")
+    rooted = staged(texts.join(root, F.col("node") == F.col("n"), "left").select(
+        "key", "wide", "samples", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("key").alias("first"))
     named = rooted.join(least, "root").select("wide", "samples", "first")
     return staged(nodes.join(named, ["wide", "samples"]).select(
