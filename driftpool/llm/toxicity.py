@@ -73,9 +73,11 @@ def _features(learned):
     return run
 
 
-@pandas_udf("array<string>")
-def _distinct_words(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted(set(words_of(t))) for t in texts], dtype=object)
+def _distinct_words():
+    @pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set(words_of(t))) for t in texts], dtype=object)
+    return run
 
 
 def remainder(id_column: Column) -> Column:
@@ -155,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _learn_words(rows, ones, zeros):
-    counts = (rows.select("label", F.explode(_distinct_words("text")).alias("word"))
+    counts = (rows.select("label", F.explode(_distinct_words()("text")).alias("word"))
               .groupBy("word").agg(F.sum(F.col("label")).alias("p"), F.sum(1 - F.col("label")).alias("q")))
     odds = F.log((F.col("p") + 0.5) / (ones + 1)) - F.log((F.col("q") + 0.5) / (zeros + 1))
     best = (counts.filter((F.col("p") >= MIN_SUPPORT) & (odds > 2.5))
