@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftpool.llm import decontaminate, pii, sentencepieces, simhash, simple8b, toxicity
+from driftpool.llm import decontaminate, pii, sentencepieces, simhash, simple8b, suffixes, toxicity
 from driftpool.llm.catalog import query
 from driftpool.session import new_folder
 
@@ -69,3 +69,12 @@ def op4_simple8b(spark, folder):
     files = new_folder(spark)
     simple8b.write(table(spark, folder, "documents"), files)
     return simple8b.read(spark, files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, folder):
+    """What is left of every document without strings of 400 bytes that also begin elsewhere."""
+    found = suffixes.removed(table(spark, folder, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
