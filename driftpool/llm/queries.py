@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftpool.llm import decontaminate, pii, sentencepieces, simhash, simple8b, suffixes, toxicity
+from driftpool.llm import decontaminate, fixity, imatch, pii, redirects, sentencepieces, simhash, simple8b, suffixes, toxicity
 from driftpool.llm.catalog import query
 from driftpool.session import new_folder
 
@@ -78,3 +78,82 @@ def op8_suffix_dedup(spark, folder):
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_imatch")
+def op6_imatch(spark, folder):
+    """I-Match fingerprint of every document, of its edited text, and how like they are."""
+    docs = table(spark, folder, "documents")
+    found = imatch.compared(docs, imatch.lexicon(docs))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def _edges_sql():
+    quoted = "[\"'']?([^\"''\\s>]+)"
+    link = "(?i)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>"
+    meta = "(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*>"
+    node = "translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    key = f"""CASE WHEN contains(u, '://') THEN {node} || CASE WHEN regexp_extract(u, '://[^/?#]*([^#]*)', 1) = '' THEN '/'
+        ELSE regexp_extract(u, '://[^/?#]*([^#]*)', 1) END END"""
+    fits = lambda h, p, host, path: f"(({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}'))"
+
+    def case(host, path, named):
+        rules = sorted(redirects.RULES, key=lambda r: -len(r[0] + r[1]))
+        return "CASE " + " ".join(f"WHEN {fits(h, p, host, path)} THEN '{h + p if named else v}'" for h, p, v in rules) + " END"
+    return f"""
+WITH RECURSIVE page AS (
+  SELECT page_id, url, html,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+target AS (
+  SELECT url, host, path, regexp_extract(regexp_extract(html, '{link}', 0), '(?i)\\bhref\\s*=\\s*{quoted}', 1) AS t FROM page
+  UNION ALL
+  SELECT url, host, path, regexp_extract(regexp_extract(html, '{meta}', 0), '(?i)\\burl\\s*=\\s*{quoted}', 1) FROM page),
+full_target AS (
+  SELECT url, CASE WHEN contains(t, '://') THEN t
+    WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*):', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:/?#]*):', 1) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || t
+    WHEN starts_with(t, '#') THEN url
+    ELSE regexp_extract(url, '^([^:/?#]*):', 1) || '://' || regexp_extract(url, '://([^/?#]*)', 1)
+      || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || t END AS t
+  FROM target WHERE t <> '' AND url IS NOT NULL),
+pair AS (
+  SELECT (SELECT {key} FROM (SELECT url AS u)) AS a, (SELECT {key} FROM (SELECT t AS u)) AS b FROM full_target),
+edge AS (SELECT a, b FROM pair WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM pair WHERE a IS NOT NULL AND b IS NOT NULL),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+bad AS (
+  SELECT DISTINCT a FROM reach WHERE {case("regexp_extract(b, '^([^/]*)', 1)", "regexp_extract(b, '^[^/]*([^?]*)', 1)", False)} = 'block'),
+named AS (SELECT page_id, host, path, {case("host", "path", True)} AS rule, {case("host", "path", False)} AS own,
+    (SELECT {key} FROM (SELECT url AS u)) AS node FROM page)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IN (SELECT a FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM named"""
+
+
+@query("op1_redirects", _edges_sql())
+def op1_redirects(spark, folder):
+    """Verdict on every page's URL under the rules, and under those of its aliases."""
+    return redirects.judged(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
+RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
+    || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
+    || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+
+@query("op5_merkle_fixity", f"""
+WITH r AS (SELECT page_id, {RECORD} AS rec, contains(coalesce(html, ''), '&amp;') AS hit FROM pages)
+SELECT page_id, CAST(sum(strlen(rec)) OVER (ORDER BY page_id) - strlen(rec) AS BIGINT) AS warc_offset,
+  CAST(strlen(rec) AS BIGINT) AS warc_length, sha256(rec) AS sha256, hit AS damaged
+FROM r""")
+def op5_merkle_fixity(spark, folder):
+    """Every page's record with its place, and whether a replica differs there.
+
+    The replica is the same pages after a faulty copy that changed the letters of an entity but no length.
+    """
+    pages = table(spark, folder, "pages")
+    replica = pages.withColumn("html", F.replace(F.col("html"), F.lit("&amp;"), F.lit("&AMP;")))
+    found = fixity.audited(fixity.laid_out(pages), fixity.laid_out(replica))
+    return found.select(F.col("id").alias("page_id"), F.col("start").alias("warc_offset"),
+                        (F.col("end") - F.col("start")).alias("warc_length"), F.col("digest").alias("sha256"),
+                        F.col("what").isNotNull().alias("damaged"))

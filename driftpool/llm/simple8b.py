@@ -172,7 +172,7 @@ def _encoder(definition):
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
           end: int = END) -> None:
-    """Tokenize every text, append ``end`` and write shards of chunks in ascending order of id, equal ids by text.
+    """Tokenize every text, append ``end`` and write shards of chunks in ascending order of id, equal ids by a hash of the text.
 
     A row of the files is a chunk: ``shard`` and ``chunk`` in order, the ids of its documents (a null id comes
     first) and ``data`` as ``pack`` makes it. Null and empty texts have the end id alone. The tokenizer file is
@@ -182,7 +182,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         definition = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
     names = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ordered = names.repartitionByRange("id").sortWithinPartitions("id", "text")
+    tied = names.withColumn("tie", F.xxhash64("text"))
+    ordered = tied.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
     def run(batches):
         encoder, shard = _encoder(definition), TaskContext.get().partitionId()
