@@ -34,8 +34,10 @@ OUTPUT = StructType([
 class StreamLoop:
     """State of one stream: at most one window of rows, the memory, the detector."""
 
-    def __init__(self, cfg: LoopConfig, kept: str | None = None):
+    def __init__(self, cfg: LoopConfig, kept: str | None = None, registered: dict | None = None):
         self.cfg = cfg
+        self.learner = linalg.learner(cfg.learner, registered)
+        self.places = {}            # given number of rows that later events may name
         self.seen = 0
         self.x, self.y = None, np.zeros(0)
         self.memory = Memory()
@@ -59,7 +61,8 @@ class StreamLoop:
             "memory": self.memory.dump(), "current": self.current,
             "model": None if self.model is None else [list(self.model.coef), self.model.intercept],
             "lowest": self.lowest, "collecting": self.collecting, "temporary": self.temporary,
-            "publish_at": self.publish_at, "published": sorted(self.published), "window": self.window.dump()})
+            "publish_at": self.publish_at, "published": sorted(self.published), "window": self.window.dump(),
+            "places": sorted(self.places.items())})
 
     def _restore(self, kept: dict) -> None:
         self.seen, self.y = kept["seen"], np.asarray(kept["y"], dtype=float)
@@ -72,6 +75,7 @@ class StreamLoop:
         self.temporary, self.publish_at = kept["temporary"], kept["publish_at"]
         self.published = set(kept["published"])
         self.window.restore(kept["window"])
+        self.places = dict(kept["places"])
 
     # -- feeding ----------------------------------------------------------
 
@@ -117,7 +121,7 @@ class StreamLoop:
         return first, p, runs
 
     def _fit(self, X, y) -> Model:
-        w, b = linalg.LEARNERS[self.cfg.learner](X, y)
+        w, b = self.learner(X, y)
         pcs = None
         if self.cfg.components:
             pcs = linalg.components(linalg.Moments.of_rows(X, y), self.cfg.left_out).T.tolist()
@@ -138,6 +142,21 @@ class StreamLoop:
         self.lowest = w + 2
         self._emit("learn", w + 1, self.current, model)
 
+    def name_rows(self, first: int, given: np.ndarray) -> None:
+        """Put the rows' given numbers into the events of the rows just fed, the first of which was the ``first``."""
+        last = first + len(given) - 1
+
+        def place(n):
+            if n is None or n < first:
+                return self.places.get(n, n)
+            return int(given[n - first]) if n <= last else int(given[-1]) + n - last
+        for e in self.events:
+            for k in ("seq", "start_seq", "end_seq"):
+                if k in e:
+                    e[k] = place(e[k])
+        begun = self.memory.runs[-1][1] if self.memory.runs else None
+        self.places = {n: place(n) for n in (begun, last) if n is not None and n <= last}
+
     # -- publishing -------------------------------------------------------
 
     def _publish_from(self, seq: int, used: int) -> None:
@@ -276,11 +295,11 @@ class StreamLoop:
 
 # -- output batches -----------------------------------------------------------
 
-def row_columns(first: int, y, p, runs) -> dict:
+def row_columns(seq, y, p, runs) -> dict:
     names = np.empty(len(y), dtype=object)
     for (start, model), (stop, _) in zip(runs, runs[1:] + [(len(y), None)]):
         names[start:stop] = model
-    return {"seq": np.arange(first, first + len(y)), "y": y, "p": p, "model_id": names}
+    return {"seq": seq, "y": y, "p": p, "model_id": names}
 
 
 def to_batch(domain: str, columns: dict, kind: str | None, size: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -305,6 +324,7 @@ def event_batch(domain: str, events: list[dict], schema: pa.Schema) -> pa.Record
 def _grouped(cfg, with_state: bool):
     """``cfg`` is one configuration, or a function that gives each stream its own."""
     schema = to_arrow_schema(OUTPUT)
+    registered = dict(linalg.REGISTERED)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loop, domain, total = None, None, None
@@ -320,13 +340,15 @@ def _grouped(cfg, with_state: bool):
                     total = batch.column(names.index("total"))[0].as_py()
                     if kept is not None:
                         batch = batch.slice(1)
-                loop = StreamLoop(cfg(domain) if callable(cfg) else cfg, kept)
+                loop = StreamLoop(cfg(domain) if callable(cfg) else cfg, kept, registered)
                 if batch.num_rows == 0:
                     continue
             y = batch.column(names.index("y")).to_numpy(zero_copy_only=False)
             x = batch.column(names.index("features")).flatten().to_numpy(zero_copy_only=False)
+            given = batch.column(names.index("seq")).to_numpy(zero_copy_only=False)
             first, p, runs = loop.feed(x.reshape(len(y), -1), y)
-            yield to_batch(domain, row_columns(first, y, p, runs), "row", len(y), schema)
+            loop.name_rows(first, given)
+            yield to_batch(domain, row_columns(given, y, p, runs), "row", len(y), schema)
             if loop.events:
                 yield event_batch(domain, loop.events, schema)
                 loop.events = []
@@ -335,6 +357,10 @@ def _grouped(cfg, with_state: bool):
         if not with_state or loop.seen == total:
             loop.finish()
             loop.transitions()
+            for e in loop.events:
+                for k in ("seq", "start_seq", "end_seq"):
+                    if k in e:
+                        e[k] = loop.places.get(e[k], e[k])
         else:
             loop._emit("state", loop.seen, loop.current, state=loop.dump())
         if loop.events:
@@ -363,27 +389,28 @@ def run(stream: DataFrame, cfg: LoopConfig | Callable[[str], LoopConfig]) -> Dat
 
 
 def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFrame:
-    """Same result, in jobs that see at most ``epoch_rows`` rows of a stream.
+    """Same result, in jobs that see at most ``epoch_rows`` numbers of a stream.
 
-    For streams so long that a task must not run through them at once: state
-    moves from epoch to epoch through tables in shared storage, so no task is
-    larger than an epoch and a failure costs at most one epoch.
+    State moves from epoch to epoch through tables in shared storage, so no
+    task is larger than an epoch and a failure costs at most one epoch. Numbers
+    may have gaps: only epochs with rows are run.
     """
     spark = stream.sparkSession
     totals, _ = bounded_side(stream.groupBy("domain").agg(F.count("*").alias("total")))
     parts = staged(stream.select("domain", "seq", "features", "y")
                    .withColumn("epoch", F.floor((F.col("seq") - 1) / epoch_rows).cast("int"))
                    .join(totals, "domain"), "epoch")
-    longest = totals.agg(F.max("total")).first()[0] or 0
+    # one number for each epoch
+    epochs = sorted(r["epoch"] for r in parts.select("epoch").distinct().collect())
     state = None
     folder = new_folder(spark)
-    for epoch in range((longest + epoch_rows - 1) // epoch_rows):
+    for epoch in epochs:
         rows = parts.filter(F.col("epoch") == epoch).drop("epoch")
         rows = rows.withColumn("state", F.lit(None).cast("string"))
         if state is not None:
             # the kept state sorts in front of the stream's rows
             carried = state.join(totals, "domain").select(
-                "domain", F.lit(0).cast("bigint").alias("seq"),
+                "domain", F.lit(-(1 << 62)).cast("bigint").alias("seq"),
                 F.lit(None).cast("array<double>").alias("features"),
                 F.lit(None).cast("double").alias("y"), "total", "state")
             rows = rows.unionByName(carried)
@@ -398,10 +425,7 @@ def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFr
 
 
 def run_bounded(stream: DataFrame, cfg: LoopConfig, epoch_rows: int = 5_000_000) -> DataFrame:
-    """``run`` while every stream is short enough for one task, epochs otherwise."""
-    longest = stream.groupBy("domain").count().agg(F.max("count")).first()[0] or 0
-    if longest <= epoch_rows:
-        return run(stream, cfg)
+    """The loop in epochs, whatever the length of the streams; short ones take a single epoch."""
     return run_in_epochs(stream, cfg, epoch_rows)
 
 

@@ -4,7 +4,7 @@ Tables: ``edge(src, dst)``, ``registry(source, model_id, epoch)``,
 ``delivery(target, model_id, epoch)``, ``replacement(target, model_id, sub_id)``.
 A model published in epoch ``e`` is visible from ``e + 1`` on. Topologies are
 edge tables, so exchange costs what the edges cost; no operator pairs all
-streams unless the caller asks for the complete graph of a small set.
+streams unless the caller asks for the complete graph.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,20 +12,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from driftpool.session import staged
 
 
-def complete_edges(domains: DataFrame, max_domains: int = 1000) -> DataFrame:
-    """All ordered pairs of a small set of streams.
+def complete_edges(domains: DataFrame) -> DataFrame:
+    """All ordered pairs of the streams: the complete graph is asked for, so its size is the caller's choice.
 
-    Grows with the square of the set, so a larger set is refused here; use an
-    edge table, or ``unread_counts`` which needs no edges.
+    Streams are numbered by hash bucket, then paired by an equality join on
+    their numbers. ``unread_counts`` does without the pairs.
     """
-    names = staged(domains.select("domain").distinct())
-    n = names.limit(max_domains + 1).count()
-    if n > max_domains:
-        raise ValueError(f"complete graph of more than {max_domains} streams; give an edge table")
-    placed = names.select("domain", (F.row_number().over(Window.orderBy("domain")) - 1).alias("place"))
+    names = staged(domains.select("domain").distinct().withColumn("part", F.pmod(F.xxhash64("domain"), F.lit(256))))
+    sizes = names.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # at most 256 rows
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("domain")
+    placed = staged(names.join(sizes, "part").select(
+        "domain", (F.col("base") + F.row_number().over(inside) - 1).alias("place")))
+    n = placed.count()
     steps = placed.select(F.col("domain").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(max(n - 1, 1)))).alias("step"), "place")
     shifted = steps.select("src", ((F.col("place") + F.col("step")) % n).alias("place"))
-    return (shifted.join(F.broadcast(placed.withColumnRenamed("domain", "dst")), "place")
+    return (shifted.join(placed.withColumnRenamed("domain", "dst"), "place")
             .filter("src <> dst").select("src", "dst"))
 
 
@@ -135,25 +138,58 @@ def missing_substitutes(replacement: DataFrame, delivery: DataFrame) -> DataFram
 
 
 def resolve_chains(renames: DataFrame) -> DataFrame:
-    """Final substitute of each ``(model_id, sub_id)``; a cycle ends where it would repeat.
+    """Final substitute of each ``(model_id, sub_id)`` and the number of links to it.
 
-    One join per link of the longest chain; every round is written to shared
-    storage and the walk stops as soon as no model moves.
+    Pointers are doubled: a round joins what is known to itself, so the number
+    of rounds grows with the logarithm of the longest chain, and no row grows.
+    Models on or before a cycle never end; they are told apart by the round
+    limit of the number of renames and walked to where they would repeat, which
+    is the model of the cycle reached first (itself for those on it).
     """
-    step = staged(renames.select(F.col("model_id").alias("final_id"), F.col("sub_id").alias("_next")))
-    walk = staged(renames.select("model_id", F.col("sub_id").alias("final_id"),
-                                 F.array("model_id").alias("seen")))
+    walk = staged(renames.select("model_id", F.col("sub_id").alias("final_id"), F.lit(1).cast("bigint").alias("links")))
+    most = walk.count()
+    reach = 1
+    while reach < most:
+        step = walk.select(F.col("model_id").alias("final_id"), F.col("final_id").alias("_next"), F.col("links").alias("_more"))
+        went = walk.join(step, "final_id", "left")
+        if went.filter("_next IS NOT NULL").isEmpty():
+            return walk.select("model_id", "final_id", F.col("links").cast("int").alias("links"))
+        walk = staged(went.select("model_id", F.coalesce("_next", "final_id").alias("final_id"),
+                                  (F.col("links") + F.coalesce("_more", F.lit(0))).alias("links")))
+        reach *= 2
+    step = renames.select(F.col("model_id").alias("final_id"))
+    ended = walk.join(step, "final_id", "left_anti").select("model_id", "final_id", F.col("links").cast("int").alias("links"))
+    turning = walk.join(step, "final_id", "left_semi").select("model_id")
+    if turning.isEmpty():
+        return ended
+    return ended.unionByName(_cycles(renames.join(turning, "model_id", "left_semi")))
+
+
+def _cycles(renames):
+    # models that end in a cycle: after as many steps as there are models every pointer is on its cycle
+    step = staged(renames.select("model_id", F.col("sub_id").alias("next")))
+    far = step.select("model_id", F.col("next").alias("far"))
+    reach, most = 1, step.count()
+    while reach < most:
+        far = staged(far.join(far.select(F.col("model_id").alias("far"), F.col("far").alias("_to")), "far")
+                     .select("model_id", F.col("_to").alias("far")))
+        reach *= 2
+    on = staged(far.select(F.col("far").alias("node")).distinct())
+    # tails walk until they meet the cycle; models on it come back to themselves
+    walk = staged(step.select("model_id", F.col("next").alias("final_id"), F.lit(1).alias("links")))
     done = None
     while True:
-        went = walk.join(step, "final_id", "left")
-        stop = F.col("_next").isNull() | F.array_contains("seen", F.col("final_id"))
-        moved = staged(went.withColumn("_stop", stop))
-        ended = moved.filter("_stop").select("model_id", "final_id", F.size("seen").alias("links"))
+        met = walk.join(on.select(F.col("node").alias("_on")), F.col("final_id") == F.col("_on"), "left").join(
+            on.select(F.col("node").alias("_own")), F.col("model_id") == F.col("_own"), "left")
+        stop = F.when(F.col("_own").isNotNull(), F.col("model_id") == F.col("final_id")).otherwise(F.col("_on").isNotNull())
+        met = staged(met.withColumn("_stop", stop))
+        ended = met.filter("_stop").select("model_id", "final_id", "links")
         done = ended if done is None else done.unionByName(ended)
-        walk = moved.filter("not _stop").select(
-            "model_id", F.col("_next").alias("final_id"), F.array_append("seen", F.col("final_id")).alias("seen"))
-        if walk.isEmpty():
+        left = met.filter("NOT _stop").select("model_id", "final_id", "links")
+        if left.isEmpty():
             return done
+        walk = staged(left.join(step.select(F.col("model_id").alias("final_id"), "next"), "final_id").select(
+            "model_id", F.col("next").alias("final_id"), (F.col("links") + 1).alias("links")))
 
 
 def mark_discarded(pool: DataFrame, discarded: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from driftpool.operators import pool, stream_ops
 from driftpool.plans.catalog import query
 from driftpool.plans.catalog.common import r
+from driftpool.session import staged
 from driftpool.sources import tables
 
 # suppliers are the streams; each publishes one model per line number, which is its epoch
@@ -33,16 +34,17 @@ class Net:
     def __init__(self, spark, folder):
         lines = tables.table(spark, folder, "lineitem")
         source = F.col("l_suppkey").cast("string")
-        self.supply = lines.groupBy(
+        # the three small tables are made once; everything else joins them
+        self.supply = staged(lines.groupBy(
             source.alias("source"), F.concat_ws("-", "l_suppkey", "l_linenumber").alias("model_id"),
             F.col("l_linenumber").alias("epoch")).agg(
-            F.count("*").alias("used_for"), F.avg("l_discount").alias("mse"), F.max("l_shipdate").alias("added"))
+            F.count("*").alias("used_for"), F.avg("l_discount").alias("mse"), F.max("l_shipdate").alias("added")))
         other = F.col("l_partkey") % 100
-        self.edges = lines.filter(F.col("l_suppkey") != other).select(
-            source.alias("src"), other.cast("string").alias("dst")).distinct()
+        self.edges = staged(lines.filter(F.col("l_suppkey") != other).select(
+            source.alias("src"), other.cast("string").alias("dst")).distinct())
         early = (F.col("l_tax") == 0) & (F.col("l_shipdate") < F.lit("1995-02-15").cast("timestamp_ntz"))
-        self.marks = lines.groupBy(source.alias("target")).agg(
-            F.coalesce(F.max(F.when(early, F.col("l_linenumber"))), F.lit(0)).alias("epoch"))
+        self.marks = staged(lines.groupBy(source.alias("target")).agg(
+            F.coalesce(F.max(F.when(early, F.col("l_linenumber"))), F.lit(0)).alias("epoch")))
         self.registry = self.supply.select("source", "model_id", "epoch")
 
     @property
@@ -105,9 +107,10 @@ def held_by_all(spark, folder):
 
 
 @query("delayed_sends", f"""WITH {NET}, late AS (
-  SELECT DISTINCT o.target, o.model_id FROM offered o JOIN near n ON o.model_id = n.model_id
-  WHERE split_part(n.similar_id, '-', 1) = o.target
-     OR EXISTS (SELECT 1 FROM delivery d WHERE d.target = o.target AND d.model_id = n.similar_id))
+  SELECT o.target, o.model_id FROM offered o JOIN near n ON o.model_id = n.model_id AND split_part(n.similar_id, '-', 1) = o.target
+  UNION
+  SELECT o.target, o.model_id FROM offered o JOIN near n ON o.model_id = n.model_id
+  JOIN delivery d ON d.target = o.target AND d.model_id = n.similar_id)
 SELECT o.target, o.model_id, CAST(l.target IS NOT NULL AS INTEGER) AS delayed
 FROM offered o LEFT JOIN late l ON l.target = o.target AND l.model_id = o.model_id""")
 def delayed_sends(spark, folder):

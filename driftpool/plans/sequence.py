@@ -7,6 +7,8 @@ count-based windows run on chunks of ``seq`` that carry a halo of neighbours.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from driftpool.session import staged
+
 CHUNK_ROWS = 8192
 
 
@@ -18,13 +20,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], buckets: list[
     fine (a day, then a range of ids). Bucket sizes are counted with map-side
     combine; running totals per level give each bucket its base, so not even
     the list of buckets of a hot key meets in one task; only rows of one
-    finest bucket are sorted together. Rows whose key or bucket is null have
-    no place in a stream and are left out.
+    finest bucket are sorted together. Counts are written once, so the rows are
+    read twice. Null keys are a stream of their own, null buckets come first.
     """
     names = [f"_b{i}" for i in range(len(buckets))]
     tagged = df.select("*", *[b.alias(n) for n, b in zip(names, buckets)])
     place = keys + names
-    counts = tagged.groupBy(*place).agg(F.count("*").alias("_n"))
+    counts = staged(tagged.groupBy(*place).agg(F.count("*").alias("_n")))
     base = None
     for level in range(len(names), 0, -1):
         outer, upto = keys + names[:level - 1], keys + names[:level]
@@ -32,17 +34,26 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], buckets: list[
         before = (Window.partitionBy(*outer).orderBy(names[level - 1])
                   .rowsBetween(Window.unboundedPreceding, -1))
         part = totals.select(*upto, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_t{level}"))
-        base = part if base is None else base.join(part, upto)
+        base = part if base is None else join_same(base, part, upto)
     start = F.lit(0)
     for level in range(1, len(names) + 1):
         start = start + F.col(f"_t{level}")
     base = base.select(*place, start.alias("_base"))
     inside = Window.partitionBy(*place).orderBy(*order)
-    return (tagged.join(base, place)
+    return (join_same(tagged, base, place)
             .withColumn(seq, F.col("_base") + F.row_number().over(inside))
             .drop("_base", *names))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on columns of equal name in which nulls are equal."""
+    other = right.select(*[F.col(c).alias(f"_same_{c}" if c in keys else c) for c in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(other, on).drop(*[f"_same_{k}" for k in keys])
+
+
 def number_short(df: DataFrame, keys: list[str], order: list[str], seq: str = "seq") -> DataFrame:
     """Row number for keys known to be short."""
     return df.withColumn(seq, F.row_number().over(

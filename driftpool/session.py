@@ -42,10 +42,12 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_side(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
-    """Stage a join side and mark it for broadcast only if its row count is small."""
+def bounded_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:
+    """Stage a join side and mark it for broadcast only if its rows and their bytes are few."""
     kept = staged(df)
-    small = kept.limit(max_rows + 1).count() <= max_rows
+    size = F.octet_length(F.to_json(F.struct("*")))
+    rows, total = kept.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    small = rows <= max_rows and (total or 0) <= max_bytes
     return (F.broadcast(kept) if small else kept), small
 
 
@@ -62,7 +64,7 @@ def join_bounded(rows: DataFrame, side: DataFrame, on: list[str], how: str = "in
                  max_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """Join a long table to a normally tiny one.
 
-    Within ``max_rows`` the side is broadcast and the long table stays where it
+    Within ``max_rows`` and the bytes of ``bounded_side`` the side is broadcast and the long table stays where it
     is. Beyond that the side is copied ``salts`` times and the long table is
     spread over the copies by a hash of its columns, so one hot key is shared
     by ``salts`` tasks; rows should carry a distinguishing column such as ``seq``.

@@ -1,5 +1,7 @@
 """Readers, replay and the result sink."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (DateType, DoubleType, IntegerType, StringType, StructField, StructType)
 
@@ -48,13 +50,19 @@ def read_heating(spark: SparkSession, path) -> DataFrame:
 def read_daily_weather(spark: SparkSession, paths: list[str], columns: dict[str, str]) -> DataFrame:
     """Daily files of several years as one table with only the named columns.
 
-    ``columns`` maps a file column to its type; the header gives the order of
-    the rest, which is read as text and pruned by the reader.
+    ``columns`` maps a file column to its type. Every file's own header gives
+    the order of its columns; files of one header are read together, the rest
+    of the columns is read as text and pruned by the reader.
     """
-    first = spark.read.option("header", True).csv(paths[0]).columns
-    schema = StructType([StructField(c, StringType()) for c in first])
-    rows = spark.read.schema(schema).csv(paths, header=True)
-    return rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+    headers = {}
+    for path in paths:
+        headers.setdefault(tuple(spark.read.option("header", True).csv(path).columns), []).append(path)
+    parts = []
+    for header, same in headers.items():
+        schema = StructType([StructField(c, StringType()) for c in header])
+        rows = spark.read.schema(schema).csv(same, header=True)
+        parts.append(rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def replay(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:

@@ -62,4 +62,4 @@ def event_rows(spark: SparkSession, folder: str, domain: str) -> DataFrame:
     rows = table(spark, folder, "events").select(
         F.col(domain).cast("string").alias("domain"), "ts", "event_id", "value", "event_type")
     return sequence.number_rows(rows, ["domain"], ["ts", "event_id"],
-                                [F.date_trunc("hour", F.col("ts"))])
+                                [F.date_trunc(unit, F.col("ts")) for unit in ("hour", "minute", "second")])

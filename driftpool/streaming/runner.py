@@ -1,9 +1,10 @@
 """The keyed loop as a Structured Streaming job.
 
 The same state machine as the batch runner is kept per stream in the state
-store. Rows of a micro-batch are put in order per stream; a row that is not
-newer than the last one used is reported as late and never fed. Rows are
-numbered as they are used, so the split into micro-batches does not matter.
+store. Rows of a micro-batch are put in order of time and id per stream; a row
+that does not come after the last one used is reported as late and never fed.
+Rows are numbered as they are used, so the split into micro-batches does not
+matter.
 """
 
 from collections.abc import Iterator
@@ -12,14 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
-from driftpool.functions import metrics
+from driftpool.functions import linalg, metrics
 from driftpool.operators.loop import OUTPUT, StreamLoop, row_columns
 from driftpool.plans.config import LoopConfig
 
 STREAM_OUTPUT = StructType(OUTPUT.fields + [StructField("ts", TimestampType())])
-STATE = StructType([StructField("loop", StringType()), StructField("last", TimestampType())])
+STATE = StructType([StructField("loop", StringType()), StructField("last", TimestampType()),
+                    StructField("last_id", LongType())])
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -41,15 +43,16 @@ def _frame(columns: dict, size: int) -> pd.DataFrame:
 class LoopProcessor(StatefulProcessor):
     def __init__(self, cfg: LoopConfig, idle_ms: int | None = None):
         self.cfg, self.idle_ms = cfg, idle_ms
+        self.registered = dict(linalg.REGISTERED)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("loop", STATE, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
         kept = self.kept.get() if self.kept.exists() else None
-        loop = StreamLoop(self.cfg, kept[0] if kept else None)
+        loop = StreamLoop(self.cfg, kept[0] if kept else None, self.registered)
         last = pd.Timestamp(kept[1]) if kept else None
         domain = key[0]
         ts = pd.to_datetime(batch["ts"])
@@ -57,9 +60,11 @@ class LoopProcessor(StatefulProcessor):
             ts = ts.dt.tz_convert("UTC").dt.tz_localize(None)
         if last is not None and last.tzinfo is not None:
             last = last.tz_convert("UTC").tz_localize(None)
-        new = ~ts.duplicated().to_numpy()
+        ids = batch["id"].to_numpy()
+        new = np.ones(len(batch), dtype=bool)
         if last is not None:
-            new &= (ts > last).to_numpy()
+            # without an id (0) rows of one time are all fed, in the order they came
+            new = ((ts > last) | ((ts == last) & ((ids > kept[2]) | (ids == 0)))).to_numpy()
         if not new.all():
             late = batch[~new]
             yield _frame({"domain": [domain] * len(late), "kind": ["late"] * len(late), "y": late["y"].to_numpy(),
@@ -70,27 +75,32 @@ class LoopProcessor(StatefulProcessor):
             first, p, runs = loop.feed(np.stack(fresh["features"].to_numpy()), y)
             size = len(fresh)
             yield _frame({"domain": [domain] * size, "kind": ["row"] * size, "ts": ts[new].to_numpy(),
-                          **row_columns(first, y, p, runs)}, size)
+                          **row_columns(np.arange(first, first + size), y, p, runs)}, size)
             if loop.events:
                 names = [f.name for f in OUTPUT if f.name != "domain"]
                 columns = {n: [e.get(n) for e in loop.events] for n in names}
                 yield _frame({"domain": [domain] * len(loop.events), **columns}, len(loop.events))
                 loop.events = []
-            self.kept.update((loop.dump(), ts[new].iloc[-1].to_pydatetime()))
+            self.kept.update((loop.dump(), ts[new].iloc[-1].to_pydatetime(), int(ids[new][-1])))
 
     def close(self) -> None:
         pass
 
 
-def run_stream(stream: DataFrame, cfg: LoopConfig, idle_ms: int | None = None) -> DataFrame:
-    """Loop over a stream of ``domain, ts, features, y``; needs the RocksDB state store.
+def run_stream(stream: DataFrame, cfg: LoopConfig, idle_ms: int | None = None, id_col: str | None = None) -> DataFrame:
+    """Loop over a stream of ``domain, ts, features, y``.
 
-    ``ts`` must be unique within a stream. ``idle_ms`` drops the state of
-    streams without rows for that long (processing time).
+    The session has to use the state store named by ``STORE``. Rows of one time
+    are ordered by ``id_col``, a positive long, as the batch loop breaks ties; without it they are
+    taken as they come. ``idle_ms`` drops the state of streams without rows for
+    that long (processing time).
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if stream.sparkSession.conf.get(name, None) != STORE:
+        raise ValueError(f"set {name} to {STORE}")
     mode = "ProcessingTime" if idle_ms else "None"
-    rows = stream.select("domain", F.col("ts").cast("timestamp").alias("ts"), "features", "y")
+    tie = F.col(id_col).cast("long") if id_col else F.lit(0).cast("long")
+    rows = stream.select("domain", F.col("ts").cast("timestamp").alias("ts"), tie.alias("id"), "features", "y")
     return rows.groupBy("domain").transformWithStateInPandas(
         LoopProcessor(cfg, idle_ms), STREAM_OUTPUT, "Append", mode)
 

@@ -13,6 +13,8 @@ def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("driftpool-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.sql.streaming.stateStore.providerClass",
+                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
                .config("spark.checkpoint.dir", str(folder)).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -106,6 +106,31 @@ def test_error_equal_to_eps_opens_no_window_and_r2_equal_to_acc_is_no_drift():
     assert drifts[0] == 12 + 10 - 1                      # first window that can be full
 
 
+def test_gaps_in_the_numbers_change_nothing_but_the_numbers(spark):
+    X, y = drifting(4, 400)
+    dense = [("s", i + 1, X[i].tolist(), float(y[i])) for i in range(400)]
+    apart = [(d, 3 * n + 7 * (n > 200), x, v) for d, n, x, v in dense]
+    kind = "domain string, seq long, features array<double>, y double"
+    cfg = LoopConfig(window=30, eps=0.05)
+    given = {n: 3 * n + 7 * (n > 200) for n in range(0, 402)}
+    plain = loop.run(spark.createDataFrame(dense, kind), cfg).drop("state").collect()
+    for result in (loop.run(spark.createDataFrame(apart, kind), cfg),
+                   loop.run_bounded(spark.createDataFrame(apart, kind), cfg, epoch_rows=170)):
+        got = sorted((r.kind, r.seq, str(r.model_id), r.p) for r in result.collect())
+        assert got == sorted((r.kind, given[r.seq], str(r.model_id), r.p) for r in plain)
+        spans = sorted((r.start_seq, r.end_seq) for r in result.collect() if r.kind == "segment")
+        assert spans == sorted((given[r.start_seq], given[r.end_seq]) for r in plain if r.kind == "segment")
+
+
+def test_a_registered_learner_reaches_the_tasks(spark):
+    from driftpool.functions import linalg
+    linalg.register_learner("half", lambda X, y: (np.zeros(X.shape[1]), 0.25))
+    rows = [("s", i, [0.0, 1.0], 0.25) for i in range(1, 80)]
+    stream = spark.createDataFrame(rows, "domain string, seq long, features array<double>, y double")
+    got = loop.rows_of(loop.run(stream, LoopConfig(window=30, learner="half"))).filter("seq > 30").collect()
+    assert len(got) == 49 and {r.p for r in got} == {0.25}
+
+
 def test_constant_label():
     X, y = np.random.default_rng(0).random((200, 2)), np.ones(200)
     for detector in DETECTORS:

@@ -258,12 +258,27 @@ def test_chains_with_cycle_and_length_three(spark):
     assert got == {"a": "d", "b": "d", "c": "d", "x": "x", "y": "y", "p": "q"}
 
 
-def test_complete_edges_are_refused_for_large_sets(spark):
+def test_long_chains_and_tails_of_cycles(spark):
+    links = [(f"m{i}", f"m{i + 1}") for i in range(70)] + [("t2", "t1"), ("t1", "x"), ("x", "y"), ("y", "x")]
+    got = {r.model_id: (r.final_id, r.links) for r in pool.resolve_chains(
+        spark.createDataFrame(links, "model_id string, sub_id string")).collect()}
+    assert got == {f"m{i}": ("m70", 70 - i) for i in range(70)} | {
+        "t2": ("x", 2), "t1": ("x", 1), "x": ("x", 2), "y": ("y", 2)}
+
+
+def test_row_numbers_keep_null_keys_and_buckets(spark):
+    rows = [("a", 1, 3), ("a", None, 9), (None, 1, 4), (None, None, 5), ("a", 2, 1)]
+    df = spark.createDataFrame(rows, "k string, b int, v int")
+    got = sorted((str(r.k), r.v, r.seq) for r in sequence.number_rows(df, ["k"], ["b", "v"], [F.col("b")]).collect())
+    assert got == [("None", 4, 2), ("None", 5, 1), ("a", 1, 3), ("a", 3, 2), ("a", 9, 1)]
+
+
+def test_complete_edges_of_many_streams(spark):
+    domains = spark.range(1500).select(F.col("id").cast("string").alias("domain"))
+    edges = pool.complete_edges(domains)
+    assert edges.distinct().count() == 1500 * 1499 == edges.count()
     domains = spark.range(12).select(F.col("id").cast("string").alias("domain"))
-    with pytest.raises(ValueError):
-        pool.complete_edges(domains, max_domains=11)
-    edges = pool.complete_edges(domains, max_domains=12).collect()
-    assert len(set(map(tuple, edges))) == 12 * 11
+    assert len(set(map(tuple, pool.complete_edges(domains).collect()))) == 12 * 11
     marks = domains.select(F.col("domain").alias("target"), F.lit(2).alias("epoch"))
     models = domains.select(F.col("domain").alias("source"), F.concat_ws("-", "domain", F.lit("0")).alias("model_id"), (F.col("domain").cast("int") % 5).alias("epoch"))
     unread = {r.target: r.unread for r in pool.unread_counts(models, marks).collect()}
