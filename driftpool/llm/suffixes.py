@@ -9,8 +9,9 @@ from driftpool.session import staged
 
 LENGTH = 400
 GRAM = 128
-# starts at one distance from their anchor that travel together; equal strings have equal distances
-STRIDE = 32
+# regions of one anchor beyond which their starts are dealt out by distance to the anchor, STRIDE distances at a
+# time; equal strings have equal distances, so nothing is lost
+HOT_KINDS, STRIDE = 1000, 32
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 END = 255      # no byte of UTF-8
@@ -142,27 +143,30 @@ def repeated_starts(strings: list[bytes], starts: list[int], length: int) -> lis
     return out
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stride: int = STRIDE) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_KINDS) -> DataFrame:
     """(row, start, end): bytes covered by a string of ``length`` bytes that also begins elsewhere; parts may overlap.
 
     ``docs`` has ``row``, which tells rows apart, and ``bytes``. Regions that occur twice as they are are covered
-    without their bytes. Where an anchor has several regions, one of each is sorted together with the others, at
-    most ``stride`` starts of one distance to the anchor in a group.
+    without their bytes. Where an anchor has several regions, one of each is sorted together with the others; where
+    they are more than ``hot``, in groups of STRIDE distances to the anchor.
     """
     if not 1 <= gram <= length:
         raise ValueError("a gram has to fit into the length")
     places = staged(_anchored(docs, length, gram))
     kinds = places.groupBy("anchor", "region").agg(
-        F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one"))
+        F.count("*").alias("n"), *[F.first(c).alias(f"one_{c}") for c in ("row", "first", "last", "at")])
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("places"))
-    kinds = staged(kinds.join(anchors.filter("places > 1"), "anchor").select("anchor", "region", "n", "kinds", "one"))
+    kinds = staged(kinds.join(anchors.filter("places > 1"), "anchor"))
     whole = kinds.filter("n > 1").select("anchor", "region")
     covered = places.join(whole, ["anchor", "region"]).select("row", F.col("first").alias("start"),
                                                               (F.col("last") + length).alias("end"))
-    single = kinds.filter("kinds > 1").select("anchor", "region", "n", "one.*")
+    single = kinds.filter("kinds > 1").select(
+        "anchor", "region", "n", F.when(F.col("kinds") > hot, STRIDE).otherwise(length).alias("stride"),
+        *[F.col(f"one_{c}").alias(c) for c in ("row", "first", "last", "at")])
     # starts of a region by their distance to the anchor, cut at multiples of the stride
     low, high = F.col("at") - F.col("last"), F.col("at") - F.col("first")
-    cuts = single.withColumn("part", F.explode(F.sequence((low / stride).cast("bigint"), (high / stride).cast("bigint"))))
+    stride = F.col("stride")
+    cuts = single.withColumn("part", F.explode(F.sequence(F.floor(low / stride), F.floor(high / stride))))
     cuts = cuts.select("anchor", "region", "n", "row", "part",
                        F.greatest("first", F.col("at") - (F.col("part") + 1) * stride + 1).alias("from"),
                        F.least("last", F.col("at") - F.col("part") * stride).alias("to"))
@@ -208,7 +212,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stride: int
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-            gram: int = GRAM) -> DataFrame:
+            gram: int = GRAM, hot: int = HOT_KINDS) -> DataFrame:
     """(id, n_bytes, spans, kept) of every row: ``spans`` (start, end) are the maximal runs removed, ``kept`` the rest.
 
     Null and empty texts have no bytes. Repeated rows are rows of their own and cover each other. Spans are in
@@ -216,7 +220,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("bytes"))
-    found = staged(repeats(rows, length, gram))
+    rows = staged(rows)       # numbers stay with their rows, whatever is computed again
+    found = staged(repeats(rows, length, gram, hot))
     spans = _merged(found)
     spans = measured(spans)
     met = rows.join(spans.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")

@@ -45,8 +45,8 @@ def test_small_windows_against_a_dictionary(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
     raw = [(t or "").encode() for t in texts]
-    for length, gram in ((40, 12), (25, 25), (60, 1)):
-        got = {r.id: r for r in suffixes.removed(docs, length=length, gram=gram).collect()}
+    for length, gram, hot in ((40, 12, 1000), (25, 25, 1), (60, 1, 1000), (60, 20, 1)):
+        got = {r.id: r for r in suffixes.removed(docs, length=length, gram=gram, hot=hot).collect()}
         for i, mark in enumerate(covered(raw, length)):
             assert [(s.start, s.end) for s in got[i].spans] == runs(mark), (length, gram, i)
             assert bytes(got[i].kept) == bytes(np.frombuffer(raw[i], np.uint8)[~mark])
