@@ -70,8 +70,8 @@ def kernel_ridge(m: Moments, alpha: float):
     return np.linalg.solve(m.xx + alpha * np.eye(len(m.xy)), m.xy), 0.0
 
 
-def elastic(m: Moments, alpha: float, l1: float, positive: bool, rounds: int = 500):
-    """Elastic net by coordinate descent on columns scaled to unit length."""
+def elastic(m: Moments, alpha: float, l1: float, positive: bool, rounds: int = 100_000):
+    """Elastic net by coordinate descent on columns scaled to unit length, to convergence."""
     a, b = m.centred()
     scale = np.sqrt(np.diag(a).clip(min=0.0))
     scale[scale < 1e-12] = 1.0
@@ -86,13 +86,15 @@ def elastic(m: Moments, alpha: float, l1: float, positive: bool, rounds: int = 5
             size = max((pull if positive else abs(pull)) - alpha * l1, 0.0)
             new = np.sign(pull) * size / (a[j, j] + alpha * (1.0 - l1))
             moved, w[j] = max(moved, abs(new - w[j])), new
-        if moved < 1e-12:
+        if moved <= 1e-12 * max(1.0, np.abs(w).max()):
             break
+    else:
+        raise ArithmeticError(f"coordinate descent has not converged in {rounds} rounds")
     w = w / scale
     return w, m.mean_y - m.mean_x @ w
 
 
-def non_negative(m: Moments, rounds: int = 200):
+def non_negative(m: Moments, rounds: int = 10_000):
     """Non-negative least squares without intercept, by an active set on X'X."""
     w = np.zeros(len(m.xy))
     free = np.zeros(len(w), dtype=bool)
@@ -116,6 +118,8 @@ def non_negative(m: Moments, rounds: int = 200):
             w[~free] = 0.0
             if not free.any():
                 break
+    else:
+        raise ArithmeticError(f"the active set has not settled in {rounds} rounds")
     return w, 0.0
 
 
@@ -134,11 +138,12 @@ def ridge_cv(X: np.ndarray, y: np.ndarray, alphas):
     return w, 0.0
 
 
-def insensitive(X: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int = 60):
+def insensitive(X: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int = 5000):
     """Linear fit under the epsilon-insensitive loss, by reweighted least squares.
 
     Each round bounds the loss of rows outside the tube by a parabola; the best
-    iterate is kept, so the result never gets worse with more rounds.
+    iterate is kept. It ends when 30 rounds in a row have not improved the loss
+    by a ten-millionth.
     """
     ones = np.column_stack([X, np.ones(len(y))])
     penalty = np.eye(ones.shape[1])
@@ -150,6 +155,7 @@ def insensitive(X: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int
 
     v = np.linalg.solve(ones.T @ ones * c + penalty, ones.T @ y * c)
     best, best_loss = v, loss(v)
+    mark, still = best_loss, 0
     for _ in range(rounds):
         residual = y - ones @ v
         outside = np.abs(residual) - eps
@@ -159,6 +165,12 @@ def insensitive(X: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int
         now = loss(v)
         if now < best_loss:
             best, best_loss = v, now
+        still = still + 1 if best_loss > mark - 1e-7 * abs(mark) else 0
+        mark = best_loss if still == 0 else mark
+        if still >= 30:
+            break
+    else:
+        raise ArithmeticError(f"reweighting has not converged in {rounds} rounds")
     return best[:-1], best[-1]
 
 
@@ -212,7 +224,7 @@ def local_affinity(d: np.ndarray, k: int) -> np.ndarray:
     return np.exp(-d * d / (left * right))
 
 
-def _aligned(z: np.ndarray, sweeps: int = 6):
+def _aligned(z: np.ndarray, sweeps: int = 500):
     """Rotate columns in their planes until each row points along one column.
 
     Rotations keep the length of a row, so the cost only depends on the largest
@@ -246,6 +258,8 @@ def _aligned(z: np.ndarray, sweeps: int = 6):
                     cost = float(costs[best])
         if before - cost < 1e-6:
             break
+    else:
+        raise ArithmeticError(f"rotations have not settled in {sweeps} sweeps")
     return cost, z
 
 

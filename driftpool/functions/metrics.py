@@ -47,7 +47,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 1_000_000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
@@ -58,6 +58,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             h *= c * d
         if abs(c * d - 1.0) < 1e-14:
             break
+    else:
+        raise ArithmeticError("continued fraction has not converged")
     return h
 
 

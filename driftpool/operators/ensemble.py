@@ -178,6 +178,20 @@ KINDS = ("ols", "non_negative", "r2", "mse", "ols_perf", "ols_information", "ols
          "ols_near_angles", "ols_clusters", "ols_cluster_angles", "accuracy_weighted", "equal", "ridge_cv")
 
 
+REGISTERED = {}
+
+
+def register(name: str, fit) -> None:
+    """Add an ensemble along streams: ``fit(predictions, y, target) -> (weights, intercept)``.
+
+    ``predictions`` has a column for each base, ``target`` is the column of the own model or None. Jobs started
+    from now on carry the function to their tasks.
+    """
+    if name in KINDS:
+        raise ValueError(f"{name} is taken")
+    REGISTERED[name] = fit
+
+
 def weights(stats: DataFrame, keys: list[str], kind: str, target: int | None = None,
             pcs: str | None = None, mi: str | None = None, **limits) -> DataFrame:
     """``weights`` and ``intercept`` per key from ``prediction_moments``.

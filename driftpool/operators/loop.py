@@ -79,8 +79,11 @@ class StreamLoop:
 
     # -- feeding ----------------------------------------------------------
 
-    def feed(self, X: np.ndarray, y: np.ndarray):
-        """Take the next rows; returns predictions and ``(offset, model)`` runs."""
+    def feed(self, X: np.ndarray, y: np.ndarray, default: np.ndarray | None = None):
+        """Take the next rows; returns predictions and ``(offset, model)`` runs.
+
+        Rows of the burn-in get ``default``, one value a row, or the one of the settings.
+        """
         n = len(y)
         p, runs = np.empty(n), []
         first = self.seen + 1
@@ -93,7 +96,7 @@ class StreamLoop:
             here = head + at
             if self.seen < self.cfg.window:
                 take = min(self.cfg.window - self.seen, n - at)
-                p[at:at + take] = self.cfg.default
+                p[at:at + take] = self.cfg.default if default is None else default[at:at + take]
                 self.seen += take
                 at += take
                 continue
@@ -346,7 +349,10 @@ def _grouped(cfg, with_state: bool):
             y = batch.column(names.index("y")).to_numpy(zero_copy_only=False)
             x = batch.column(names.index("features")).flatten().to_numpy(zero_copy_only=False)
             given = batch.column(names.index("seq")).to_numpy(zero_copy_only=False)
-            first, p, runs = loop.feed(x.reshape(len(y), -1), y)
+            default = None
+            if "default" in names:
+                default = batch.column(names.index("default")).to_numpy(zero_copy_only=False)
+            first, p, runs = loop.feed(x.reshape(len(y), -1), y, default)
             loop.name_rows(first, given)
             yield to_batch(domain, row_columns(given, y, p, runs), "row", len(y), schema)
             if loop.events:
@@ -378,13 +384,19 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition(tasks, "domain").sortWithinPartitions("domain", "seq")
 
 
+def _inputs(stream: DataFrame) -> list[str]:
+    return ["domain", "seq", "features", "y"] + (["default"] if "default" in stream.columns else [])
+
+
 def run(stream: DataFrame, cfg: LoopConfig | Callable[[str], LoopConfig]) -> DataFrame:
     """Loop over ``domain, seq, features, y``: rows, events and transitions by ``kind``.
 
+    A column ``default``, if there is one, predicts the rows of the burn-in.
+
     One shuffle by stream and one external sort; a task then reads its streams
     in order, batch by batch, and holds one window of rows and the memory.
     """
-    ordered = in_order(stream.select("domain", "seq", "features", "y"))
+    ordered = in_order(stream.select(*_inputs(stream)))
     return ordered.groupBy("domain").applyInArrow(_grouped(cfg, False), OUTPUT)
 
 
@@ -397,7 +409,7 @@ def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFr
     """
     spark = stream.sparkSession
     totals, _ = bounded_side(stream.groupBy("domain").agg(F.count("*").alias("total")))
-    parts = staged(stream.select("domain", "seq", "features", "y")
+    parts = staged(stream.select(*_inputs(stream))
                    .withColumn("epoch", F.floor((F.col("seq") - 1) / epoch_rows).cast("int"))
                    .join(totals, "domain"), "epoch")
     # one number for each epoch
@@ -413,7 +425,7 @@ def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFr
                 "domain", F.lit(-(1 << 62)).cast("bigint").alias("seq"),
                 F.lit(None).cast("array<double>").alias("features"),
                 F.lit(None).cast("double").alias("y"), "total", "state")
-            rows = rows.unionByName(carried)
+            rows = rows.unionByName(carried, allowMissingColumns=True)
         done = in_order(rows).groupBy("domain").applyInArrow(_grouped(cfg, True), OUTPUT)
         path = f"{folder}/epoch={epoch}"
         done.write.partitionBy("kind").parquet(path)

@@ -97,6 +97,7 @@ def _fit(kind: str, base: np.ndarray, y: np.ndarray, target: int | None, pcs, li
 
 def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
     w = cfg.window
+    own_rule = ensemble.REGISTERED.get(kind)
 
     def one(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
@@ -140,7 +141,10 @@ def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
                 pcs = list(base["pcs"].to_numpy()[member]) + [m.pcs]
                 target, names = len(names), names + [mine]
             found = seen.setdefault(tuple(names), {})
-            weights, b = _fit(kind, train, y[back:at], target, pcs, limits, found)
+            if own_rule is None:
+                weights, b = _fit(kind, train, y[back:at], target, pcs, limits, found)
+            else:
+                weights, b = own_rule(train, y[back:at], target)
             out_p[at:stop] = ahead @ weights + b
             kept = [n for n, v in zip(names, weights) if v != 0.0]
             out_n[at:stop] = len(kept)
@@ -163,8 +167,8 @@ def combine(stream: DataFrame, result: DataFrame, pooled: DataFrame, cfg: LoopCo
     each change of model on the last window; a period in the burn-in uses
     received models only.
     """
-    if kind not in ensemble.KINDS:
-        raise ValueError(f"ensemble must be one of {ensemble.KINDS}")
+    if kind not in ensemble.KINDS and kind not in ensemble.REGISTERED:
+        raise ValueError(f"ensemble must be registered or one of {ensemble.KINDS}")
     scored = stream.select("domain", "seq", "features", "y").join(
         loop.rows_of(result).select("domain", "seq", "model_id", "p"), ["domain", "seq"])
     rows = with_halo(scored, behind=3 * cfg.window, chunk_rows=chunk_rows)

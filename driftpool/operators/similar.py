@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from driftpool.functions import linalg
-from driftpool.operators.ensemble import angle_matrix
 from driftpool.session import bounded_groups, join_bounded
 
 MAX_POOL = 1000
@@ -39,21 +38,32 @@ def packed(models: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.select(*keys, F.col("_m.model_id").alias("ids"), F.col(f"_m.{value}").alias(value))
 
 
-PAIRS = "array<struct<i string, j string, d double>>"
+def pairs_of(models: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``i < j`` of one pool with their values ``a`` and ``b``, one row a pair.
+
+    The pool is joined to itself, with its rows spread over salts where it is too large to broadcast, so a pool
+    has no limit and its pairs are worked on by many tasks.
+    """
+    left = models.select(*keys, F.col("model_id").alias("i"), F.col(value).alias("a"))
+    right = models.select(*keys, F.col("model_id").alias("j"), F.col(value).alias("b"))
+    return join_bounded(left, right, keys).filter("i < j")
+
+
+def distance_pairs(models: DataFrame, keys: list[str], value: str, metric) -> DataFrame:
+    """Distance of every pair of a pool's models under an own function ``metric(a, b) -> float`` of their values."""
+    @F.pandas_udf("double")
+    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(metric(x, y)) for x, y in zip(a, b)], dtype="float64")
+    return pairs_of(models, keys, value).select(*keys, "i", "j", distances("a", "b").alias("d"))
 
 
-def _listed(ids, d: np.ndarray) -> list:
-    return [{"i": ids[i], "j": ids[j], "d": float(d[i, j])}
-            for i in range(len(ids)) for j in range(i + 1, len(ids))]
+def _angle(a, b) -> float:
+    return linalg.angle_distance(np.array([list(c) for c in a]).T, np.array([list(c) for c in b]).T)
 
 
 def angle_pairs(models: DataFrame, keys: list[str]) -> DataFrame:
     """Principal-angle distance of every pair of a pool's models (column ``pcs``)."""
-    @F.pandas_udf(PAIRS)
-    def distances(ids: pd.Series, pcs: pd.Series) -> pd.Series:
-        return pd.Series([_listed(list(i), angle_matrix(p)) for i, p in zip(ids, pcs)])
-    pools = packed(models, keys, "pcs")
-    return pools.select(*keys, F.explode(distances("ids", "pcs")).alias("_p")).select(*keys, "_p.*")
+    return distance_pairs(models, keys, "pcs", _angle)
 
 
 def angle_pairs_with(new: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,11 +84,8 @@ def angle_pairs_with(new: DataFrame, models: DataFrame, keys: list[str]) -> Data
 
 def vector_pairs(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """Euclidean distance of every pair of a pool's vectors, inside the JVM."""
-    pools = packed(vectors, keys, "vector").withColumn("_v", F.arrays_zip("ids", "vector"))
-    left = pools.select(*keys, F.posexplode("_v").alias("_at", "_a"), "_v")
-    pairs = left.select(*keys, "_a", F.explode(F.slice("_v", F.col("_at") + 2, F.size("_v"))).alias("_b"))
-    square = F.aggregate(F.zip_with("_a.vector", "_b.vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-    return pairs.select(*keys, F.col("_a.ids").alias("i"), F.col("_b.ids").alias("j"), F.sqrt(square).alias("d"))
+    square = F.aggregate(F.zip_with("a", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    return pairs_of(vectors, keys, "vector").select(*keys, "i", "j", F.sqrt(square).alias("d"))
 
 
 def prediction_pairs(stats: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:

@@ -6,11 +6,13 @@ from driftpool.functions import metrics
 from driftpool.operators import drift, loop, online, pool, stream_ops
 from driftpool.plans import sweep
 from driftpool.plans.catalog import query
-from driftpool.plans.catalog.common import r
+from driftpool.plans.catalog.common import LINE, r
 from driftpool.plans.config import LoopConfig
 from driftpool.session import staged
 from driftpool.sources import tables
 
+LOOP_START = f"""WITH {LINE}
+SELECT domain, seq, true AS no_model, round(x1, 6) AS p FROM stream WHERE seq <= 90"""
 EPS = 0.1
 EPOCH_ROWS = 1000
 
@@ -83,6 +85,16 @@ def loop_in_epochs(spark, folder):
     return _report(loop.run_in_epochs(stream, cfg, (longest + 2) // 3))
 
 
+@query("column_default", LOOP_START)
+def column_default(spark, folder):
+    """Burn-in of the loop when a feature is the default prediction."""
+    rows = tables.line_stream(spark, folder)
+    stream = rows.select("domain", "seq", F.array(*tables.FEATURES).alias("features"), "y", F.col("x1").alias("default"))
+    cfg = LoopConfig.of("heating", eps=EPS)
+    result = loop.rows_of(loop.run_bounded(stream, cfg)).filter(F.col("seq") <= cfg.window)
+    return result.select("domain", "seq", F.col("model_id").isNull().alias("no_model"), r(F.col("p"), 6).alias("p"))
+
+
 @query("parameter_sweep")
 def parameter_sweep(spark, folder):
     """One keyed job over all streams and settings, compared afterwards."""

@@ -59,6 +59,18 @@ class LoopConfig:
     max_buckets: int = 2
     min_side: int = 10
 
+    @classmethod
+    def of(cls, workload: str, learner: str = "ridge", **settings) -> "LoopConfig":
+        """Settings of a kind of input: opening error, default prediction and its form of the learner.
+
+        A workload with a default column leaves the value to the stream's ``default`` column.
+        """
+        known = WORKLOADS[workload]
+        values = {"eps": known.eps, "learner": learner if workload == "hyperplane" else f"{learner}_{workload}"}
+        if known.default_value is not None:
+            values["default"] = known.default_value
+        return cls(**(values | settings))
+
     def __post_init__(self):
         if self.detector not in DETECTORS:
             raise ValueError(f"detector must be one of {DETECTORS}")
