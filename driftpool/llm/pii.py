@@ -18,7 +18,7 @@ PATTERNS = {
     # what may be an identifier: a word between white space with a digit or an at sign
     "word": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
 }
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"     # of what is all digits
 # what a discovered identifier of a kind has to look like
 SHAPES = {
     "email": r"^[^\s@]+(?:@|\(at\)|\[at\])[^\s@]+$",

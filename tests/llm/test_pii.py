@@ -30,7 +30,7 @@ def plain(text):
 
 TEXTS = ["é x@y.z_q@r.s.t mail a.b+c@d-e.fg. a@b", "1.2.3.4.5.6 300.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112",
          "+1 (988) 555-2485 +49.30.123456789012345 +1-2 ++44 20 7946 0958", None, "", "a" * 20000 + "@" + "b." * 3000 + "c", "9" * 30000,
-         "+1" + " " * 3000, "x@y.z@w.v 😀 4111111111111111", "1.2.3.4"]
+         "+1" + " " * 3000, "x@y.z@w.v 😀 4111111111111111", "1.2.3.4", "0.0.0.0 10.00.0.255 256.1.1.1 1.1.1.000256"]
 
 
 def test_query_against_plain_patterns(spark):
@@ -73,14 +73,11 @@ def test_patterns_find_what_no_base_pattern_does(spark):
 def test_redaction(spark):
     rows = [(1, "é mail a@b.cd or 10.0.0.1, card 4111 1111 1111 1111.", 9, "x"), (2, "nothing", 7, "x"), (3, None, None, "x"),
             (1, "é mail a@b.cd or 10.0.0.1, card 4111 1111 1111 1111.", 9, "x"), (None, "+1 (988) 555-2485", 1, "x"),
-            (4, "+49 4111 1111 1111 1111", 1, "x")]
+            (4, "n 4111-1111-1111-1111, +49 (0) 4111 11111", 1, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, p_i string")
     got = pii.redacted(docs, pii.spans(docs))
     assert got.columns == docs.columns
     first = "é mail <EMAIL> or <IP>, card <CARD>."
-    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in got.collect()) == sorted([
-        ("1", first, len(first)), ("1", first, len(first)), ("2", "nothing", 7), ("3", None, None), ("None", "<PHONE>", 7),
-        ("4", "+49 <CARD>", 10)], key=str) or True
-    texts = [r.text for r in got.collect()]
-    assert texts.count(first) == 2 and "<PHONE>" in texts and None in texts and "nothing" in texts
-    assert not any(t and "4111" in t for t in texts)
+    assert {(r.doc_id, r.text, r.n_chars) for r in got.collect()} == {
+        (1, first, len(first)), (2, "nothing", 7), (3, None, None), (None, "<PHONE>", 7), (4, "n <CARD>, <PHONE>", 17)}
+    assert got.count() == len(rows)
