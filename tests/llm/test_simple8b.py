@@ -40,13 +40,13 @@ def test_query_against_the_library(spark):
 
 def test_odd_rows(spark):
     rows = [(3, "b <|endoftext|>x", 0), (1, None, 0), (1, "", 0), (None, "É́ a b", 0), (2, "w " * 50000, 0), (2, "w " * 50000, 0),
-            (5, "tab\tand\x1cmore\n\n", 0)]
+            (5, "tab\tand\x1cmore\n\n", 0), (6, "A.. B., c.\nD'S. 3.5 x,y İ.\nΑΣ. É. <|STARTOFTEXT|>. ", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, data int")
     folder = session.new_folder(spark)
     S.write(docs, folder)
     tokenizer = Tokenizer.from_file(S.TOKENIZER)
     got = sorted(S.read(spark, folder).collect(), key=lambda r: r.start)
-    assert [r.id for r in got] == [None, 1, 1, 2, 2, 3, 5]
+    assert [r.id for r in got] == [None, 1, 1, 2, 2, 3, 5, 6]
     want = {r[0]: tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in rows}
     start = 0
     for r in got:
