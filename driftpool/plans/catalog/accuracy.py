@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from driftpool.functions import metrics
 from driftpool.operators import drift, score, stream_ops
 from driftpool.plans.catalog import query
-from driftpool.plans.catalog.common import LINE, R2, SCORED, WINDOW, big, r, scored_lines
+from driftpool.plans.catalog.common import LINE, R2, SCORED, USER, WINDOW, big, r, scored_lines, user_rows
 from driftpool.plans.catalog.streams import DRIFT
 from driftpool.sources import tables
 
@@ -42,11 +42,34 @@ def accuracy_by_month(spark, folder):
         F.count("*").alias("n"), r(metrics.mae(Y, P)).alias("mae"))
 
 
-@query("pearson_significance")
+def _significance(groups):
+    """SQL for ``s(domain, r, n)``: the t distribution's tail as the finite sum it is for whole degrees of freedom."""
+    return f"""WITH {groups},
+k AS (SELECT domain, r, n, n - 2 AS v, unnest(generate_series(0, n // 2)) AS k FROM s),
+c AS (SELECT *, exp(sum(CASE WHEN k = 0 THEN 0 WHEN v % 2 = 0 THEN ln((2.0 * k - 1) / (2.0 * k))
+        ELSE ln(2.0 * k / (2.0 * k + 1)) END) OVER (PARTITION BY domain ORDER BY k)) AS f FROM k),
+t AS (SELECT domain, any_value(r) AS r, any_value(n) AS n, any_value(v) AS v,
+        coalesce(sum(f * power(1 - r * r, k)) FILTER (k <= (v - 2 - v % 2) // 2 AND v > 1), 0) AS total FROM c GROUP BY domain)
+SELECT domain, round(r, 6) + 0.0 AS pearson, CAST(n AS DOUBLE) AS n,
+  round(abs(1 - CASE WHEN v % 2 = 0 THEN abs(r) * total
+    ELSE 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * total) END), 6) AS p_value
+FROM t"""
+
+
+@query("pearson_of_users", _significance(f"""{USER},
+s AS (SELECT domain, corr(value, seq) AS r, count(*) AS n FROM usr GROUP BY domain HAVING count(*) >= 3)"""))
+def pearson_of_users(spark, folder):
+    """Correlation of an event's value with its place in the user's stream, and its p-value, for short streams."""
+    stats = user_rows(spark, folder).groupBy("domain").agg(
+        metrics.pearson("seq", "value").alias("pearson"), F.count("*").cast("double").alias("n")).filter("n >= 3")
+    return stats.withColumn("p_value", r(metrics.pearson_p("pearson", "n"), 6)).withColumn("pearson", r(F.col("pearson"), 6))
+
+
+@query("pearson_significance", _significance(f"{SCORED}, s AS (SELECT domain, corr(y, p) AS r, count(*) AS n FROM scored GROUP BY domain)"))
 def pearson_significance(spark, folder):
     stats = scored_lines(spark, folder).groupBy("domain").agg(
         metrics.pearson(Y, P).alias("pearson"), F.count("*").cast("double").alias("n"))
-    return stats.withColumn("p_value", metrics.pearson_p("pearson", "n"))
+    return stats.withColumn("p_value", r(metrics.pearson_p("pearson", "n"), 6)).withColumn("pearson", r(F.col("pearson"), 6))
 
 
 REPORT = f"""WITH {DRIFT}, d AS (

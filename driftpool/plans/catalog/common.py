@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftpool.operators import gram, score
-from driftpool.session import join_bounded
+from driftpool.session import join_bounded, staged
 from driftpool.sources import tables
 
 WINDOW = 30
@@ -82,7 +82,7 @@ def first_models(stream: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order-line streams with the prediction of their first model."""
-    stream = tables.line_stream(spark, folder)
+    stream = staged(tables.line_stream(spark, folder))      # ordered once, read for models and rows
     models = first_models(stream).drop("n")
     rows = stream.select("domain", "seq", "ts", "concept", "x1", "x2", "y")
     return join_bounded(rows, models, ["domain"]).select(
@@ -91,7 +91,8 @@ def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def user_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.event_rows(spark, folder, "user_id").withColumnRenamed("event_type", "model_id")
+    """Events of one user in time order, ordered once and read as often as a query needs."""
+    return staged(tables.event_rows(spark, folder, "user_id").withColumnRenamed("event_type", "model_id"))
 
 
 def supplier_models(stream: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def supplier_models(stream: DataFrame) -> DataFrame:
 
 def wide_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Every order line with the predictions of all ten models in one array."""
-    stream = tables.line_stream(spark, folder)
+    stream = staged(tables.line_stream(spark, folder))
     rows = stream.select("domain", "seq", "y", "x1", F.array("x1").alias("features"))
     models = supplier_models(stream).withColumn("pool_id", F.lit(0))
     return score.score_wide(rows.withColumn("pool_id", F.lit(0)), models, ["pool_id"]).drop("pool_id")
@@ -111,7 +112,7 @@ def wide_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def pool_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Long form of ``wide_predictions``: one row per order line and model."""
-    stream = tables.line_stream(spark, folder)
+    stream = staged(tables.line_stream(spark, folder))
     models = supplier_models(stream).drop("used_for").withColumn("pool_id", F.lit(0))
     rows = stream.select("domain", "seq", "y", F.array("x1").alias("features")).withColumn("pool_id", F.lit(0))
     return score.score_pool(rows, models, ["pool_id"]).drop("pool_id", "features")

@@ -293,8 +293,7 @@ def publishable_models(spark, folder):
     return pool.publishable(flagged, sent, 85).select("source", "model_id", "used_for")
 
 
-@query("qualified_ids", """SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS source,
-  CASE WHEN l_linenumber <= 3 THEN l_suppkey || '-' || l_linenumber ELSE l_suppkey || '-' || l_linenumber END AS model_id,
+@query("qualified_ids", """SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS source, l_suppkey || '-' || l_linenumber AS model_id,
   CAST(l_linenumber <= 3 AS INTEGER) AS own FROM lineitem""")
 def qualified_ids(spark, folder):
     own = F.col("l_linenumber") <= 3
