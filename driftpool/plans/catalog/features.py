@@ -174,13 +174,13 @@ def noisy_labels(spark, folder):
     return rows.select("domain", big(F.col("seq")).alias("seq"), r(y, 8).alias("y"))
 
 
-@query("streams_chosen", """WITH d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS domain FROM events)
+@query("streams_chosen", """WITH d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS domain FROM events ORDER BY md5(domain || '1'), domain LIMIT 12)
 SELECT e.event_type, count(*) AS n, count(DISTINCT e.user_id) AS streams FROM events e JOIN d ON d.domain = CAST(e.user_id AS VARCHAR)
 WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' GROUP BY 1""")
 def streams_chosen(spark, folder):
     from driftpool.sources.ingest import choose_streams, select_ranges
     rows = tables.table(spark, folder, "events").select(F.col("user_id").cast("string").alias("domain"), "event_type", F.to_date("ts").alias("date"))
-    chosen = choose_streams(rows.select("domain").distinct(), 0, "1")
+    chosen = choose_streams(rows.select("domain").distinct(), 12, "1")
     ranges = chosen.select("domain", F.lit("2024-01-03").cast("date").alias("from"), F.lit("2024-01-25").cast("date").alias("to"))
     return select_ranges(rows, ranges, "date").groupBy("event_type").agg(
         F.count("*").alias("n"), F.countDistinct("domain").alias("streams"))

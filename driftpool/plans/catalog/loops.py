@@ -1,9 +1,10 @@
 """Queries that run the keyed loop and ensembles along streams."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from driftpool.functions import metrics
-from driftpool.operators import drift, loop, online, pool, stream_ops
+from driftpool.functions import linalg, metrics
+from driftpool.operators import drift, loop, online, pool, score, stream_ops
 from driftpool.plans import sweep
 from driftpool.plans.catalog import query
 from driftpool.plans.catalog.common import LINE, r
@@ -95,6 +96,30 @@ def column_default(spark, folder):
     return result.select("domain", "seq", F.col("model_id").isNull().alias("no_model"), r(F.col("p"), 6).alias("p"))
 
 
+def label_mean(x, y):
+    """The plainest learner: the mean label of its rows, whatever the features."""
+    return np.zeros(x.shape[1]), float(y.mean())
+
+
+@query("own_learner", f"""WITH {LINE},
+first AS (SELECT domain, avg(y) AS m FROM stream WHERE seq <= 90 GROUP BY domain HAVING count(*) > 90 OR max(seq) = 90)
+SELECT s.domain, 91 AS seq, round(m, 6) + 0.0 AS p FROM first f JOIN stream s ON s.domain = f.domain AND s.seq = 91""")
+def own_learner(spark, folder):
+    """First prediction of the loop under a learner that the caller registers."""
+    linalg.register_learner("label_mean", label_mean)
+    result = loop.rows_of(loop.run_bounded(_stream(spark, folder), LoopConfig(eps=EPS, learner="label_mean")))
+    return result.filter("seq = 91").select("domain", F.col("seq").cast("int").alias("seq"), r(F.col("p"), 6).alias("p"))
+
+
+@query("biased_scores", f"""WITH {LINE} SELECT domain, seq, round(0.5 + 2 * x1 - x2, 6) + 0.0 AS p FROM stream""")
+def biased_scores(spark, folder):
+    """Rows scored by coefficients of which the first belongs to the bias column."""
+    rows = tables.line_stream(spark, folder)
+    features = score.biased(F.array("x1", "x2"))
+    coef = F.array(F.lit(0.5), F.lit(2.0), F.lit(-1.0))
+    return rows.select("domain", "seq", r(score.linear(features, coef, F.lit(0.0)), 6).alias("p"))
+
+
 @query("parameter_sweep")
 def parameter_sweep(spark, folder):
     """One keyed job over all streams and settings, compared afterwards."""

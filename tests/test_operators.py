@@ -315,6 +315,32 @@ def test_normalised_prediction_with_zero_weights(spark):
         score.pooled(big, ["domain"], max_pool=4).collect()
 
 
+def test_own_distance_and_pools_without_limit(spark):
+    vectors = spark.range(1500).select(F.lit("p").alias("pool"), F.format_string("m%04d", "id").alias("model_id"),
+                                       F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    pairs = similar.vector_pairs(vectors, ["pool"])
+    assert pairs.count() == 1500 * 1499 // 2
+    row = pairs.filter("i = 'm0007' AND j = 'm1007'").first()
+    assert row.d == 1000.0
+    own = similar.distance_pairs(vectors.limit(20), ["pool"], "vector", lambda a, b: abs(a[0] - b[0]) / 2)
+    assert own.count() == 190 and {r.d for r in own.filter("i = 'm0003' AND j = 'm0009'").collect()} == {3.0}
+
+
+def test_own_ensemble_reaches_the_tasks(spark, small):
+    from driftpool.operators import loop
+    from driftpool.sources import tables
+    ensemble.register("own_only", lambda p, y, target: (
+        np.eye(p.shape[1])[target] if target is not None else np.full(p.shape[1], 1.0 / p.shape[1]), 0.0))
+    cfg = LoopConfig(window=30, eps=0.1)
+    stream = session.staged(tables.as_stream(tables.line_stream(spark, small)))
+    result = session.staged(loop.run(stream, cfg))
+    pooled = online.pools(result, pool.complete_edges(stream.select("domain")), cfg, 100)
+    got = online.combine(stream, result, pooled, cfg, "own_only").filter("seq > 30")
+    assert got.count() > 0 and got.filter("abs(p - p_own) > 1e-12").isEmpty()
+    with pytest.raises(ValueError):
+        ensemble.register("ols", None)
+
+
 def test_sweep_copies_and_summary(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "domain string, v double")
     out = sweep.expand(rows, [{"w": 10}, {"w": 20}])

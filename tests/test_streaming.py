@@ -11,6 +11,9 @@ from driftpool.sources import ingest, tables
 from driftpool.streaming import runner
 
 
+KEY = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _write(rows, folder, parts, columns):
     total = rows.count()
     for i in range(parts):
@@ -82,6 +85,24 @@ def test_restart_and_late_rows(spark, source, tmp_path):
     assert rows.keys() == want.keys() and max(abs(rows[k] - want[k]) for k in rows) < 1e-9
 
 
+def test_rows_of_one_time_are_ordered_by_id(spark, source, tmp_path):
+    """Batch and stream agree where many rows share a time, also over a cut between them."""
+    cfg = LoopConfig(window=20, eps=0.05)
+    ties = source.withColumn("ts", F.date_trunc("day", "ts")).withColumn("event_id", F.col("_at") + 1)
+    columns = ["domain", "ts", "event_id", "features", "y"]
+    folder = str(tmp_path / "in")
+    _write(ties, folder, 3, columns)
+    stream = ingest.replay(spark, folder, ties.select(*columns).schema)
+    (runner.run_stream(stream, cfg, id_col="event_id").writeStream.format("memory").queryName("tied")
+     .option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination(240))
+    got = {(r.domain, r.seq): r.p for r in spark.table("tied").filter("kind = 'row'").collect()}
+    want = {(r.domain, r.seq): r.p for r in loop.run(source, cfg).filter("kind = 'row'").collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    with pytest.raises(ValueError):
+        spark.conf.unset(KEY), runner.run_stream(stream, cfg)
+    spark.conf.set(KEY, runner.STORE)
+
+
 def test_tumbling_accuracy_and_registry(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [("a", start + dt.timedelta(minutes=i), float(i % 7), float(i % 7) + (0.5 if i >= 60 else 0.0)) for i in range(120)]
