@@ -17,7 +17,7 @@ DROPOUT = 0.1
 VARIANTS = 4
 VARIANTS_MOST = 64
 RUN = 32
-CACHED = 400_000
+CACHED = 700_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -62,6 +62,7 @@ class Pieces:
         self.ranks = np.array([merges[k][0] for k in keys.tolist()] + [NONE], np.int64)
         self.merged = np.array([merges[k][1] for k in keys.tolist()] + [-1], np.int64)
         self.single = {p: i for p, i in normal.items() if len(p) == 1}
+        self._lay_out()
         # a space inside a piece only in runs of spaces: text may be cut before each run
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("a piece of the model spans words")
@@ -74,10 +75,31 @@ class Pieces:
         table[ord(" ")], table[ord(SPACE)] = table[ord(SPACE)], -1 - ord(SPACE)
         self.symbols = table
 
+    def _lay_out(self):
+        # slots of a hash of the pair; where two pairs share one, the sorted keys are searched
+        slots = self._slot(self.keys[:-1])
+        self.slots = np.full(1 << 21, len(self.keys) - 1, np.int64)
+        self.slots[slots] = np.arange(len(slots))
+        self.shared = np.zeros(1 << 21, bool)
+        values, counts = np.unique(slots, return_counts=True)
+        self.shared[values[counts > 1]] = True
+
+    def _slot(self, key):
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+
+    def _find(self, key):
+        slot = self._slot(key)
+        at = self.slots[slot]
+        odd = np.flatnonzero(self.shared[slot])
+        if len(odd):
+            at[odd] = np.searchsorted(self.keys, key[odd])
+        return at
+
     def _candidates(self, left, right, start, middle, end, salt, limit):
         """(rank, merged piece) of neighbours; NONE where there is no merge or its hash drops it."""
         key = np.where((left >= 0) & (right >= 0), left * self.n + right, np.int64(-1))
-        at = np.searchsorted(self.keys, key)
+        at = self._find(key)
         hit = self.keys[at] == key
         rank, new = np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
         if limit:
@@ -101,7 +123,8 @@ class Pieces:
         """
         limit = min(int(dropout * 2 ** 64), 2 ** 64 - 1)
         out = [b""] * len(parts)
-        parts = [x if x[0] in (" \n" if self.lines else " ") else " " + x for x in parts]
+        bare = " \n" if self.lines else " "
+        parts = [x if x[0] in bare else " " + x for x in parts]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         text = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
         sym = self.symbols[text]
