@@ -23,8 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+_marked = set()
+
+
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    """A new path below a folder of this application, which is removed when the application ends."""
+    context = spark.sparkContext
+    home = f"{shared_folder(spark)}/staged-{context.applicationId}"
+    if home not in _marked:
+        path = context._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(home)
+    return f"{home}/{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
