@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -75,7 +76,31 @@ class Pieces:
         table[ord(" ")], table[ord(SPACE)] = table[ord(SPACE)], -1 - ord(SPACE)
         self.symbols = table
 
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """What lists of ids spell, without the space put before each text."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        sizes, starts = self.sizes[ids], self.starts[ids]
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        lead = self.pool[starts[first]] == 32 if len(first) else first.astype(bool)
+        sizes[first[lead]] -= 1
+        starts[first[lead]] += 1
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        spelled = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        stops = np.append(0, ends)[np.append(0, np.cumsum(counts))].astype(np.int32)
+        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(stops), pa.py_buffer(spelled.tobytes()))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:     # ids that spell no whole characters
+            raw = spelled.tobytes()
+            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(stops, stops[1:])], pa.string())
+        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.string()))
+
     def _lay_out(self):
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(self.raw) + b"\0", np.uint8)
         # slots of a hash of the pair; where two pairs share one, the sorted keys are searched
         slots = self._slot(self.keys[:-1])
         self.slots = np.full(1 << 21, len(self.keys) - 1, np.int64)
@@ -288,15 +313,14 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     data = _model(model)
 
     def run(lists: pa.Array) -> pa.Array:
-        raw = pieces(data).raw
-        out = []
-        for one in lists:
-            if not one.is_valid:
-                out.append(None)
-                continue
-            text = b"".join([raw[i] for i in one.values.to_numpy().tolist()])
-            out.append(text[1:].decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        table, parts, at = pieces(data), [], 0
+        ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+        while at < len(lists):      # about a million ids at a time
+            goal = (ends[at - 1] if at else 0) + (1 << 20)
+            end = max(at + 1, int(np.searchsorted(ends, goal)))
+            parts.append(table.texts(lists.slice(at, end - at)))
+            at = end
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
     return arrow_udf(run, "string")(ids)
 
 
