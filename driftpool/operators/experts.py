@@ -8,7 +8,7 @@ row then takes its weights from closed form.
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from driftpool.plans import config
 from driftpool.plans.sequence import CHUNK_ROWS, running_sum
@@ -16,16 +16,24 @@ from driftpool.session import staged
 
 
 def in_spans(rows: DataFrame, spans: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Join rows to the spans ``[start_seq, end_seq]`` they fall in.
+    """Rows with the span ``[start_seq, end_seq]`` they fall in; spans of a key do not overlap.
 
-    Spans are listed once per chunk of ``seq`` they touch, so this is an equal
-    join of bounded fan-out plus a filter.
+    Spans are listed once per chunk of ``seq`` they touch and take their place
+    among its rows; a row belongs to the last span that began. No row meets
+    more than one span, however short the spans are.
     """
     listed = spans.withColumn("_chunk", F.explode(F.sequence(
         F.floor(F.col("start_seq") / chunk_rows), F.floor(F.col("end_seq") / chunk_rows))))
-    placed = rows.withColumn("_chunk", F.floor(F.col("seq") / chunk_rows))
-    return (placed.join(listed, keys + ["_chunk"])
-            .filter(F.col("seq").between(F.col("start_seq"), F.col("end_seq"))).drop("_chunk"))
+    listed = listed.select(*keys, "_chunk", F.greatest("start_seq", F.col("_chunk") * chunk_rows).alias("_at"),
+                           F.struct(*[c for c in spans.columns if c not in keys]).alias("_span"))
+    placed = rows.select(*keys, F.floor(F.col("seq") / chunk_rows).alias("_chunk"), F.col("seq").alias("_at"),
+                         F.struct(*[c for c in rows.columns if c not in keys]).alias("_row"))
+    both = placed.withColumn("_span", F.lit(None).cast(listed.schema["_span"].dataType)).unionByName(
+        listed.withColumn("_row", F.lit(None).cast(placed.schema["_row"].dataType)))
+    order = (Window.partitionBy(*keys, "_chunk").orderBy("_at", F.col("_row").isNotNull())
+             .rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_span", F.last("_span", True).over(order))
+    return found.filter("_row IS NOT NULL AND _at <= _span.end_seq").select(*keys, "_row.*", "_span.*")
 
 
 def group_choice(pairs: DataFrame, spans: DataFrame, cut: int, least_rows: int,
