@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.join(F.broadcast(marked), "id").orderBy(F.xxhash64("id", "text"), "id").limit(max_rows)
     rows = rows.withColumn("part", F.when(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(4)) == 0, "calibrate")
                            .otherwise("trees"))
-    rows = staged(rows)
+    rows = staged(rows.repartition(16, "id"))    # the limit leaves them in one partition
     sides = {(r["part"], r["label"]): r["n"] for r in rows.groupBy("part", "label").agg(F.count("*").alias("n")).collect()}
     total, ones = sum(sides.values()), sum(n for (_, y), n in sides.items() if y == 1)
     if any((part, y) not in sides for part in ("trees", "calibrate") for y in (0.0, 1.0)):
