@@ -222,8 +222,10 @@ def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(spans_, -1)["end"].cast("int") + 1,
                                                            F.lit(2147483647)))
     new = F.when(spans_.isNotNull(), clean).otherwise(F.col(f"`{text_col}`"))
+    change = F.aggregate(spans_, F.lit(0).cast("bigint"),
+                         lambda n, s: n + F.length(s["kind"]) + 2 - (s["end"] - s["start"]))
     columns = {text_col: new}
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        columns[length_col] = F.when(spans_.isNotNull(), F.length(clean).cast(kind)).otherwise(F.col(f"`{length_col}`"))
+        columns[length_col] = F.when(spans_.isNotNull(), (F.length(text) + change).cast(kind)).otherwise(F.col(f"`{length_col}`"))
     return met.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
