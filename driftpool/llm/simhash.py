@@ -1,4 +1,4 @@
-"""SimHash near-duplicates found through deletion-variant signatures."""
+"""Near-duplicates: SimHashes found through deletion-variant signatures, and exact Jaccard of shingles through prefixes."""
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftpool.llm.bounds import measured
 from driftpool.llm.components import connected_components
-from driftpool.session import staged
+from driftpool.session import staged, unstaged
 
 BITS = 64
 # pairs of members of two neighbouring buckets beyond which masks are enumerated instead of pairs
@@ -165,9 +165,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 SHINGLE, SIMILARITY = 5, 0.8
-WIDE = 4          # words of 64 bits in the fingerprint that similarity is judged by
-SAMPLES, EACH = 12, 3
-SMALL_BUCKET = 24
+PARITY = 8             # words of 64 bits in the parities of a set
+SAMPLED, MOST_COMMON = 8192, 250_000   # texts and shingles in the estimate of what is frequent
+STARS, HEAVY = 4, 1 << 22              # rounds of cheap comparisons, and comparisons of a bucket worth another one
+BLOCK = 1 << 12
 
 
 def _mixed(x):
@@ -177,117 +178,193 @@ def _mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-_KEYS = _mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a whole text; one text without words is like another."""
+    words = (text or "").encode("utf-8").lower().split()
+    n, digest, joined = len(words), xxhash.xxh64_intdigest, b" ".join(words)
+    if n <= size:
+        return np.array([digest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(
+        (ends - lengths)[:n - size + 1].tolist(), ends[size - 1:].tolist())], np.uint64))
 
 
-def sketch(text: str | None, size: int = SHINGLE) -> tuple[list[int], list[int]]:
-    """(words of the wide fingerprint, sampled fingerprints) of the distinct shingles of a whole text.
+def sketch(hashes: np.ndarray, similarity: float, known: np.ndarray, seen: np.ndarray):
+    """(two hashes of the set, its parities, its prefix) of a set of shingles.
 
-    A sampled fingerprint is the SimHash of the EACH shingles that come first under a keyed order, so texts of
-    similarity s share one with a chance of about s ** EACH.
+    The prefix holds the shingles that come first in the order of (estimated frequency, hash), as many as it takes
+    for two sets of the similarity to have one in common. Parities tell for each of 64 * PARITY bins of shingles if
+    it holds an odd number: sets that differ in d shingles differ in at most d parities.
     """
-    words = (text or "").encode("utf-8").lower().split()
-    n, digest = len(words), xxhash.xxh64_intdigest
-    if not n:
-        return [0] * WIDE, [0] * SAMPLES
-    joined = b" ".join(words)
-    if n <= size:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(lengths + 1) - 1
-        hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(
-            (ends - lengths)[:n - size + 1].tolist(), ends[size - 1:].tolist())], np.uint64))
-    wide = []
-    for k in range(WIDE):
-        bits = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), 1 << 15):
-            part = _mixed(hashes[at:at + (1 << 15)] + np.uint64(k)).astype("<u8")
-            bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        wide.append(int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<i8")[0]))
-    samples = []
-    first = np.resize(hashes, EACH) if len(hashes) < EACH else None
-    for key in _KEYS:
-        if first is None:
-            order = _mixed(hashes ^ key)
-            a, b, c = np.partition(order, EACH - 1)[:EACH]
-        else:
-            a, b, c = np.sort(_mixed(first ^ key))
-        samples.append(int(((a & b) | (a & c) | (b & c)).astype(np.int64)))
-    return wide, samples
-
-
-def most_bits(similarity: float) -> int:
-    """Differing bits of the wide fingerprint that sets of this Jaccard similarity have on average."""
-    return round(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) * WIDE * BITS)
-
-
-def _sketches(docs, id_col, text_col, size):
+    n, mixed = len(hashes), _mixed(hashes)
+    with np.errstate(over="ignore"):
+        x, y = mixed.sum(dtype=np.uint64), _mixed(mixed ^ np.uint64(SEED)).sum(dtype=np.uint64)
+    odd = np.bincount((mixed >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, seen[at], 0), kind="stable")]
+    return x, y, np.packbits(odd.astype(np.uint8)).view(np.int64), hashes[:min(most, n)].view(np.int64)
+
+
+def _few(batches, rows=256):
+    # a worker holds the shingles of few texts at once
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lists(parts):
+    ends = np.cumsum([0] + [len(p) for p in parts])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts)))
+
+
+def _frequent(rows, size, total):
+    """(shingles, counts) that recur in a bounded sample of the texts: only an order is taken from it."""
     def run(batches):
-        for batch in batches:
-            found = [sketch(t, size) for t in batch.column(1).to_pylist()]
+        for batch in _few(batches):
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, size).view(np.int64))], names=["hash"])
+    share = min(1 << 20, -(-(SAMPLED << 20) // max(1, total)))
+    some = rows.filter(F.pmod(F.xxhash64("id", "mark"), F.lit(1 << 20)) < share).select("text")
+    top = (some.mapInArrow(run, "hash bigint").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+           .orderBy(F.desc("n"), "hash").limit(MOST_COMMON).toArrow())
+    known = top.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], top.column("n").to_numpy().astype(np.int64)[order]
+
+
+def _sketches(rows, kind, size, similarity, frequent):
+    def run(batches):
+        for batch in _few(batches):
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            found = [sketch(s, similarity, *frequent) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([w for w, _ in found], pa.list_(pa.int64())),
-                 pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["id", "mark", "wide", "samples"])
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, mark bigint, wide array<bigint>, samples array<bigint>")
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                 *[pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in (0, 1)],
+                 *[_lists([f[k] for f in found]) for k in (2, 3)]],
+                names=["id", "mark", "n", "x", "y", "parity", "prefix"])
+    return rows.mapInArrow(run, f"id {kind}, mark bigint, n bigint, x bigint, y bigint, parity array<bigint>, "
+                                "prefix array<bigint>")
 
 
-def _alike(most):
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WIDE)), F.lit(0))
-    return apart <= most
+def _sets(rows, size):
+    # (node, set) of (node, text)
+    def run(batches):
+        for batch in _few(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([
+                shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()])], names=["node", "set"])
+    return rows.mapInArrow(run, "node bigint, set array<bigint>")
+
+
+def _possible(similarity):
+    """What the sizes and parities of sets a and b leave open; no pair of the similarity is turned away."""
+    apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY)), F.lit(0))
+    most = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    return (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-6) & (apart <= most)
+
+
+def _side(rows, s, *keep):
+    return rows.select(*keep, F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("parity").alias(f"p{s}"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
-                    similarity: float = SIMILARITY, radius: int = 3) -> DataFrame:
+                    similarity: float = SIMILARITY) -> DataFrame:
     """Staged (id, mark, first_id, first_mark, many): the document that stands for the group of each distinct row.
 
-    Rows are told apart by id and ``mark``, a hash of the text; ``many`` counts repeated rows. Candidates are texts
-    with a 64-bit word of their fingerprint within ``radius`` bits, found by the deletion-variant index, and texts
-    with equal sampled fingerprints; a link needs the similarity by the wide fingerprint. Buckets of sampled
-    fingerprints of more than SMALL_BUCKET texts are not paired: their members are compared with four of them,
-    other ones in every bucket. The smallest id of a group stands for it (null last); null and empty texts are
-    one group.
+    Rows are told apart by id and ``mark``, a hash of the text; ``many`` counts repeated rows. Texts are linked if
+    the Jaccard similarity of their distinct shingles, counted exactly, is at least ``similarity``; groups are the
+    components. Two such texts share a shingle of their prefixes, so the texts with one shingle in their prefix are
+    a bucket, and buckets of the same texts are one. Members are first compared with one of them, in heavy buckets
+    with a few; then, in every bucket of whatever size, each member outside the component that most are in is
+    compared with all of other components. No pair of one bucket is left that is neither compared nor in one
+    component. The smallest id of a group stands for it (null last); null and empty texts are one group.
     """
-    rows = staged(_sketches(docs, id_col, text_col, size))
-    nodes = rows.groupBy("id", "mark").agg(F.count("*").alias("many"), F.any_value("wide").alias("wide"),
-                                           F.any_value("samples").alias("samples"))
-    # equal fingerprints are one text to this method: they need no pairs
-    nodes = staged(nodes)
-    texts = staged(nodes.groupBy("wide", "samples").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("key"))
-                   .withColumn("node", F.monotonically_increasing_id()))
-    keyed = staged(texts.select("node", "wide", F.posexplode("samples").alias("band", "sample")))
-    sizes = keyed.groupBy("band", "sample").agg(F.count("*").alias("n"), *[
-        f(F.struct(F.xxhash64("node", "band", F.lit(k)), "node", "wide")).alias(f"{f.__name__}{k}")
-        for k in (1, 2) for f in (F.min, F.max)]).filter("n > 1")
-    sizes = staged(sizes)
-    small = sizes.filter(F.col("n") <= SMALL_BUCKET).select("band", "sample")
-    few = keyed.join(small, ["band", "sample"])
-    pairs = (few.select("band", "sample", F.col("node").alias("a"), F.col("wide").alias("x"))
-             .join(few.select("band", "sample", F.col("node").alias("b"), F.col("wide").alias("y")), ["band", "sample"])
-             .filter("a < b").filter(_alike(most_bits(similarity))).select("a", "b"))
-    large = sizes.filter(F.col("n") > SMALL_BUCKET).select("band", "sample", F.explode(F.array(
-        *[F.col(c) for c in ("min1", "max1", "min2", "max2")])).alias("lead"))
-    led = (keyed.join(large, ["band", "sample"])
-           .select(F.col("lead.node").alias("a"), F.col("lead.wide").alias("x"), F.col("node").alias("b"),
-                   F.col("wide").alias("y")).filter("a != b").filter(_alike(most_bits(similarity))).select("a", "b"))
-    words = texts.select("node", "wide", F.col("wide")[0].alias("fp"))
-    close = links(words, radius)
-    lead = words.groupBy("fp").agg(F.min(F.struct("node", "wide")).alias("lead"))
-    close = (close.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a")
-             .join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b")
-             .select(F.col("la.node").alias("a"), F.col("la.wide").alias("x"), F.col("lb.node").alias("b"),
-                     F.col("lb.wide").alias("y")).filter(_alike(most_bits(similarity))).select("a", "b"))
-    root = connected_components(pairs.unionAll(led).unionAll(close), "a", "b")
-    root = root.select(F.col("node").alias("n"), "root")
-    rooted = staged(texts.join(root, F.col("node") == F.col("n"), "left").select(
-        "key", "wide", "samples", F.coalesce("root", "node").alias("root")))
+    text = F.col(f"`{text_col}`").cast("string")
+    given = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    frequent = _frequent(given, size, docs.count())
+    used = []
+
+    def held(df):
+        used.append(staged(df))
+        return used[-1]
+
+    rows = held(_sketches(given, docs.schema[id_col].dataType.simpleString(), size, similarity, frequent)
+                .withColumn("row", F.monotonically_increasing_id()))
+    # equal sets are one text to this method: they need no pairs
+    texts = held(rows.groupBy("n", "x", "y").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("key"),
+                                                 F.min("row").alias("node")))
+    marked = rows.join(measured(texts.select("node")), F.col("row") == F.col("node")).select(
+        "node", "n", "parity", "prefix")
+    keyed = marked.select("node", F.explode("prefix").alias("key"))
+    shared = held(keyed.join(measured(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
+                                      .select("key")), "key"))
+    buckets = (shared.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("lead"), *[
+        F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (0, 1)])
+        .groupBy("many", "lead", "h0", "h1").agg(F.min("key").alias("key")).select("key", "lead"))
+    buckets = measured(buckets)
+    members = held(shared.join(buckets.select("key"), "key"))
+
+    def verified(pairs):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        which = measured(texts.join(ends, "node").select("node", F.col("key.id").alias("i"), F.col("key.mark").alias("m")))
+        sets = given.join(which, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
+        sets = staged(_sets(sets.select("node", "text").dropDuplicates(["node"]), size))
+        both = F.size(F.array_intersect("x", "y"))
+        # the side that many pairs may share is joined first, while rows are short
+        found = held(pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+                      .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+                      .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
+                      .filter(F.col("both") / (F.col("all") - F.col("both")) >= similarity).select("a", "b"))
+        unstaged(sets)
+        return found
+
+    def starred(leads, rows):
+        # every member beside the lead of its bucket
+        star = rows.join(leads.select("key", F.col("lead").alias("a")), "key").filter("a != node")
+        star = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        return (star.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_possible(similarity))
+                .select("a", "b"))
+
+    tried = held(starred(buckets, members))
+    linked = verified(tried)
+    for turn in range(1, STARS + 1):
+        root = connected_components(linked, "a", "b").select(F.col("node").alias("m"), "root")
+        rooted = held(members.join(root, F.col("node") == F.col("m"), "left").select(
+            "key", "node", F.coalesce("root", "node").alias("root")))
+        open_ = measured(rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
+            F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("many"), F.max("c").alias("most"))
+            .filter("most < many"))
+        heavy = open_.filter((F.col("many") - F.col("most")) * F.col("many") > HEAVY)
+        if turn == STARS or heavy.isEmpty():
+            break
+        some = rooted.join(heavy.select("key", "main"), "key")
+        leads = some.filter("root != main").groupBy("key").agg(
+            F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("lead"))
+        fresh = held(starred(leads, some).join(tried, ["a", "b"], "left_anti"))
+        tried, linked = tried.unionAll(fresh), linked.unionAll(verified(fresh))
+    cuts = F.ceil(F.col("many") / BLOCK)
+    apart = rooted.join(open_, "key").join(marked.select("node", "n", "parity"), "node")
+    odd = _side(apart.filter("root != main"), "a", "key", F.col("root").alias("ra"),
+                F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1)).alias("block"))
+    full = _side(apart, "b", "key", "main", F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), cuts).alias("block"))
+    rest = (odd.join(full, ["key", "block"]).filter("ra != rb AND (a < b OR rb = main)").filter(_possible(similarity))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = held(rest.join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        linked = linked.unionAll(verified(rest))
+    root = connected_components(linked, "a", "b").select(F.col("node").alias("m"), "root")
+    rooted = held(texts.join(root, F.col("node") == F.col("m"), "left").select(
+        "n", "x", "y", "key", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("key").alias("first"))
-    named = rooted.join(least, "root").select("wide", "samples", "first")
-    return staged(nodes.join(named, ["wide", "samples"]).select(
+    named = rooted.join(least, "root").select("n", "x", "y", "first")
+    result = staged(rows.groupBy("id", "mark").agg(F.count("*").alias("many"), *[F.any_value(c).alias(c) for c in "nxy"])
+                    .join(named, ["n", "x", "y"]).select(
         "id", "mark", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"), "many"))
+    for table in used:
+        unstaged(table)
+    return result
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

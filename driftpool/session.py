@@ -51,7 +51,16 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._staged_at = path
+    return kept
+
+
+def unstaged(df: DataFrame) -> None:
+    """Remove the files of a table that ``staged`` returned; nothing may read it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:

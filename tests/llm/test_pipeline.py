@@ -75,3 +75,51 @@ def test_large_group_of_near_copies(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.deduplicated(docs).count() == 1
+
+
+def grouped(texts):
+    """How many groups texts have, comparing all pairs."""
+    bags, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[:i]):
+            both = len(a & b)
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                root[top(i)] = top(j)
+    return len({top(i) for i in range(len(texts))})
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return simhash.deduplicated(docs).count()
+
+
+def test_chain_of_revisions(spark):
+    """Each text is like its neighbours only, and all share a passage."""
+    common, words = [f"c{k}" for k in range(60)], [f"w{k}" for k in range(300 + 10 * 400)]
+    texts = [" ".join(common + words[10 * i:10 * i + 240]) for i in range(400)]
+    texts = [texts[i * 7 % 400] for i in range(400)]
+    assert grouped(texts[:1] + texts[7:8]) == 2 and grouped(texts) == 1
+    assert kept(spark, texts) == 1
+
+
+def test_star_of_copies(spark, monkeypatch):
+    """Copies like one original, which is not the first, but not like each other; and some that are like none."""
+    words, texts = [f"w{k}" for k in range(300)], []
+    for i in range(400):
+        copy = list(words)
+        for k in range(6):
+            copy[5 + k * 48 + i * (2 * k + 1) % 43] = f"x{i} {k}".replace(" ", "-")
+        texts.append(" ".join(copy))
+    texts.insert(277, " ".join(words))
+    texts += [" ".join(words[:200] + [f"y{i}-{k}" for k in range(100)]) for i in range(20)]
+    assert grouped(texts[:30]) > 1
+    want = grouped(texts)
+    assert want == 21 and kept(spark, texts) == want
+    monkeypatch.setattr(simhash, "HEAVY", 10)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    assert kept(spark, texts) == want
