@@ -123,3 +123,19 @@ def test_star_of_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HEAVY", 10)
     monkeypatch.setattr(simhash, "BLOCK", 64)
     assert kept(spark, texts) == want
+
+
+def test_similarity_is_exact(spark):
+    """Pairs of Jaccard 0.8 are found, those just below are kept apart, in short and long texts."""
+    texts, groups = [], 0
+    for i in range(150):
+        for like in (True, False):
+            n, same = (9, 8) if i % 3 == 0 else (90, 80) if i % 3 == 1 else (900, 800)
+            # of 2 * n - same shingles in all ``same`` are shared: 8 of 10, 80 of 100, 800 of 1000; one less is below
+            same -= not like
+            at = f"d{i}{like}"
+            first = [f"{at}s{k}" for k in range(same + 4)]
+            texts += [" ".join(first + [f"{at}a{k}" for k in range(n - same)]),
+                      " ".join([f"{at}b{k}" for k in range(n - same)] + first)]
+            groups += 1 if like else 2
+    assert grouped(texts[:12]) == 18 // 2 and kept(spark, texts) == groups
