@@ -123,9 +123,28 @@ def phrases(index: Index) -> DataFrame:
 
 
 def near(index: Index, slop: int = 3, share: float = 0.8) -> DataFrame:
-    """(id, mark, item, item_id, words): items of which so large a share of the words stands near its place."""
+    """(id, mark, item, item_id, words): items of which so large a share of the words stands near its place.
+
+    A place is ``shift`` + j for one shift of the whole item, near it is within ``slop``. Where the share is met, one
+    of any n - share * n + 1 words of the item is: lists of the rarest ones, as many as that, give the shifts.
+    """
     names = measured(index.terms.select("item", "item_id", "n").distinct())
-    counts = aligned(index, slop).groupBy("id", "mark", "item", "shift").agg(F.countDistinct("j").alias("words"))
+    rarest = Window.partitionBy("item").orderBy("seen", "j")
+    many = F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    rare = measured(index.terms.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= many)
+                    .filter("seen > 0").select("item", F.col("j").alias("a"), "tid"))
+    lists = index.postings.filter("tid IS NOT NULL").select("id", "mark", "pos", "tid")
+    offs = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
+    start = staged(lists.join(rare, "tid").select("id", "mark", "item", (F.col("pos") - F.col("a")).alias("s"),
+                                                  offs.alias("off"))
+                   .select("id", "mark", "item", (F.col("s") + F.col("off")).alias("shift")).distinct())
+    expected = measured(index.terms.select("item", "j", F.col("tid").alias("want")))
+    wanted = start.join(expected, "item").select("*", offs.alias("off")).withColumn(
+        "at", F.col("shift") + F.col("j") + F.col("off"))
+    left = lists.select(F.col("id").alias("i"), F.col("mark").alias("m"), "pos", "tid")
+    counts = wanted.join(left, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))
+                         & (F.col("at") == F.col("pos")) & (F.col("want") == F.col("tid"))).groupBy(
+        "id", "mark", "item", "shift").agg(F.countDistinct("j").alias("words"))
     best = counts.groupBy("id", "mark", "item").agg(F.max("words").alias("words"))
     return best.join(names, "item").filter(F.col("words") >= share * F.col("n")).select(
         "id", "mark", "item", "item_id", "words")

@@ -72,3 +72,18 @@ def test_proximity(spark):
     index = decontaminate.build(docs, items)
     assert [r.id for r in decontaminate.near(index, slop=2).collect()] == [1]
     assert decontaminate.phrases(index).count() == 0
+
+
+def test_proximity_over_the_whole_item(spark):
+    """A word put in or left out in the middle of a long item, and a short one whose rarest word is another."""
+    long = [f"w{k}" for k in range(60)]
+    short = "red orange yellow green blue violet white black grey rare".split()
+    docs = spark.createDataFrame([(1, " ".join(["before"] + long[:30] + ["new"] + long[30:])),
+                                  (2, " ".join(long[:30] + long[31:])), (3, " ".join(short[:9] + ["other"])),
+                                  (4, " ".join(long[:47])), (5, "rare"), (6, " ".join(short[:7]))],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(short[:9] + ["absent"]))],
+                                  "item_id int, text string")
+    index = decontaminate.build(docs, items)
+    got = {(r.id, r.item_id): r.words for r in decontaminate.near(index).collect()}
+    assert got == {(1, 1): 60, (2, 1): 59, (3, 2): 9, (3, 3): 9}
