@@ -18,7 +18,7 @@ def connect(folder):
 def _plain(frame):
     frame = frame[sorted(frame.columns)]
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if hasattr(v, "tolist"):
             v = v.tolist()
