@@ -3,7 +3,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftpool.llm import decontaminate, fixity, imatch, pii, redirects, sentencepieces, simhash, simple8b, suffixes, toxicity
+from driftpool.llm import (decontaminate, fixity, imatch, oddsketch, pii, prefixtrie, redirects, sentencepieces, simhash,
+                           simple8b, suffixes, toxicity, vantage)
 from driftpool.llm.catalog import query
 from driftpool.session import new_folder
 
@@ -157,3 +158,98 @@ def op5_merkle_fixity(spark, folder):
     return found.select(F.col("id").alias("page_id"), F.col("start").alias("warc_offset"),
                         (F.col("end") - F.col("start")).alias("warc_length"), F.col("digest").alias("sha256"),
                         F.col("what").isNotNull().alias("damaged"))
+
+
+def _trie_sql():
+    # the CRC-32 of digits, four bits at a time: fixed values are the remainders of 0 to 15
+    remainders = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        remainders.append(k)
+    digits = "flatten([[ascii(x) & 15, ascii(x) >> 4] for x in string_split(CAST(conv_id AS VARCHAR), '')])"
+    crc = f"""xor(list_reduce([4294967295::BIGINT] || [CAST(n AS BIGINT) for n in {digits}],
+      lambda c, n: xor(c >> 4, ({remainders}::BIGINT[])[CAST(xor(c, n) & 15 AS INTEGER) + 1])), 4294967295)"""
+    return f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(t ORDER BY place) AS turns, {crc} % 9 AS h FROM t GROUP BY conv_id),
+built AS (
+  SELECT c.conv_id, coalesce(g.turns[:CAST(c.h AS INTEGER)], []) || c.turns[CAST(c.h AS INTEGER) + 1:] AS turns
+  FROM c LEFT JOIN c g ON g.conv_id = c.conv_id - (c.conv_id % 5 + 5) % 5),
+member AS (
+  SELECT conv_id, len(turns) AS size, d AS depth, turns[:CAST(d AS INTEGER)] AS path
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+node AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN depth = 0 THEN 0 ELSE strlen(path[depth].text) END AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends
+  FROM member GROUP BY depth, path),
+kid AS (
+  SELECT p.depth, p.path, count(k.depth) AS n_children
+  FROM node p LEFT JOIN node k ON k.depth = p.depth + 1 AND k.path[:CAST(p.depth AS INTEGER)] = p.path GROUP BY p.depth, p.path),
+whole AS (SELECT n.*, k.n_children FROM node n JOIN kid k ON n.depth = k.depth AND n.path = k.path),
+below AS (
+  SELECT a.depth, a.path, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved
+  FROM whole a JOIN (SELECT w.*, unnest(range(0, depth + 1)) AS up FROM whole w) b
+    ON b.up = a.depth AND b.path[:CAST(b.up AS INTEGER)] = a.path GROUP BY a.depth, a.path)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, b.n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+FROM whole w JOIN below b ON w.depth = b.depth AND w.path = b.path
+  LEFT JOIN node p ON p.depth = w.depth - 1 AND p.path = w.path[:CAST(w.depth - 1 AS INTEGER)] AND w.depth > 0"""
+
+
+@query("op11_prefix_trie", _trie_sql())
+def op11_prefix_trie(spark, folder):
+    """Every node of the trie of the rebuilt conversations."""
+    return prefixtrie.nodes(prefixtrie.rebuilt(table(spark, folder, "conversations")))
+
+
+def _clusters_sql():
+    squared = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = lambda k: f"""  SELECT vec_id, key, v, c_id, d FROM (
+    SELECT v.vec_id, v.key, v.v, c.c_id, CAST({squared} AS BIGINT) AS d,
+      row_number() OVER (PARTITION BY v.key, v.vec_id, v.copy ORDER BY {squared}, c.c_id) AS place
+    FROM whole v, c{k} c) WHERE place = 1"""
+    rounds = ""
+    for k in range(vantage.ROUNDS):
+        rounds += f"""
+a{k} AS MATERIALIZED (
+{assign(k)}),
+m{k} AS (
+  SELECT c_id, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT c_id, i, CAST(sum(v[i]) AS DOUBLE) AS s, count(*) AS n FROM a{k}, range(1, {vantage.DIMENSIONS + 1}) r(i) GROUP BY c_id, i)
+  GROUP BY c_id),
+c{k + 1} AS MATERIALIZED (SELECT c.c_id, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m ON c.c_id = m.c_id),"""
+    last = vantage.ROUNDS
+    return f"""
+WITH whole AS MATERIALIZED (
+  SELECT vec_id, sha256('{vantage.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS key, row_number() OVER () AS copy,
+    [CAST(floor({vantage.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings WHERE len(embedding) = {vantage.DIMENSIONS}
+    AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {vantage.DIMENSIONS}),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY key, v) - 1 AS INTEGER) AS c_id, v
+  FROM (SELECT key, v FROM whole ORDER BY key, v LIMIT {vantage.CLUSTERS})),{rounds}
+f AS MATERIALIZED (
+{assign(last)})
+SELECT f.vec_id, f.c_id AS "cluster", f.d AS distance, CAST(sum(f.d) OVER (PARTITION BY f.c_id) AS BIGINT) AS cluster_inertia,
+  CAST(sum(f.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM f JOIN c{last} c ON f.c_id = c.c_id"""
+
+
+@query("op12_vantage_clusters", _clusters_sql())
+def op12_vantage_clusters(spark, folder):
+    """Cluster of every vector after five rounds, with its distance and the inertia."""
+    found = vantage.described(*vantage.clustered(table(spark, folder, "embeddings")))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op13_odd_sketch")
+def op13_odd_sketch(spark, folder):
+    """Near-duplicate component of every document (four words, 80 %)."""
+    found = oddsketch.near_duplicates(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
+                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
