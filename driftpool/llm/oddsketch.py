@@ -14,7 +14,8 @@ from driftpool.session import staged, unstaged
 SIZE, PERCENT, SEED = 4, 80, 42
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
-WORDS = 16                  # words of 64 bits of an odd sketch
+WORDS = 16                  # words of 64 bits of an odd sketch of samples
+PARITY = 8                  # words of 64 bits of the parities of a whole set
 MISS = 1e-9                 # chance that the sketches of a pair of the similarity turn it away
 ROUNDS, HEAVY = 4, 1 << 22  # rounds of cheap comparisons, and comparisons of a bucket worth another one
 BLOCK = 1 << 12
@@ -62,6 +63,14 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles of a set on each of 64 * PARITY bits: sets that differ in d shingles differ
+    in at most d of them."""
+    at = _mixed(hashes) % np.uint64(64 * PARITY)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands(least: np.ndarray) -> np.ndarray:
     """A hash of each band of ROWS samples and its number."""
     rows = least.reshape(BANDS, ROWS)
@@ -115,7 +124,7 @@ def _sketched(given, kind, size):
                     whole = xxhash.xxh3_128_intdigest(found.tobytes())
                     least = samples(found) if len(found) else None
                     for c, x in zip(cols, (len(found), whole >> 64, whole & (1 << 64) - 1,
-                                           none if least is None else odd_sketch(least),
+                                           none if least is None else np.append(odd_sketch(least), parities(found)),
                                            none if least is None else bands(least))):
                         c.append(x)
             yield pa.RecordBatch.from_arrays(
@@ -136,10 +145,13 @@ def _sets(rows, size):
 
 
 def _possible(percent):
-    """What sizes and sketches of a and b leave open."""
-    apart = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(WORDS)), F.lit(0))
+    """What sizes, sketches and parities of a and b leave open."""
+    def apart(words):
+        return sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in words), F.lit(0))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return sizes & (apart <= most_apart(percent))
+    # the shingles in one set only, as numbers of the sizes: (na + nb) * (1 - s) / (1 + s) at most
+    whole = apart(range(WORDS, WORDS + PARITY)) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return sizes & (apart(range(WORDS)) <= most_apart(percent)) & whole
 
 
 def _side(rows, s, *keep):
