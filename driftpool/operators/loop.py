@@ -114,6 +114,7 @@ class StreamLoop:
             p[at:at + take] = self.model.predict(buffer_x[here:here + take])
             done, handle = self._scan(buffer_x, buffer_y, p[at:at + take], here, take)
             self.seen += done
+            self._watched(buffer_x, buffer_y, here + done)
             self._pass_publish()
             at += done
             block = self.cfg.window if handle else min(2 * block, BLOCK)
@@ -123,6 +124,12 @@ class StreamLoop:
         self.x, self.y = buffer_x[-keep:].copy(), buffer_y[-keep:].copy()
         return first, p, runs
 
+    def _watched(self, X, y, end: int) -> None:
+        """Rows up to place ``end`` of the buffers have been predicted; what follows them is not yet decided."""
+
+    def _drifted(self, X, y, newer: int) -> None:
+        """The model in use has drifted on its last ``newer`` rows and is about to be changed."""
+
     def _fit(self, X, y) -> Model:
         w, b = self.learner(X, y)
         pcs = None
@@ -219,12 +226,14 @@ class StreamLoop:
 
     def _window_drift(self, X, y) -> None:
         self._emit("drift", self.seen, self.current, n=self.cfg.window)
+        self._drifted(X, y, self.cfg.window)
         self._next(X[-self.cfg.window:], y[-self.cfg.window:])
         self.lowest = self.seen - self.cfg.window + 2
 
     def _cut(self, X, y, newer: int) -> None:
         w = self.cfg.window
         self._emit("drift", self.seen, self.current, n=newer)
+        self._drifted(X, y, newer)
         if newer >= w:
             self._next(X[-w:], y[-w:])
             return

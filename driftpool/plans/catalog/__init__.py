@@ -18,5 +18,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for part in ("streams", "accuracy", "features", "models", "pools", "similarity", "loops"):
+    for part in ("streams", "accuracy", "features", "models", "pools", "similarity", "loops", "exchanges"):
         importlib.import_module(f"{__name__}.{part}")
