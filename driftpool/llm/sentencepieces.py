@@ -15,10 +15,8 @@ SPACE = "▁"
 NONE = np.int64(1 << 30)
 SEED = 42
 DROPOUT = 0.1
-VARIANTS = 4
-VARIANTS_MOST = 64
-RUN = 32
-CACHED = 700_000
+KEPT_BYTES = 80 << 20       # of outcomes a worker keeps
+CHUNK = 1 << 18             # words whose candidates are drawn together
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -121,17 +119,14 @@ class Pieces:
             at[odd] = np.searchsorted(self.keys, key[odd])
         return at
 
-    def _candidates(self, left, right, start, middle, end, salt, limit):
-        """(rank, merged piece) of neighbours; NONE where there is no merge or its hash drops it."""
+    def _candidates(self, left, right, code, dropped):
+        """(rank, merged piece) of neighbours; NONE where there is no merge or it is one of those dropped."""
         key = np.where((left >= 0) & (right >= 0), left * self.n + right, np.int64(-1))
         at = self._find(key)
         hit = self.keys[at] == key
-        rank, new = np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
-        if limit:
-            place = (start.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | \
-                end.astype(np.uint64)
-            rank = np.where(_mixed(_mixed(salt ^ place) + np.uint64(7)) < np.uint64(limit), NONE, rank)
-        return rank, new
+        if dropped is not None:
+            hit &= ~(dropped == code[:, None]).any(axis=1)
+        return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
 
     def parts(self, text: str) -> list[str]:
         """Pieces of a text that no merge crosses; a plain word stands for itself with a space before it."""
@@ -140,13 +135,13 @@ class Pieces:
             return [x[1:] if x[0] == " " and x[1:2] not in ("", " ") else x for x in found]
         return (text.replace("\n", " \n") if self.lines else text).split(" ")
 
-    def segment(self, parts: list[str], seed: int, dropout: float) -> list[bytes]:
-        """Ids (little-endian uint32) of every part; parts are merged side by side, one merge a part and round.
+    def segment(self, parts: list[str], dropped: np.ndarray | None = None):
+        """(ids, merges) of every part: ids as little-endian uint32, codes of its merges in the order they are made.
 
-        In each part the merge of best rank, leftmost of equals, is taken next. A candidate is a left piece, a
-        right piece and their places; its keyed hash decides once and for all whether it is skipped.
+        Parts are merged side by side, one merge a part and round: of its candidates the one of best rank is taken
+        next, leftmost of equals, unless it is in the part's row of ``dropped``. A candidate is a left and a right
+        piece; its code holds where they begin, meet and end.
         """
-        limit = min(int(dropout * 2 ** 64), 2 ** 64 - 1)
         out = [b""] * len(parts)
         bare = " \n" if self.lines else " "
         parts = [x if x[0] in bare else " " + x for x in parts]
@@ -156,17 +151,19 @@ class Pieces:
         word = np.repeat(np.arange(len(parts)), lengths)
         beg = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         fin = beg + 1
-        own = _mixed((text.astype(np.uint64) << np.uint64(32)) | beg.astype(np.uint64))
-        salts = _mixed(np.add.reduceat(own, np.cumsum(lengths) - lengths) + np.uint64(hash_of(seed, 0)))
         rank, new = np.full(len(text), NONE), np.full(len(text), -1, np.int64)
+        made = []
+
+        def code_of(at):
+            return (beg[at] << np.int64(42)) | (fin[at] << np.int64(21)) | fin[at + 1]
 
         def look(at):
             at = at[(at >= 0) & (at < len(sym))]
             rank[at] = NONE
             ok = at[at + 1 < len(sym)]
             ok = ok[word[ok] == word[ok + 1]]
-            rank[ok], new[ok] = self._candidates(sym[ok], sym[ok + 1], beg[ok], fin[ok], fin[ok + 1],
-                                                 salts[word[ok]], limit)
+            rank[ok], new[ok] = self._candidates(sym[ok], sym[ok + 1], code_of(ok),
+                                                 None if dropped is None else dropped[word[ok]])
 
         look(np.arange(len(sym)))
         while len(sym):
@@ -185,6 +182,7 @@ class Pieces:
                 at = best & np.int64(0xFFFFFFFF)
             if not len(sym):
                 break
+            made.append((word[at], code_of(at)))
             sym[at], fin[at] = new[at], fin[at + 1]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -193,7 +191,10 @@ class Pieces:
             look(at)
             before = at - 1
             look(before[before >= 0])
-        return out
+        owner = np.concatenate([w for w, _ in made]) if made else np.zeros(0, np.int64)
+        codes = np.concatenate([c for _, c in made]) if made else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        return out, codes[order], np.bincount(owner, minlength=len(parts))
 
     def _emit(self, out, sym, words, sizes):
         ends = np.cumsum(sizes)
@@ -215,50 +216,125 @@ def pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
+class _Grown:
+    """A numpy array that is appended to."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, values):
+        need = self.size + len(values)
+        if need > len(self.data):
+            self.data = np.append(self.data, np.zeros(max(need, 3 * len(self.data) // 2) - len(self.data), self.data.dtype))
+        self.data[self.size:need] = values
+        self.size = need
+
+
 class Encoder:
-    """Texts to ids; segmentations met before are kept, in two generations of bounded size."""
+    """Texts to ids, every word drawn for itself.
 
-    def __init__(self, table: Pieces, dropout: float, seed: int, variants: int):
-        self.table, self.dropout, self.seed = table, dropout, seed
-        self.variants = variants if dropout else 1
-        self.new, self.old = [{} for _ in range(self.variants)], [{} for _ in range(self.variants)]
+    A word's outcomes are a tree. Its root is the segmentation without dropout and the merges it makes; what the
+    first of these to be dropped leads to is a child, with the merges made from there on. A word's own hashes of these
+    merges, in their order, lead it down the tree: merges that are not reached are not drawn, and what the agenda does
+    with the same draws is the same. Outcomes are kept up to KEPT_BYTES and made again when they are needed.
+    """
+
+    def __init__(self, table: Pieces, dropout: float, seed: int):
+        self.table, self.seed = table, seed
+        self.limit = np.uint64(min(int(dropout * 2 ** 64), 2 ** 64 - 1))
+        self.clear()
+
+    def clear(self):
+        self.roots, self.words, self.bytes = {}, [], 0
+        # of each outcome: its word, the outcome and slot it comes from, merges made before, and where its lists are
+        self.word, self.parent, self.slot, self.passed, self.first, self.count, self.at, self.size = (
+            _Grown(np.int64) for _ in range(8))
+        self.codes, self.child, self.ids = _Grown(np.int64), _Grown(np.int32), _Grown(np.uint32)
+
+    def _add(self, words, parents, slots, passed, found):
+        ids, codes, counts = found
+        own = counts - passed
+        skip = np.cumsum(counts) - counts
+        keep = np.arange(len(codes)) - np.repeat(skip, counts) >= np.repeat(passed, counts)
+        begin = self.word.size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        for column, values in ((self.word, words), (self.parent, parents), (self.slot, slots), (self.passed, passed),
+                               (self.first, self.codes.size + np.cumsum(own) - own), (self.count, own),
+                               (self.at, self.ids.size + np.cumsum(sizes) - sizes), (self.size, sizes)):
+            column.add(values)
+        self.codes.add(codes[keep])
+        self.child.add(np.full(int(own.sum()), -1, np.int32))
+        self.ids.add(flat)
+        self.bytes += 64 * len(ids) + 12 * int(own.sum()) + 4 * len(flat)
+        return np.arange(begin, begin + len(ids))
+
+    def _rooted(self, words):
+        """Outcome without dropout of each word."""
+        missing = list(set(words) - self.roots.keys())
+        for at in range(0, len(missing), 1 << 15):
+            part = missing[at:at + (1 << 15)]
+            none = np.zeros(len(part), np.int64)
+            made = self._add(np.arange(len(self.words), len(self.words) + len(part)), none - 1, none, none,
+                             self.table.segment(part))
+            self.words += part
+            self.bytes += sum(map(len, part)) + 160 * len(part)
+            self.roots.update(zip(part, made.tolist()))
+        return np.fromiter(map(self.roots.__getitem__, words), np.int64, len(words))
+
+    def _grown(self, parents, slots):
+        """Outcomes below others, where the merge of a slot is dropped."""
+        for at in range(0, len(slots), 1 << 15):
+            parent, slot = parents[at:at + (1 << 15)], slots[at:at + (1 << 15)]
+            dropped, above = [self.codes.data[slot]], parent
+            while (above >= 0).any():       # what was dropped on the way down; -1 is no code
+                up = self.parent.data[above]
+                dropped.append(np.where((above >= 0) & (up >= 0), self.codes.data[self.slot.data[above]], -1))
+                above = np.where(above >= 0, up, -1)
+            word = self.word.data[parent]
+            parts = [self.words[w] for w in word.tolist()]
+            passed = self.passed.data[parent] + slot - self.first.data[parent]
+            made = self._add(word, parent, slot, passed, self.table.segment(parts, np.column_stack(dropped)))
+            self.child.data[slot] = made
+
+    def _drawn(self, node, salt):
+        """The outcome that each word's draws lead to."""
+        active = np.flatnonzero(self.count.data[node])
+        while len(active):
+            count = self.count.data[node[active]]
+            owner = np.repeat(np.arange(len(active)), count)
+            slot = np.arange(len(owner)) + np.repeat(self.first.data[node[active]] - (np.cumsum(count) - count), count)
+            drawn = _mixed(_mixed(np.repeat(salt[active], count) ^ self.codes.data[slot].view(np.uint64)) + np.uint64(7))
+            hit = np.flatnonzero(drawn < self.limit)
+            hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])] if len(hit) else hit
+            active, slot = active[owner[hit]], slot[hit]
+            new, one = np.unique(slot[self.child.data[slot] < 0], return_index=True)
+            if len(new):
+                self._grown(node[active[self.child.data[slot] < 0][one]], new)
+            node[active] = self.child.data[slot]
+            active = active[self.count.data[node[active]] > 0]
+        return node
 
     def encode(self, texts: list[str | None], keys: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, flat ids). The draw of a word depends on the seed, the key and which run of words it is in."""
+        """(offsets, flat ids). A word's draws depend on the seed, the key of its text and its place among its words."""
+        if self.bytes > KEPT_BYTES:
+            self.clear()
         split = [self.table.parts(t) if t else [] for t in texts]
-        runs = []   # (variant, words) in order
-        for words, key in zip(split, keys):
-            if self.variants == 1:
-                runs.append([(0, words)])
-            else:
-                runs.append([(hash_of(self.seed + 1 + at, key or 0) % self.variants, words[at:at + RUN])
-                             for at in range(0, len(words), RUN)])
-        wanted = [set() for _ in range(self.variants)]
-        for run in runs:
-            for v, words in run:
-                wanted[v].update(words)
-        got = []
-        for v, words in enumerate(wanted):
-            new, old = self.new[v], self.old[v]
-            here = {w: new[w] for w in words & new.keys()}
-            words -= here.keys()
-            here.update((w, old[w]) for w in words & old.keys())
-            missing = list(words - here.keys())
-            for at in range(0, len(missing), 1 << 16):
-                part = missing[at:at + (1 << 16)]
-                with np.errstate(over="ignore"):
-                    here.update(zip(part, self.table.segment(part, self.seed * VARIANTS_MOST + v, self.dropout)))
-            if len(new) > CACHED // self.variants:
-                self.old[v], self.new[v] = new, {}
-            self.new[v].update((w, x) for w, x in here.items() if len(w) < 64)
-            got.append(here.__getitem__)
-        flat, ends, size = [], [], 0
-        for run in runs:
-            one = b"".join([x for v, words in run for x in map(got[v], words)])
-            flat.append(one)
-            size += len(one) // 4
-            ends.append(size)
-        return np.array([0] + ends, np.int64), np.frombuffer(b"".join(flat), "<u4").astype(np.int32)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        words = [w for part in split for w in part]
+        with np.errstate(over="ignore"):
+            own = _mixed(np.array([k or 0 for k in keys], np.int64).view(np.uint64) + np.uint64(hash_of(self.seed, 0)))
+            place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+            salt = _mixed(np.repeat(own, counts) + place.astype(np.uint64))
+            node = self._rooted(words)
+            if self.limit:
+                for at in range(0, len(node), CHUNK):
+                    part = slice(at, at + CHUNK)
+                    node[part] = self._drawn(node[part], salt[part])
+        size = self.size.data[node]
+        total = np.append(0, np.cumsum(size))
+        where = np.arange(total[-1]) + np.repeat(self.at.data[node] - total[:-1], size)
+        return total[np.append(0, np.cumsum(counts))], self.ids.data[where].astype(np.int32)
 
 
 def hash_of(seed: int, key: int) -> int:
@@ -268,11 +344,11 @@ def hash_of(seed: int, key: int) -> int:
 _encoders = {}
 
 
-def _encoder(model, dropout, seed, variants):
-    key = (hash(model), dropout, seed, variants)
+def _encoder(model, dropout, seed):
+    key = (hash(model), dropout, seed)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(pieces(model), dropout, seed, variants)
+        _encoders[key] = Encoder(pieces(model), dropout, seed)
     return _encoders[key]
 
 
@@ -281,24 +357,25 @@ def _model(model: str) -> bytes:
         return f.read()
 
 
-def token_ids(key: Column, text: Column, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
-              variants: int = VARIANTS) -> Column:
+def token_ids(key: Column, text: Column, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> Column:
     """array<int> of a text's pieces, with merges dropped by a keyed hash.
 
-    The model file is read by the driver and handed to the tasks. ``key`` (a long) and the place of a run of RUN words
-    choose one of ``variants`` draws for its words, so equal words differ within and between texts, and the result
-    is the same wherever and however often it is made. Null and empty texts give an empty array. U+2581 in a text is written in bytes.
+    The model file is read by the driver and handed to the tasks. Every candidate of every word is drawn by a hash of
+    the seed, ``key`` (a long), the word's place in the text and the candidate's place in the word, so equal words
+    differ within and between texts, and the result is the same wherever and however often it is made; rows of equal
+    key and text are alike, null keys are 0. Null and empty texts give an empty array. U+2581 in a text is written in
+    bytes.
     """
     data = _model(model)
 
     def run(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        encoder = _encoder(data, dropout, seed, variants)
+        encoder = _encoder(data, dropout, seed)
         parts = []
         keys, texts = keys.to_pylist(), texts.to_pylist()
         at = 0
         while at < len(texts):   # a few million characters at a time
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 4_000_000):
+            while end < len(texts) and (end == at or size < 2_000_000):
                 size += len(texts[end] or "")
                 end += 1
             offsets, flat = encoder.encode(texts[at:end], keys[at:end])
@@ -326,7 +403,10 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "token_ids",
             **settings) -> DataFrame:
-    """All rows and columns of ``docs`` with their ids beside them; a column of that name gives way to it as ``_name``."""
+    """All rows and columns of ``docs`` with their ids beside them; a column of that name gives way to it as ``_name``.
+
+    Repeated rows get equal ids; rows with a null id are drawn under one key of their own.
+    """
     taken = {c.lower() for c in docs.columns}
     while name.lower() in taken:
         name = "_" + name
