@@ -382,7 +382,8 @@ def token_ids(key: Column, text: Column, model: str = MODEL, dropout: float = DR
             parts.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)))
             at = end
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-    return arrow_udf(run, "array<int>")(key.cast("long"), text.cast("string"))
+    # marked so that what is derived from the ids, decoding for one, does not make the optimizer encode again
+    return arrow_udf(run, "array<int>").asNondeterministic()(key.cast("long"), text.cast("string"))
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
