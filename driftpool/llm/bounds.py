@@ -1,4 +1,6 @@
-"""Broadcast only what has been measured."""
+"""Broadcast only what has been measured, and keep in a worker only what its operator needs."""
+
+import numpy as np
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -6,6 +8,43 @@ from driftpool.session import staged
 
 MAX_BYTES = 16 << 20
 
+_stores = {}
+
+
+def worker_store(operator: str) -> dict:
+    """What this Python process keeps for an operator. Spark reuses its workers: what others kept there is dropped."""
+    for name in list(_stores):
+        if name != operator:
+            del _stores[name]
+    return _stores.setdefault(operator, {})
+
+
+class Grown:
+    """A numpy array that is appended to."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, values):
+        need = self.size + len(values)
+        if need > len(self.data):
+            self.data = np.append(self.data, np.zeros(max(need, 3 * len(self.data) // 2) - len(self.data), self.data.dtype))
+        self.data[self.size:need] = values
+        self.size = need
+
+
+class Numbered(dict):
+    """Numbers of words in the order they are first asked for; ``fresh`` lists those that nobody has dealt with."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh = []
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
 
 def measured(df: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Stage ``df`` and hint a broadcast only if its rows, counted in bytes, are within ``max_bytes``.

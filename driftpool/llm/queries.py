@@ -78,7 +78,8 @@ def op8_suffix_dedup(spark, folder):
     found = suffixes.removed(table(spark, folder, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"),
-                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                        (gone > 0).alias("repeated"))
 
 
 @query("op6_imatch")

@@ -1,6 +1,5 @@
 """SentencePiece BPE with seeded merge-dropout, and lossless decoding."""
 
-import functools
 import re
 
 import numpy as np
@@ -11,12 +10,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from driftpool.llm.bounds import Grown, Numbered, worker_store
+
 SPACE = "▁"
-NONE = np.int64(1 << 30)
+NONE = 1 << 30
 SEED = 42
 DROPOUT = 0.1
 KEPT_BYTES = 80 << 20       # of outcomes a worker keeps
-CHUNK = 1 << 18             # words whose candidates are drawn together
+CHUNK = 1 << 19             # words whose candidates are drawn together
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -58,8 +59,8 @@ class Pieces:
         keys = np.array(sorted(merges), np.int64)
         self.n = n
         self.keys = np.append(keys, np.int64(1 << 62))
-        self.ranks = np.array([merges[k][0] for k in keys.tolist()] + [NONE], np.int64)
-        self.merged = np.array([merges[k][1] for k in keys.tolist()] + [-1], np.int64)
+        self.ranks = np.array([merges[k][0] for k in keys.tolist()] + [NONE], np.int32)
+        self.merged = np.array([merges[k][1] for k in keys.tolist()] + [-1], np.int32)
         self.single = {p: i for p, i in normal.items() if len(p) == 1}
         self._lay_out()
         # a space inside a piece only in runs of spaces: text may be cut before each run
@@ -67,7 +68,7 @@ class Pieces:
             raise ValueError("a piece of the model spans words")
         self.lines = not any("\n" in p and len(p) > 1 for p in normal)
         self.cut = re.compile(r"\n[^ \n]*| +[^ \n]*" if self.lines else r" +[^ ]*")
-        table = np.arange(-1, -1 - 0x110000, -1, dtype=np.int64)
+        table = np.arange(-1, -1 - 0x110000, -1, dtype=np.int32)
         for c, i in self.single.items():
             table[ord(c)] = i
         # the mark for spaces is no space where the text itself has it
@@ -101,7 +102,7 @@ class Pieces:
         self.pool = np.frombuffer(b"".join(self.raw) + b"\0", np.uint8)
         # slots of a hash of the pair; where two pairs share one, the sorted keys are searched
         slots = self._slot(self.keys[:-1])
-        self.slots = np.full(1 << 21, len(self.keys) - 1, np.int64)
+        self.slots = np.full(1 << 21, len(self.keys) - 1, np.int32)
         self.slots[slots] = np.arange(len(slots))
         self.shared = np.zeros(1 << 21, bool)
         values, counts = np.unique(slots, return_counts=True)
@@ -121,7 +122,7 @@ class Pieces:
 
     def _candidates(self, left, right, code, dropped):
         """(rank, merged piece) of neighbours; NONE where there is no merge or it is one of those dropped."""
-        key = np.where((left >= 0) & (right >= 0), left * self.n + right, np.int64(-1))
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.n + right, np.int64(-1))
         at = self._find(key)
         hit = self.keys[at] == key
         if dropped is not None:
@@ -148,49 +149,46 @@ class Pieces:
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         text = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
         sym = self.symbols[text]
-        word = np.repeat(np.arange(len(parts)), lengths)
-        beg = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        fin = beg + 1
-        rank, new = np.full(len(text), NONE), np.full(len(text), -1, np.int64)
+        word = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
+        beg = (np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        rank = np.full(len(text), NONE, np.int32)
         made = []
 
         def code_of(at):
-            return (beg[at] << np.int64(42)) | (fin[at] << np.int64(21)) | fin[at + 1]
+            # a piece ends where the next one of its word begins
+            after = np.minimum(at + 2, len(sym) - 1)
+            stop = np.where((at + 2 < len(sym)) & (word[after] == word[at]), beg[after], lengths[word[at]])
+            return (beg[at].astype(np.int64) << np.int64(42)) | (beg[at + 1].astype(np.int64) << np.int64(21)) | stop
 
         def look(at):
             at = at[(at >= 0) & (at < len(sym))]
             rank[at] = NONE
-            ok = at[at + 1 < len(sym)]
-            ok = ok[word[ok] == word[ok + 1]]
-            rank[ok], new[ok] = self._candidates(sym[ok], sym[ok + 1], code_of(ok),
-                                                 None if dropped is None else dropped[word[ok]])
+            at = at[at + 1 < len(sym)]
+            at = at[word[at] == word[at + 1]]
+            rank[at] = self._candidates(sym[at], sym[at + 1], None if dropped is None else code_of(at),
+                                        None if dropped is None else dropped[word[at]])[0]
 
         look(np.arange(len(sym)))
         while len(sym):
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            best = np.minimum.reduceat((rank << np.int64(32)) | np.arange(len(sym)), first)
+            best = np.minimum.reduceat((rank.astype(np.int64) << np.int64(32)) | np.arange(len(sym)), first)
             done = best >> np.int64(32) >= NONE
-            if done.any():
+            at = best[~done] & np.int64(0xFFFFFFFF)
+            keep = np.ones(len(sym), bool)
+            ended = int(done.sum())
+            if 4 * ended > len(done) or not len(at):
                 sizes = np.diff(np.append(first, len(sym)))
                 mask = np.repeat(done, sizes)
                 self._emit(out, sym[mask], word[first[done]], sizes[done])
                 keep = ~mask
-                shift = np.cumsum(mask)[best[~done] & np.int64(0xFFFFFFFF)]
-                at = (best[~done] & np.int64(0xFFFFFFFF)) - shift
-                sym, word, beg, fin, rank, new = (x[keep] for x in (sym, word, beg, fin, rank, new))
-            else:
-                at = best & np.int64(0xFFFFFFFF)
-            if not len(sym):
+            if not len(at):
                 break
             made.append((word[at], code_of(at)))
-            sym[at], fin[at] = new[at], fin[at + 1]
-            keep = np.ones(len(sym), bool)
+            sym[at] = self._candidates(sym[at], sym[at + 1], None, None)[1]
             keep[at + 1] = False
-            at = at - np.arange(len(at))
-            sym, word, beg, fin, rank, new = (x[keep] for x in (sym, word, beg, fin, rank, new))
-            look(at)
-            before = at - 1
-            look(before[before >= 0])
+            at = (np.cumsum(keep) - 1)[at] if 4 * ended > len(done) else at - np.arange(len(at))
+            sym, word, beg, rank = (x[keep] for x in (sym, word, beg, rank))
+            look(np.concatenate([at, at - 1]))
         owner = np.concatenate([w for w, _ in made]) if made else np.zeros(0, np.int64)
         codes = np.concatenate([c for _, c in made]) if made else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
@@ -211,23 +209,12 @@ class Pieces:
             last = end
 
 
-@functools.lru_cache(2)
 def pieces(model: bytes) -> Pieces:
-    return Pieces(model)
-
-
-class _Grown:
-    """A numpy array that is appended to."""
-
-    def __init__(self, kind):
-        self.data, self.size = np.zeros(1 << 12, kind), 0
-
-    def add(self, values):
-        need = self.size + len(values)
-        if need > len(self.data):
-            self.data = np.append(self.data, np.zeros(max(need, 3 * len(self.data) // 2) - len(self.data), self.data.dtype))
-        self.data[self.size:need] = values
-        self.size = need
+    store = worker_store("sentencepieces")
+    key = ("pieces", hash(model))
+    if key not in store:
+        store[key] = Pieces(model)
+    return store[key]
 
 
 class Encoder:
@@ -245,11 +232,11 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.roots, self.words, self.bytes = {}, [], 0
+        self.numbers, self.roots, self.words, self.bytes = Numbered(), Grown(np.int64), [], 0
         # of each outcome: its word, the outcome and slot it comes from, merges made before, and where its lists are
         self.word, self.parent, self.slot, self.passed, self.first, self.count, self.at, self.size = (
-            _Grown(np.int64) for _ in range(8))
-        self.codes, self.child, self.ids = _Grown(np.int64), _Grown(np.int32), _Grown(np.uint32)
+            Grown(np.int64) for _ in range(8))
+        self.codes, self.child, self.ids = Grown(np.int64), Grown(np.int32), Grown(np.uint32)
 
     def _add(self, words, parents, slots, passed, found):
         ids, codes, counts = found
@@ -271,16 +258,16 @@ class Encoder:
 
     def _rooted(self, words):
         """Outcome without dropout of each word."""
-        missing = list(set(words) - self.roots.keys())
-        for at in range(0, len(missing), 1 << 15):
-            part = missing[at:at + (1 << 15)]
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        for at in range(0, len(fresh), 1 << 15):
+            part = fresh[at:at + (1 << 15)]
             none = np.zeros(len(part), np.int64)
-            made = self._add(np.arange(len(self.words), len(self.words) + len(part)), none - 1, none, none,
-                             self.table.segment(part))
+            self.roots.add(self._add(np.arange(len(self.words), len(self.words) + len(part)), none - 1, none, none,
+                                     self.table.segment(part)))
             self.words += part
             self.bytes += sum(map(len, part)) + 160 * len(part)
-            self.roots.update(zip(part, made.tolist()))
-        return np.fromiter(map(self.roots.__getitem__, words), np.int64, len(words))
+        return self.roots.data[number]
 
     def _grown(self, parents, slots):
         """Outcomes below others, where the merge of a slot is dropped."""
@@ -341,15 +328,13 @@ def hash_of(seed: int, key: int) -> int:
     return xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed)
 
 
-_encoders = {}
-
-
 def _encoder(model, dropout, seed):
-    key = (hash(model), dropout, seed)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(pieces(model), dropout, seed)
-    return _encoders[key]
+    store = worker_store("sentencepieces")
+    key = ("encoder", hash(model), dropout, seed)
+    if key not in store:
+        store.clear()
+        store[key] = Encoder(pieces(model), dropout, seed)
+    return store[key]
 
 
 def _model(model: str) -> bytes:
@@ -375,7 +360,7 @@ def token_ids(key: Column, text: Column, model: str = MODEL, dropout: float = DR
         at = 0
         while at < len(texts):   # a few million characters at a time
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 2_000_000):
+            while end < len(texts) and (end == at or size < 1_500_000):
                 size += len(texts[end] or "")
                 end += 1
             offsets, flat = encoder.encode(texts[at:end], keys[at:end])

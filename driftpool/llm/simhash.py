@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftpool.llm.bounds import measured
+from driftpool.llm.bounds import measured, worker_store
 from driftpool.llm.components import connected_components
 from driftpool.session import staged, unstaged
 
@@ -209,7 +209,8 @@ def sketch(hashes: np.ndarray, similarity: float, known: np.ndarray, seen: np.nd
 
 
 def _few(batches, rows=256):
-    # a worker holds the shingles of few texts at once
+    # a worker holds the shingles of few texts at once, and nothing of other operators
+    worker_store("simhash")
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from driftpool.llm.bounds import measured
+from driftpool.llm.bounds import Grown, Numbered, measured, worker_store
 
 # how many values of how many bits a 64-bit word holds under selectors 0, 1, ...; the upper four bits select
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -126,7 +126,7 @@ class WordEncoder:
     Latin letters is lower-cased first: fewer different words, the same ids.
     """
 
-    KEPT = 600_000
+    KEPT_BYTES = 96 << 20
     # the rule by which letters, digits and other signs never share a token
     CLASSES = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     POINT = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?=[ \\n])")
@@ -135,7 +135,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
-        self.new, self.old = {}, {}
+        self.clear()
         marks = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.marks, self.mark = [m for _, m in marks], marks[0] if marks else None
         rules = json.loads(definition)
@@ -172,30 +172,39 @@ class WordEncoder:
                 yield w, raw[last:cut]
                 last = cut + 4
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._split(t or "") for t in texts]
-        wanted = set().union(*split) if split else set()
-        met = wanted & self.new.keys()
-        here = dict(zip(met, map(self.new.__getitem__, met)))
-        wanted -= met
-        met = wanted & self.old.keys()
-        fresh = dict(zip(met, map(self.old.__getitem__, met)))
-        fresh.update(self._words(list(wanted - met)))
-        here.update(fresh)
-        if len(self.new) > self.KEPT:
-            self.old, self.new = self.new, {}
-        self.new.update((w, x) for w, x in fresh.items() if len(w) < 64)
-        return [np.frombuffer(b"".join(map(here.__getitem__, words)), "<u4") for words in split]
+    def clear(self):
+        self.numbers, self.at, self.size, self.ids, self.bytes = Numbered(), Grown(np.int64), Grown(np.int64), Grown(np.uint32), 0
 
+    def _learn(self, words):
+        found = dict(self._words(words))
+        each = [found[w] for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        self.at.add(self.ids.size + np.cumsum(sizes) - sizes)
+        self.size.add(sizes)
+        self.ids.add(np.frombuffer(b"".join(each), "<u4"))
+        self.bytes += sum(map(len, words)) + 180 * len(words) + 4 * int(sizes.sum())
 
-_encoders = {}
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.bytes > self.KEPT_BYTES:
+            self.clear()
+        split = [self._split(t or "") for t in texts]
+        words = [w for part in split for w in part]
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if fresh:
+            self._learn(fresh)
+        size = self.size.data[number]
+        total = np.append(0, np.cumsum(size))
+        where = np.arange(total[-1]) + np.repeat(self.at.data[number] - total[:-1], size)
+        cuts = total[np.cumsum([len(part) for part in split])]
+        return np.split(self.ids.data[where], cuts[:-1]) if split else []
 
 
 def _encoder(definition):
-    if definition not in _encoders:
-        _encoders.clear()
-        _encoders[definition] = WordEncoder(definition)
-    return _encoders[definition]
+    store = worker_store("simple8b")
+    if definition not in store:
+        store[definition] = WordEncoder(definition)
+    return store[definition]
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
@@ -231,8 +240,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 1024):
-                some = texts.slice(lo, 1024).to_pylist()
+            for lo in range(0, batch.num_rows, 512):
+                some = texts.slice(lo, 512).to_pylist()
                 for k, ids in enumerate(encoder.encode(some)):
                     keys.append(batch.column(0)[lo + k])
                     parts.append(np.append(ids, np.uint32(end)))

@@ -10,6 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from driftpool.llm.bounds import worker_store
 from driftpool.session import staged
 
 # fixed values: insults that hold in any corpus; the rest of the lexicon is learned from labels
@@ -69,6 +70,7 @@ def features(text: str | None, learned: frozenset, given: frozenset = frozenset(
 def _features(learned):
     @pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
+        worker_store("toxicity")
         return pd.Series([features(t, learned) for t in texts], dtype=object)
     return run
 
