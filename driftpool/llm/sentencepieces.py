@@ -16,8 +16,8 @@ SPACE = "▁"
 NONE = 1 << 30
 SEED = 42
 DROPOUT = 0.1
-KEPT_BYTES = 80 << 20       # of outcomes a worker keeps
-CHUNK = 1 << 19             # words whose candidates are drawn together
+KEPT_BYTES = 48 << 20       # of outcomes a worker keeps
+CHUNK = 1 << 16             # words whose candidates are drawn together
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -27,28 +27,59 @@ def _mixed(x):
     return x ^ (x >> np.uint64(32))
 
 
-class Pieces:
-    """Merge table and pieces of a BPE model with byte fallback."""
+class Spelling:
+    """Pieces of a BPE model with byte fallback, and what they spell."""
 
     def __init__(self, model: str | bytes):
         sp = sentencepiece.SentencePieceProcessor(
             **({"model_proto": model} if isinstance(model, bytes) else {"model_file": model}))
-        n = sp.get_piece_size()
-        self.byte = {}
-        normal = {}
-        self.raw = [b""] * n
-        for i in range(n):
+        self.n = sp.get_piece_size()
+        self.byte, self.normal, self.scores = {}, {}, {}
+        raw = [b""] * self.n
+        for i in range(self.n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
-                self.raw[i] = bytes([int(piece[3:5], 16)])
+                raw[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                normal[piece] = i
-                self.raw[i] = piece.replace(SPACE, " ").encode("utf-8")
+                self.normal[piece], self.scores[i] = i, sp.get_score(i)
+                raw[i] = piece.replace(SPACE, " ").encode("utf-8")
+        self.sizes = np.array([len(r) for r in raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """What lists of ids spell, without the space put before each text."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        sizes, starts = self.sizes[ids], self.starts[ids]
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        lead = self.pool[starts[first]] == 32 if len(first) else first.astype(bool)
+        sizes[first[lead]] -= 1
+        starts[first[lead]] += 1
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        spelled = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        stops = np.append(0, ends)[np.append(0, np.cumsum(counts))].astype(np.int32)
+        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(stops), pa.py_buffer(spelled.tobytes()))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:     # ids that spell no whole characters
+            raw = spelled.tobytes()
+            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(stops, stops[1:])], pa.string())
+        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.string()))
+
+
+class Pieces(Spelling):
+    """The merges of the model as well."""
+
+    def __init__(self, model: str | bytes):
+        super().__init__(model)
         if len(self.byte) != 256:
             raise ValueError("decoding is lossless only for models with byte fallback")
         # higher scores merge first
-        order = sorted(normal.values(), key=lambda i: (-sp.get_score(i), i))
+        n, normal = self.n, self.normal
+        order = sorted(normal.values(), key=lambda i: (-self.scores[i], i))
         rank = {i: k for k, i in enumerate(order)}
         merges = {}
         for piece, i in normal.items():
@@ -57,7 +88,6 @@ class Pieces:
                 if a is not None and b is not None:
                     merges[a * n + b] = (rank[i], i)
         keys = np.array(sorted(merges), np.int64)
-        self.n = n
         self.keys = np.append(keys, np.int64(1 << 62))
         self.ranks = np.array([merges[k][0] for k in keys.tolist()] + [NONE], np.int32)
         self.merged = np.array([merges[k][1] for k in keys.tolist()] + [-1], np.int32)
@@ -75,31 +105,7 @@ class Pieces:
         table[ord(" ")], table[ord(SPACE)] = table[ord(SPACE)], -1 - ord(SPACE)
         self.symbols = table
 
-    def texts(self, lists: pa.ListArray) -> pa.Array:
-        """What lists of ids spell, without the space put before each text."""
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        sizes, starts = self.sizes[ids], self.starts[ids]
-        first = (np.cumsum(counts) - counts)[counts > 0]
-        lead = self.pool[starts[first]] == 32 if len(first) else first.astype(bool)
-        sizes[first[lead]] -= 1
-        starts[first[lead]] += 1
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        spelled = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        stops = np.append(0, ends)[np.append(0, np.cumsum(counts))].astype(np.int32)
-        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(stops), pa.py_buffer(spelled.tobytes()))
-        try:
-            out.validate(full=True)
-        except pa.ArrowInvalid:     # ids that spell no whole characters
-            raw = spelled.tobytes()
-            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(stops, stops[1:])], pa.string())
-        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.string()))
-
     def _lay_out(self):
-        self.sizes = np.array([len(r) for r in self.raw], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.pool = np.frombuffer(b"".join(self.raw) + b"\0", np.uint8)
         # slots of a hash of the pair; where two pairs share one, the sorted keys are searched
         slots = self._slot(self.keys[:-1])
         self.slots = np.full(1 << 21, len(self.keys) - 1, np.int32)
@@ -209,11 +215,11 @@ class Pieces:
             last = end
 
 
-def pieces(model: bytes) -> Pieces:
+def pieces(model: bytes, kind: type = Pieces) -> Spelling:
     store = worker_store("sentencepieces")
-    key = ("pieces", hash(model))
+    key = (kind.__name__, hash(model))
     if key not in store:
-        store[key] = Pieces(model)
+        store[key] = kind(model)
     return store[key]
 
 
@@ -360,7 +366,7 @@ def token_ids(key: Column, text: Column, model: str = MODEL, dropout: float = DR
         at = 0
         while at < len(texts):   # a few million characters at a time
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 1_500_000):
+            while end < len(texts) and (end == at or size < 1_000_000):
                 size += len(texts[end] or "")
                 end += 1
             offsets, flat = encoder.encode(texts[at:end], keys[at:end])
@@ -376,10 +382,10 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     data = _model(model)
 
     def run(lists: pa.Array) -> pa.Array:
-        table, parts, at = pieces(data), [], 0
+        table, parts, at = pieces(data, Spelling), [], 0
         ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-        while at < len(lists):      # about a million ids at a time
-            goal = (ends[at - 1] if at else 0) + (1 << 20)
+        while at < len(lists):      # a quarter of a million ids at a time
+            goal = (ends[at - 1] if at else 0) + (1 << 18)
             end = max(at + 1, int(np.searchsorted(ends, goal)))
             parts.append(table.texts(lists.slice(at, end - at)))
             at = end
