@@ -126,7 +126,7 @@ class WordEncoder:
     Latin letters is lower-cased first: fewer different words, the same ids.
     """
 
-    KEPT_BYTES = 96 << 20
+    KEPT_BYTES = 192 << 20
     # the rule by which letters, digits and other signs never share a token
     CLASSES = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     POINT = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?=[ \\n])")
