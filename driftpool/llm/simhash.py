@@ -166,6 +166,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 SHINGLE, SIMILARITY = 5, 0.8
 PARITY = 8             # words of 64 bits in the parities of a set
+FINE = 128             # and in those of sets that are about to be compared
 SAMPLED, MOST_COMMON = 8192, 250_000   # texts and shingles in the estimate of what is frequent
 STARS, HEAVY = 4, 1 << 22              # rounds of cheap comparisons, and comparisons of a bucket worth another one
 BLOCK = 1 << 12
@@ -251,12 +252,17 @@ def _sketches(rows, kind, size, similarity, frequent):
 
 
 def _sets(rows, size):
-    # (node, set) of (node, text)
+    # (node, n, fine, set) of (node, text)
     def run(batches):
         for batch in _few(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([
-                shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()])], names=["node", "set"])
-    return rows.mapInArrow(run, "node bigint, set array<bigint>")
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            odd = [np.bincount((_mixed(x) >> np.uint64(20)).astype(np.int64) % (64 * FINE), minlength=64 * FINE) & 1
+                   for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                 _lists([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd]),
+                 _lists([x.view(np.int64) for x in sets])], names=["node", "n", "fine", "set"])
+    return rows.mapInArrow(run, "node bigint, n bigint, fine array<bigint>, set array<bigint>")
 
 
 def _possible(similarity):
@@ -312,13 +318,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         which = measured(texts.join(ends, "node").select("node", F.col("key.id").alias("i"), F.col("key.mark").alias("m")))
         sets = given.join(which, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
         sets = staged(_sets(sets.select("node", "text").dropDuplicates(["node"]), size))
+        # whole sets travel only for pairs that finer parities leave open, however long the texts are
+        apart = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+        most = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+        near = staged(pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("pa")), "a")
+                      .join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("pb")), "b")
+                      .filter(apart <= most).select("a", "b"))
         both = F.size(F.array_intersect("x", "y"))
         # the side that many pairs may share is joined first, while rows are short
-        found = held(pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        found = held(near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
                       .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
                       .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
                       .filter(F.col("both") / (F.col("all") - F.col("both")) >= similarity).select("a", "b"))
         unstaged(sets)
+        unstaged(near)
         return found
 
     def starred(leads, rows):
