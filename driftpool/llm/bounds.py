@@ -8,9 +8,18 @@ from driftpool.session import staged
 
 MAX_BYTES = 16 << 20
 
+BATCH_ROWS = 1000
+
 _stores = {}
 
 
+def narrow(spark) -> None:
+    """Hand whole texts to Python workers at most BATCH_ROWS at a time, from here on in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def worker_store(operator: str) -> dict:
     """What this Python process keeps for an operator. Spark reuses its workers: what others kept there is dropped."""
     for name in list(_stores):

@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftpool.llm.bounds import measured, worker_store
+from driftpool.llm.bounds import measured, narrow, worker_store
 from driftpool.llm.components import connected_components
 from driftpool.session import staged, unstaged
 
@@ -288,6 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared with all of other components. No pair of one bucket is left that is neither compared nor in one
     component. The smallest id of a group stands for it (null last); null and empty texts are one group.
     """
+    narrow(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     given = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     frequent = _frequent(given, size, docs.count())

@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from driftpool.llm.bounds import worker_store
+from driftpool.llm.bounds import narrow, worker_store
 from driftpool.session import staged
 
 # fixed values: insults that hold in any corpus; the rest of the lexicon is learned from labels
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     calibration, the rest the learned words and the trees. Rows with a null label are left out; of repeated labels
     of an id the highest counts. Without both classes in either part the score is the share of label 1, or 0.
     """
+    narrow(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     marked = (marked.filter(F.col("label").isNotNull() & F.col("id").isNotNull() & (remainder(F.col("id")) != 1))
               .groupBy("id").agg(F.max("label").alias("label"))
