@@ -35,7 +35,7 @@ class Spelling:
             **({"model_proto": model} if isinstance(model, bytes) else {"model_file": model}))
         self.n = sp.get_piece_size()
         self.byte, self.normal, self.scores = {}, {}, {}
-        raw = [b""] * self.n
+        self.raw = raw = [b""] * self.n
         for i in range(self.n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
