@@ -38,6 +38,35 @@ class Moments:
         return (self.xx - np.outer(self.sx, self.sx) / self.n,
                 self.xy - self.sx * (self.sy / self.n))
 
+    def spread(self):
+        """Centred products of features and label in one matrix."""
+        whole = np.block([[self.xx, self.xy[:, None]], [self.xy[None, :], np.array([[self.yy]])]])
+        s = np.append(self.sx, self.sy)
+        return whole - np.outer(s, s) / self.n
+
+
+class CentredMoments(Moments):
+    """Moments from means and centred products of features and label, so that large offsets cancel nothing."""
+
+    def __init__(self, n: float, mean: np.ndarray, products: np.ndarray):
+        raw = products + n * np.outer(mean, mean)
+        super().__init__(n, n * mean[:-1], n * mean[-1], raw[:-1, :-1], raw[:-1, -1], raw[-1, -1])
+        self.products = products
+
+    def centred(self):
+        return self.products[:-1, :-1], self.products[:-1, -1]
+
+    def spread(self):
+        return self.products
+
+    def r2(self, w: np.ndarray, b: float) -> float:
+        """Share of the label's spread that ``w`` and ``b`` explain; not a number for a constant label."""
+        a, c = self.centred()
+        shift = self.mean_y - self.mean_x @ w - b
+        spread = self.products[-1, -1]
+        left = spread - 2.0 * (w @ c) + w @ a @ w + self.n * shift * shift
+        return 1.0 - left / spread if spread > 0.0 else float("nan")
+
 
 def least_norm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minimum-norm solution of a symmetric system; collinear directions get no weight."""
@@ -187,9 +216,7 @@ def components(m: Moments, left_out: float) -> np.ndarray:
     The fewest directions that leave out at most ``left_out`` of the variance;
     a single one is never enough, three are taken then.
     """
-    xx = np.block([[m.xx, m.xy[:, None]], [m.xy[None, :], np.array([[m.yy]])]])
-    s = np.append(m.sx, m.sy)
-    a = xx - np.outer(s, s) / m.n
+    a = m.spread()
     deviation = np.sqrt(np.diag(a).clip(min=0.0) / max(m.n - 1.0, 1.0))
     deviation[deviation < 1e-12] = 1.0
     values, vectors = np.linalg.eigh(a / np.outer(deviation, deviation))

@@ -6,10 +6,12 @@ aggregated before, and a pool larger than ``MAX_POOL`` is refused with an error.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
-from driftpool.functions import linalg
-from driftpool.session import bounded_groups, join_bounded
+from driftpool.functions import batches, linalg
+from driftpool.session import bounded_groups, join_bounded, staged
 
 MAX_POOL = 1000
 
@@ -68,18 +70,13 @@ def angle_pairs(models: DataFrame, keys: list[str]) -> DataFrame:
 
 def angle_pairs_with(new: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     """Only the pairs of one new model per pool with the models already there."""
-    @F.pandas_udf("array<struct<j string, d double>>")
-    def distances(pcs: pd.Series, ids: pd.Series, others: pd.Series) -> pd.Series:
-        out = []
-        for p, names, rest in zip(pcs, ids, others):
-            mine = np.array([list(c) for c in p]).T
-            out.append([{"j": n, "d": linalg.angle_distance(mine, np.array([list(c) for c in o]).T)}
-                        for n, o in zip(names, rest)])
-        return pd.Series(out)
-    pools = packed(models, keys, "pcs").withColumnRenamed("pcs", "_others")
-    both = new.select(*keys, F.col("model_id").alias("i"), "pcs").join(pools, keys)
-    return both.select(*keys, "i", F.explode(distances("pcs", "ids", "_others")).alias("_p")).select(
-        *keys, "i", "_p.*").filter("i <> j")
+    @F.pandas_udf("double")
+    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_angle(x, y) for x, y in zip(a, b)], dtype="float64")
+    there = models.select(*keys, F.col("model_id").alias("j"), F.col("pcs").alias("b"))
+    added = new.select(*keys, F.col("model_id").alias("i"), F.col("pcs").alias("a"))
+    both = join_bounded(there, added, keys).filter("i <> j")
+    return both.select(*keys, "i", "j", distances("a", "b").alias("d"))
 
 
 def vector_pairs(vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,12 +171,45 @@ def near_duplicates(pairs: DataFrame, keys: list[str], limit: float, current: Da
     return close.join(current.select(*keys, "model_id"), keys + ["model_id"], "left_anti")
 
 
-def shared_information(wide: DataFrame, keys: list[str], ids: list[str], bins: int) -> DataFrame:
+def _joint_counts(keys: list[str], bins: int, schema: pa.Schema, limit: int):
+    """Counts of every pair of columns' bins over a task's rows; rows wait as bin numbers up to ``limit`` bytes."""
+    def counted(held):
+        for key, parts in held.items():
+            codes = np.concatenate(parts).T.astype(np.int64)
+            for a in range(len(codes)):
+                found = []
+                for b in range(a, len(codes)):
+                    counts = np.bincount(codes[a] * bins + codes[b], minlength=bins * bins)
+                    at = np.flatnonzero(counts)
+                    found.append((np.full(len(at), b), at // bins, at % bins, counts[at]))
+                b, x, z, c = (np.concatenate(v) for v in zip(*found))
+                columns = [[k] * len(b) for k in key] + [np.full(len(b), a), b, x, z, c]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+
+    def run(source):
+        held, size = {}, 0
+        for batch in source:
+            codes = batches.matrix(batch, "_b", np.int32) if batch.num_rows else None
+            for key, rows in batches.groups(batch, keys):
+                held.setdefault(key, []).append(codes[rows])
+                size += codes[rows].nbytes
+            if size > limit:
+                yield from counted(held)
+                held, size = {}, 0
+        yield from counted(held)
+    return run
+
+
+def shared_information(wide: DataFrame, keys: list[str], ids: list[str], bins: int,
+                       limit: int = 32 << 20) -> DataFrame:
     """``MI(a, b) / MI(b, b)`` of every ordered pair of base predictions over equal-width bins.
 
-    Bins come from per-key ranges. Joint counts are grouped before the
-    shuffle, so each task sends at most ``bins^2`` counts per pair and key.
+    Bins come from per-key ranges. Rows become bin numbers and are counted
+    pair by pair inside their task, so what is shuffled are at most ``bins^2``
+    counts per pair, key and ``limit`` bytes of bin numbers. A missing
+    prediction counts as one in the last bin.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
     m = len(ids)
     size = F.lit(bins)
     ends = wide.groupBy(*keys).agg(*[f(F.col("preds")[i]).alias(f"_{n}{i}")
@@ -190,17 +220,17 @@ def shared_information(wide: DataFrame, keys: list[str], ids: list[str], bins: i
         lo, hi, v = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col("preds")[i]
         return F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * size), size - 1)).otherwise(F.lit(0)).cast("int")
 
-    binned = rows.select(*keys, *[place(i).alias(f"_b{i}") for i in range(m)])
-    listed = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"_b{i}").alias("x"), F.col(f"_b{j}").alias("z"))
-              for i in range(m) for j in range(i, m)]
-    joint = (binned.select(*keys, F.explode(F.array(*listed)).alias("_c")).select(*keys, "_c.*")
-             .groupBy(*keys, "a", "b", "x", "z").agg(F.count("*").alias("c")))
+    binned = rows.select(*keys, F.array(*[place(i) for i in range(m)]).alias("_b"))
+    counted = T.StructType([rows.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in "abxz"]
+                           + [T.StructField("c", T.LongType())])
+    joint = (binned.mapInArrow(_joint_counts(keys, bins, to_arrow_schema(counted), limit), counted)
+             .groupBy(*keys, "a", "b", "x", "z").agg(F.sum("c").alias("c")))
     per = Window.partitionBy(*keys, "a", "b")
     n = F.sum("c").over(per)
     px = F.sum("c").over(Window.partitionBy(*keys, "a", "b", "x"))
     pz = F.sum("c").over(Window.partitionBy(*keys, "a", "b", "z"))
-    info = (joint.withColumn("_t", F.col("c") / n * F.log(F.col("c") * n / (px * pz)))
-            .groupBy(*keys, "a", "b").agg(F.sum("_t").alias("mi")))
+    info = staged(joint.withColumn("_t", F.col("c") / n * F.log(F.col("c") * n / (px * pz)))
+                  .groupBy(*keys, "a", "b").agg(F.sum("_t").alias("mi")))      # a row per pair, read three times
     own = info.filter("a = b").select(*keys, F.col("b").alias("_b"), F.col("mi").alias("_own"))
     ways = info.filter("a <> b").unionByName(info.filter("a <> b").select(
         *keys, F.col("b").alias("a"), F.col("a").alias("b"), "mi")).withColumnRenamed("b", "_b")

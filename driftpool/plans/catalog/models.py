@@ -72,6 +72,16 @@ def supplier_models(spark, folder):
                          F.col("n").alias("used_for"))
 
 
+@query("shifted_models", f"""WITH {LINE}
+SELECT domain, round(regr_slope(y, x1), 4) + 0.0 AS w, round(regr_r2(y, x1), 4) + 0.0 AS r2, count(*) AS used_for
+FROM stream GROUP BY domain""")
+def shifted_models(spark, folder):
+    """A feature far from zero: slope and R2 are those of the feature without its offset."""
+    rows = tables.line_stream(spark, folder).withColumn("x1", F.col("x1") + 2.0 ** 26)
+    models = gram.fit(rows, ["domain"], ["x1"], "y", r2=True)
+    return models.select("domain", r(F.col("coef")[0], 4).alias("w"), r(F.col("r2"), 4).alias("r2"), F.col("n").alias("used_for"))
+
+
 def _constants():
     source = np.random.default_rng(7)
     w = source.normal(0.0, np.sqrt(2.0 * 0.5), (3, 2))

@@ -430,3 +430,55 @@ def test_group_choice_leaves_out_the_tail(spark):
     assert experts.group_choice(pairs, spans, 10, 20, chunk_rows=8).first().best_id == "own"
     assert experts.group_choice(pairs, spans, 0, 20, chunk_rows=8).first().substitute
     assert experts.group_choice(pairs, spans, 30, 20).count() == 0
+
+
+def _offset_rows(spark, offset):
+    source = np.random.default_rng(31)
+    X = source.normal(size=(400, 3))
+    y = X @ [1.5, -0.5, 0.25] + 0.75 + source.normal(0, 0.2, 400)
+    rows = [("hot" if i % 4 else None, float(x[0] + offset), float(x[1]), float(x[2]), float(v)) for i, (x, v) in enumerate(zip(X, y))]
+    rows += [("hot", None, 1.0, 1.0, 1.0), ("hot", 1.0, 1.0, 1.0, None), ("none", None, 1.0, 1.0, 1.0)]
+    return spark.createDataFrame(rows, "domain string, a double, b double, c double, y double"), X, y
+
+
+@pytest.mark.parametrize("limit", [1, 64 << 20])
+def test_centred_moments_keep_large_offsets(spark, limit):
+    want = {}
+    for offset in (0.0, 1e8):
+        df, X, y = _offset_rows(spark, offset)
+        stats = gram.centred(df.repartition(7), ["domain"], ["a", "b", "c"], "y", limit)
+        for row in gram.solved(stats).collect():
+            keep = [i for i in range(400) if (i % 4 > 0) == (row.domain == "hot")]
+            w, *_ = np.linalg.lstsq(np.column_stack([X[keep], np.ones(len(keep))]), y[keep], rcond=None)
+            p = X[keep] @ w[:3] + w[3]
+            r2 = 1 - ((y[keep] - p) ** 2).sum() / ((y[keep] - y[keep].mean()) ** 2).sum()
+            assert row.n == len(keep)
+            np.testing.assert_allclose(row.coef, w[:3], atol=1e-7)
+            assert abs(row.r2 - r2) < 1e-7
+            want.setdefault(row.domain, []).append(offset)
+    assert want == {"hot": [0.0, 1e8], None: [0.0, 1e8]}
+
+
+def test_centred_moments_of_many_columns_and_no_rows(spark):
+    names = [f"x{i}" for i in range(300)]
+    df = spark.range(600).select(F.lit("a").alias("domain"), (F.col("id") * 0.5).alias("y"),
+                                 *[F.sin(F.col("id") * (i + 1)).alias(n) for i, n in enumerate(names)])
+    row = gram.centred(df, ["domain"], names, "y").first()
+    X = np.array([[np.sin(k * (i + 1)) for i in range(300)] for k in range(600)])
+    whole = np.column_stack([X, np.arange(600) * 0.5])
+    d = whole - whole.mean(0)
+    np.testing.assert_allclose(row.products, (d.T @ d)[np.triu_indices(301)], atol=1e-6)
+    assert gram.fit(df.limit(0), ["domain"], names[:2], "y").count() == 0
+    alone = gram.centred(df.repartition(5), [], names[:2], "y").collect()
+    assert [r.n for r in alone] == [600]
+
+
+def test_shared_information_hands_counts_on(spark):
+    source = np.random.default_rng(3)
+    rows = [("a" if k % 3 else "b", k, [float(v) for v in source.normal(size=4)]) for k in range(500)]
+    df = spark.createDataFrame(rows, "domain string, seq bigint, preds array<double>").repartition(6)
+    ids = ["m0", "m1", "m2", "m3"]
+    one, many = ({(r.domain, r.i, r.j): r.shared for r in similar.shared_information(df, ["domain"], ids, 8, limit).collect()}
+                 for limit in (32 << 20, 1))
+    assert len(one) == 24 and one.keys() == many.keys()
+    assert all(abs(one[k] - many[k]) < 1e-12 for k in one)
