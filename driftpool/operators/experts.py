@@ -7,7 +7,7 @@ row then takes its weights from closed form.
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from driftpool.plans import config
@@ -65,35 +65,44 @@ def closest_model(wide: DataFrame, keys: list[str], ids: list[str], target: str)
     return worst.select(*keys, F.array_min(listed).alias("_b")).select(*keys, "_b.model_id", "_b.max_diff")
 
 
-PERIODS = "domain string, model_id string, start_seq bigint, end_seq bigint, log_weight double, base double"
+SPANS = "domain string, model_id string, start_seq bigint, end_seq bigint, log_weight double, base double"
 
 
-def _recursion(evict: str, size: int, last: int):
-    decay = math.log(config.DECAY)
+def _recursion(evict: str, size: int):
+    """Weights of the members over the periods between joins.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        domain = pdf["domain"].iloc[0]
-        moments = {}
-        for r in pdf.itertuples():
-            moments.setdefault(int(r.at), {})[r.model_id] = (r.cum, r.e, bool(r.joins))
-        weights, base, joined, out = {}, {}, {}, []
-        times = sorted(moments)
-        for t, stop in zip(times, [x - 1 for x in times[1:]] + [last]):
-            seen = moments[t]
-            for k in weights:
-                weights[k] += decay * (seen[k][0] - base[k])
-                base[k] = seen[k][0]
-            for k in sorted(m for m, v in seen.items() if v[2]):
-                while len(weights) > size - 1:
-                    gone = min(weights, key=(lambda m: (joined[m], m)) if evict == "oldest" else (lambda m: (weights[m], m)))
-                    del weights[gone], base[gone], joined[gone]
-                loss = sum(math.exp(w) * seen[m][1] for m, w in weights.items()) + seen[k][1]
-                share = config.ADD_WEIGHT * loss
-                weights[k] = math.log(share) if weights and share > 0 else 0.0
-                base[k], joined[k] = seen[k][0], t
-            out += [(domain, k, t, stop, w, base[k]) for k, w in weights.items()]
-        return pd.DataFrame(out, columns=["domain", "model_id", "start_seq", "end_seq", "log_weight", "base"])
-    return one
+    Records of a stream come in order: the joins of a row, then what each
+    model lost in the period that begins there. Only members are held.
+    """
+    decay = math.log(config.DECAY)
+    schema = pa.schema([("domain", pa.string()), ("model_id", pa.string()), ("start_seq", pa.int64()),
+                        ("end_seq", pa.int64()), ("log_weight", pa.float64()), ("base", pa.float64())])
+
+    def run(source):
+        stream, at, weights, joined, last, spent = object(), None, {}, {}, {}, {}
+        for batch in source:
+            out = []
+            for r in batch.to_pylist():
+                if r["domain"] != stream:
+                    stream, at, weights, joined, last, spent = r["domain"], None, {}, {}, {}, {}
+                if r["at"] != at:
+                    weights = {k: w + decay * spent.get(k, (0.0, 0.0))[0] for k, w in weights.items()}
+                    last = {k: spent.get(k, (0.0, 0.0))[1] for k in weights}
+                    at, spent = r["at"], {}
+                k = r["model_id"]
+                if r["joins"]:
+                    while len(weights) > size - 1:
+                        gone = min(weights, key=(lambda m: (joined[m], m)) if evict == "oldest" else (lambda m: (weights[m], m)))
+                        del weights[gone], joined[gone], last[gone]
+                    share = config.ADD_WEIGHT * (sum(math.exp(w) * last[m] for m, w in weights.items()) + r["last"])
+                    weights[k] = math.log(share) if weights and share > 0 else 0.0
+                    joined[k], last[k] = at, r["last"]
+                elif k in weights:
+                    spent[k] = (r["spent"], r["last"])
+                    out.append((stream, k, at, r["end_seq"], weights[k], r["base"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    return run
 
 
 def add_experts(pairs: DataFrame, joins: DataFrame, evict: str = "oldest", size: int = config.MAX_ENSEMBLE,
@@ -104,22 +113,33 @@ def add_experts(pairs: DataFrame, joins: DataFrame, evict: str = "oldest", size:
     model_id, at``. A member's weight falls by ``decay^|error|`` per row; one
     that joins gets a share of the pool's weighted loss on the row before; a
     full pool first drops its ``oldest`` or ``weakest`` member. Weights are
-    kept as logarithms, so long streams do not underflow.
+    kept as logarithms, so long streams do not underflow. A model needs pairs
+    only for rows at which it predicts; it loses nothing on others. Errors are
+    summed by period between joins, and the recursion reads these sums in
+    order, so its memory is that of one pool however often models join.
     """
     if evict not in ("oldest", "weakest"):
         raise ValueError("evict must be oldest or weakest")
     errors = pairs.withColumn("e", F.abs(F.col("p") - F.col("y")))
     summed = staged(running_sum(errors, ["domain", "model_id"], F.col("e"), "cum", chunk_rows))
-    events = joins.select("domain", "at").distinct()
-    models = joins.select("domain", "model_id").distinct()
-    before = summed.select("domain", "model_id", (F.col("seq") + 1).alias("at"), "cum", "e")
-    flags = joins.select("domain", "model_id", "at", F.lit(True).alias("joins"))
-    table = (events.join(models, "domain").join(before, ["domain", "model_id", "at"], "left")
-             .join(flags, ["domain", "model_id", "at"], "left")
-             .select("domain", "at", "model_id", F.coalesce("cum", F.lit(0.0)).alias("cum"),
-                     F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("joins", F.lit(False)).alias("joins")))
-    longest = summed.agg(F.max("seq")).first()[0]
-    spans = table.groupBy("domain").applyInPandas(_recursion(evict, size, longest), PERIODS)
+    ends = summed.groupBy("domain").agg(F.max("seq").alias("_end"))
+    after = F.lead("start_seq").over(Window.partitionBy("domain").orderBy("start_seq")) - 1
+    periods = (joins.select("domain", F.col("at").cast("bigint").alias("start_seq")).distinct()
+               .withColumn("_next", after).join(ends, "domain")
+               .select("domain", "start_seq", F.coalesce("_next", "_end").alias("end_seq")).filter("start_seq <= end_seq"))
+    lost = (in_spans(summed, periods, ["domain"], chunk_rows).groupBy("domain", "start_seq", "model_id")
+            .agg(F.first("end_seq").alias("end_seq"), F.sum("e").alias("spent"),
+                 F.sum(F.when(F.col("seq") == F.col("end_seq"), F.col("e")).otherwise(0.0)).alias("last"),
+                 F.min_by(F.col("cum") - F.col("e"), "seq").alias("base"))
+            .select("domain", F.col("start_seq").alias("at"), F.lit(False).alias("joins"), "model_id", "end_seq", "spent", "last", "base"))
+    before = summed.select("domain", "model_id", (F.col("seq") + 1).alias("at"), F.col("e").alias("last"))
+    joining = (joins.select("domain", "model_id", F.col("at").cast("bigint").alias("at")).distinct()
+               .join(before, ["domain", "model_id", "at"], "left")
+               .select("domain", "at", F.lit(True).alias("joins"), "model_id", F.lit(None).cast("bigint").alias("end_seq"),
+                       F.lit(0.0).alias("spent"), F.coalesce("last", F.lit(0.0)).alias("last"), F.lit(0.0).alias("base")))
+    records = (joining.unionByName(lost).withColumn("domain", F.col("domain").cast("string"))
+               .repartition("domain").sortWithinPartitions("domain", "at", F.desc("joins"), "model_id"))
+    spans = records.mapInArrow(_recursion(evict, size), SPANS)
     scored = in_spans(summed, spans, ["domain", "model_id"], chunk_rows)
     log_weight = F.col("log_weight") + math.log(config.DECAY) * (F.col("cum") - F.col("e") - F.col("base"))
     rows = scored.groupBy("domain", "seq").agg(

@@ -212,9 +212,10 @@ def shared_information(wide: DataFrame, keys: list[str], ids: list[str], bins: i
     from pyspark.sql.pandas.types import to_arrow_schema
     m = len(ids)
     size = F.lit(bins)
+    wide = staged(wide.select(*keys, *[c for c in ("seq", "preds") if c in wide.columns]))    # read for ranges and for counts
     ends = wide.groupBy(*keys).agg(*[f(F.col("preds")[i]).alias(f"_{n}{i}")
                                      for i in range(m) for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = join_bounded(wide.select(*keys, *[c for c in ("seq", "preds") if c in wide.columns]), ends, keys)
+    rows = join_bounded(wide, ends, keys)
 
     def place(i):
         lo, hi, v = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col("preds")[i]

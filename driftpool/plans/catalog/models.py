@@ -337,8 +337,36 @@ def closest_model(spark, folder):
     return out.select("domain", "model_id", r(F.col("max_diff")).alias("max_diff"))
 
 
-def _experts(name, evict):
-    @query(name)
+def _experts_sql(order):
+    """One model joins every 50 rows; a step of the recursion leaves the five to keep and adds the next."""
+    decay = f"ln({config.DECAY!r}::DOUBLE)"
+    return f"""WITH RECURSIVE {POOL}, e AS (
+  SELECT domain, seq, model_id, y, p, abs(p - y) AS e, least((seq - 1) // 50, {POOL_SIZE - 1}) AS k FROM pairs),
+per AS (SELECT domain, k, model_id, sum(e) AS spent, coalesce(sum(e) FILTER (WHERE seq = 50 * (k + 1)), 0) AS last FROM e GROUP BY ALL),
+live AS (
+  SELECT 0::BIGINT AS k, domain, 'm0' AS model_id, 0.0::DOUBLE AS lw, 0::BIGINT AS joined FROM (SELECT DISTINCT domain FROM stream)
+  UNION ALL
+  SELECT s.k, s.domain, CASE WHEN x = 1 THEN s.next ELSE s.model_id END, CASE WHEN x = 1 THEN ln({config.ADD_WEIGHT!r}::DOUBLE * (s.loss + j.last)) ELSE s.lw END,
+         CASE WHEN x = 1 THEN s.k ELSE s.joined END
+  FROM (SELECT *, sum(exp(lw) * last) OVER (PARTITION BY domain) AS loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {order}) AS place FROM (
+      SELECT l.k + 1 AS k, l.domain, l.model_id, l.lw + {decay} * p.spent AS lw, l.joined, p.last, 'm' || (l.k + 1) AS next
+      FROM live l JOIN per p ON p.domain = l.domain AND p.k = l.k AND p.model_id = l.model_id WHERE l.k < {POOL_SIZE - 1}))
+    WHERE place <= 5) s
+  JOIN per j ON j.domain = s.domain AND j.k = s.k - 1 AND j.model_id = s.next, (VALUES (0), (1)) v(x)
+  WHERE x = 0 OR s.place = 1),
+w AS (
+  SELECT e.domain, e.seq, e.y, e.p, l.lw + {decay} * coalesce(sum(e.e) OVER (
+    PARTITION BY e.domain, e.k, e.model_id ORDER BY e.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lw
+  FROM e JOIN live l ON l.domain = e.domain AND l.k = e.k AND l.model_id = e.model_id),
+t AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY domain, seq)) AS v FROM w),
+rows_of AS (SELECT domain, seq, min(y) AS y, sum(v * p) / sum(v) AS p, count(*) AS members FROM t GROUP BY domain, seq)
+SELECT domain, count(*) AS n, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 4) + 0.0 AS r2,
+       round(avg(abs(y - p)), 4) + 0.0 AS mae, max(members)::INTEGER AS members FROM rows_of GROUP BY domain"""
+
+
+def _experts(name, evict, order):
+    @query(name, _experts_sql(order))
     def run(spark, folder):
         from driftpool.operators import experts
         pairs = pool_predictions(spark, folder)
@@ -351,5 +379,5 @@ def _experts(name, evict):
     return run
 
 
-_experts("experts_oldest_out", "oldest")
-_experts("experts_weakest_out", "weakest")
+_experts("experts_oldest_out", "oldest", "joined DESC, model_id DESC")
+_experts("experts_weakest_out", "weakest", "lw DESC, model_id DESC")

@@ -482,3 +482,31 @@ def test_shared_information_hands_counts_on(spark):
                  for limit in (32 << 20, 1))
     assert len(one) == 24 and one.keys() == many.keys()
     assert all(abs(one[k] - many[k]) < 1e-12 for k in one)
+
+
+@pytest.mark.parametrize("evict", ["oldest", "weakest"])
+def test_experts_of_very_many_joins(spark, evict):
+    """A model joins at every row of one stream and predicts 40 rows: 10,000 joins, of which a pool holds ten."""
+    from driftpool.operators import experts
+    n, life = 10_000, 40
+    def p_of(s, m):
+        return math.sin(s * 0.1) + ((s * 31 + m * 17) % 100) / 100.0 - 0.5
+    models = spark.range(1, n + 1).select(F.lit("a").alias("domain"), F.col("id").alias("at"))
+    name = F.format_string("m%05d", "at").alias("model_id")
+    pairs = models.withColumn("seq", F.explode(F.sequence(F.greatest(F.col("at") - 1, F.lit(1)), F.least(F.col("at") + life, F.lit(n)))))
+    y = F.sin(F.col("seq") * 0.1)
+    pairs = pairs.select("domain", "seq", name, y.alias("y"), (y + (F.col("seq") * 31 + F.col("at") * 17) % 100 / 100.0 - 0.5).alias("p"))
+    got = {r.seq: (r.p, r.members) for r in experts.add_experts(pairs, models.select("domain", name, "at"), evict).collect()}
+    w, lives = {}, lambda s, m: m - 1 <= s <= m + life
+    for s in range(1, n + 1):
+        off = {m: abs(p_of(s - 1, m) - math.sin((s - 1) * 0.1)) if lives(s - 1, m) and s > 1 else 0.0 for m in [*w, s]}
+        for m in w:
+            w[m] += math.log(0.8) * off[m]
+        while len(w) > 9:
+            del w[min(w) if evict == "oldest" else min(w, key=lambda k: (w[k], k))]
+        share = 0.1 * (sum(math.exp(v) * off[m] for m, v in w.items()) + off[s])
+        w[s] = math.log(share) if w and share > 0 else 0.0
+        there = [m for m in w if lives(s, m)]
+        top = max(w[m] for m in there)
+        p = sum(math.exp(w[m] - top) * p_of(s, m) for m in there) / sum(math.exp(w[m] - top) for m in there)
+        assert abs(got[s][0] - p) < 1e-6 and got[s][1] == len(there), s
