@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from driftpool.functions import linalg
 from driftpool.operators import ensemble, loop, pool
+from driftpool.operators.score import score_pool
 from driftpool.plans import config
 from driftpool.plans.config import LoopConfig
 from driftpool.plans.sequence import CHUNK_ROWS, with_halo
+from driftpool.session import staged
 
 MI_BINS = 16
 
@@ -67,6 +69,24 @@ def pools(result: DataFrame, edges: DataFrame, cfg: LoopConfig, epoch_rows: int,
     return out
 
 
+def remember(stream: DataFrame, pooled: DataFrame, cfg: LoopConfig, size: int = config.MAX_ENSEMBLE) -> DataFrame:
+    """Pools that hold ``size`` models and remember whom they turned out: adds ``usable_to``.
+
+    Whenever a model becomes usable, it and the members are compared by their
+    errors on the last window of the stream; who is turned out stays out.
+    """
+    pooled = staged(pooled)
+    joins = pooled.select("domain", "model_id", F.col("usable_from").alias("at"))
+    near = pool.recent_rows(stream.select("domain", "seq", "features", "y"), joins, cfg.window)
+    models = pooled.select("domain", "model_id", "coef", "intercept", "usable_from")
+    scored = score_pool(near, models).filter("usable_from <= at")
+    error = F.col("y") - F.col("p")
+    scores = staged(scored.groupBy("domain", "at", "model_id").agg(F.avg(error * error).alias("mse")))
+    spans = pool.remembered(scores, joins, size).select(
+        "domain", "model_id", F.col("start_seq").alias("usable_from"), F.col("end_seq").alias("usable_to"))
+    return pooled.join(spans, ["domain", "model_id", "usable_from"])
+
+
 def traffic_of(result: DataFrame, edges: DataFrame, epoch_rows: int) -> DataFrame:
     """Messages and bytes by stream: sent once per neighbour, received when asked for."""
     models = registry(result, epoch_rows).withColumn("bytes", 8 * (F.size("coef") + 1).cast("bigint"))
@@ -95,7 +115,7 @@ def _fit(kind: str, base: np.ndarray, y: np.ndarray, target: int | None, pcs, li
     return ensemble.weigh(kind, linalg.Moments.of_rows(base, y), target, d, mi, found=found, **limits)
 
 
-def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
+def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict, refits: bool = False):
     w = cfg.window
     own_rule = ensemble.REGISTERED.get(kind)
 
@@ -108,14 +128,14 @@ def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
         moments = set(table.loc[table.role == "change", "usable_from"].astype(int) + 1)
         own = {m.model_id: m for m in table[table.role == "own"].itertuples()}
         base = table[table.role == "pool"].sort_values(["usable_from", "model_id"])
-        ids, since = base["model_id"].to_numpy(), base["usable_from"].to_numpy()
+        ids, since, until = (base[c].to_numpy() for c in ("model_id", "usable_from", "usable_to"))
         bases_p = (x @ np.stack(base["coef"].to_numpy()).T + base["intercept"].to_numpy()
                    if len(base) else np.zeros((len(y), 0)))
         starts = [i for i, s in enumerate(seq)
                   if i == 0 or s in moments or s == w + 1 or used[i] != used[i - 1]
                   or (s > w and s % (w // 2) == 0) or (s <= w and s % max(w // 4, 1) == 0)]
         out_p, out_n, out_ids = np.empty(len(y)), np.zeros(len(y), dtype=int), [None] * len(y)
-        seen = {}
+        seen, fits = {}, []
         for at, stop in zip(starts, starts[1:] + [len(y)]):
             if not home[at:stop].any():
                 continue
@@ -123,7 +143,7 @@ def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
             fresh = first in moments or first <= w + 1
             back = max(0, at - (w if fresh else 2 * w))
             mine = used[at]
-            member = (since <= first) & (ids != mine)
+            member = (since <= first) & (first < until) & (ids != mine)
             names = list(ids[member])
             if mine is None:
                 if not names:
@@ -145,11 +165,16 @@ def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
                 weights, b = _fit(kind, train, y[back:at], target, pcs, limits, found)
             else:
                 weights, b = own_rule(train, y[back:at], target)
+            if home[at]:
+                fits.append((seq[at], names, weights, b))
             out_p[at:stop] = ahead @ weights + b
             kept = [n for n, v in zip(names, weights) if v != 0.0]
             out_n[at:stop] = len(kept)
             for i in range(at, stop):
                 out_ids[i] = kept
+        if refits:
+            return pd.DataFrame([(rows["domain"].iloc[0], s, names, list(map(float, v)), float(b)) for s, names, v, b in fits],
+                                columns=["domain", "seq", "members", "weights", "intercept"])
         return pd.DataFrame({"domain": rows["domain"].to_numpy()[home], "seq": seq[home], "y": y[home],
                              "p_own": target_p[home], "p": out_p[home], "n_bases": out_n[home],
                              "bases": pd.Series([o for o, h in zip(out_ids, home) if h], dtype=object)})
@@ -157,6 +182,7 @@ def _chunk_weigher(kind: str, cfg: LoopConfig, limits: dict):
 
 
 SCHEMA = "domain string, seq bigint, y double, p_own double, p double, n_bases int, bases array<string>"
+REFITS = "domain string, seq bigint, members array<string>, weights array<double>, intercept double"
 
 
 def combine(stream: DataFrame, result: DataFrame, pooled: DataFrame, cfg: LoopConfig, kind: str,
@@ -165,10 +191,21 @@ def combine(stream: DataFrame, result: DataFrame, pooled: DataFrame, cfg: LoopCo
 
     Weights are refitted every half window on the last two windows, and after
     each change of model on the last window; a period in the burn-in uses
-    received models only.
+    received models only. Pools with ``usable_to`` are left at that row.
     """
+    return _weighed(stream, result, pooled, cfg, kind, chunk_rows, False, limits)
+
+
+def refits(stream: DataFrame, result: DataFrame, pooled: DataFrame, cfg: LoopConfig, kind: str,
+           chunk_rows: int = CHUNK_ROWS, **limits) -> DataFrame:
+    """Members and weights of ``combine`` from each row at which they are fitted anew; rows without any model have none."""
+    return _weighed(stream, result, pooled, cfg, kind, chunk_rows, True, limits)
+
+
+def _weighed(stream, result, pooled, cfg, kind, chunk_rows, refits, limits):
     if kind not in ensemble.KINDS and kind not in ensemble.REGISTERED:
         raise ValueError(f"ensemble must be registered or one of {ensemble.KINDS}")
+    never = F.lit(2 ** 62).cast("bigint").alias("usable_to")
     scored = stream.select("domain", "seq", "features", "y").join(
         loop.rows_of(result).select("domain", "seq", "model_id", "p"), ["domain", "seq"])
     rows = with_halo(scored, behind=3 * cfg.window, chunk_rows=chunk_rows)
@@ -178,16 +215,17 @@ def combine(stream: DataFrame, result: DataFrame, pooled: DataFrame, cfg: LoopCo
     change = with_halo(change, behind=3 * cfg.window + 1, chunk_rows=chunk_rows).select(
         "domain", "chunk", F.lit("change").alias("role"), F.lit(None).cast("string").alias("model_id"),
         F.lit(None).cast("array<double>").alias("coef"), F.lit(None).cast("double").alias("intercept"),
-        F.lit(None).cast("array<array<double>>").alias("pcs"), "usable_from")
+        F.lit(None).cast("array<array<double>>").alias("pcs"), "usable_from", never)
     learned = result.filter(F.col("kind").isin("learn", "temporary")).select("domain", "model_id", "coef", "intercept", "pcs")
     uses = rows.select("domain", "chunk", "model_id").filter("model_id is not null").distinct()
     own = uses.join(learned, ["domain", "model_id"]).select(
-        "domain", "chunk", F.lit("own").alias("role"), "model_id", "coef", "intercept", "pcs", F.lit(0).cast("bigint").alias("usable_from"))
+        "domain", "chunk", F.lit("own").alias("role"), "model_id", "coef", "intercept", "pcs", F.lit(0).cast("bigint").alias("usable_from"), never)
     spans = rows.groupBy("domain", "chunk").agg(F.max("seq").alias("_end"))
     shared = spans.join(pooled, "domain").filter(F.col("usable_from") <= F.col("_end")).select(
-        "domain", "chunk", F.lit("pool").alias("role"), "model_id", "coef", "intercept", "pcs", F.col("usable_from").cast("bigint"))
+        "domain", "chunk", F.lit("pool").alias("role"), "model_id", "coef", "intercept", "pcs", F.col("usable_from").cast("bigint"),
+        F.coalesce("usable_to", never).alias("usable_to") if "usable_to" in pooled.columns else never)
     models = change.unionByName(own).unionByName(shared)
     tasks = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, models = rows.repartition(tasks, "domain", "chunk"), models.repartition(tasks, "domain", "chunk")
     return (rows.groupBy("domain", "chunk").cogroup(models.groupBy("domain", "chunk"))
-            .applyInPandas(_chunk_weigher(kind, cfg, limits), SCHEMA))
+            .applyInPandas(_chunk_weigher(kind, cfg, limits, refits), REFITS if refits else SCHEMA))

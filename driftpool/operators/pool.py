@@ -7,9 +7,13 @@ edge tables, so exchange costs what the edges cost; no operator pairs all
 streams unless the caller asks for the complete graph.
 """
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftpool.session import staged
+from driftpool.plans import config
+from driftpool.session import join_bounded, staged
 
 
 def complete_edges(domains: DataFrame) -> DataFrame:
@@ -284,3 +288,67 @@ def traffic(log: DataFrame, keys: list[str],
         out += [F.count(F.when(k == kind, 1)).alias(f"{kind}_messages"),
                 F.coalesce(F.sum(F.when(k == kind, F.col("bytes"))), F.lit(0)).alias(f"{kind}_bytes")]
     return log.groupBy(*keys).agg(*out)
+
+
+def _memory(size: int):
+    """Members of a pool over its joins in order; a full pool turns out the worst of members and newcomer."""
+    schema = pa.schema([("domain", pa.string()), ("model_id", pa.string()), ("start_seq", pa.int64()), ("end_seq", pa.int64())])
+
+    def batch_of(spans):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*spans), schema)], schema=schema)
+
+    def run(source):
+        stream, at, since, mse = object(), None, {}, {}
+        for batch in source:
+            out = []
+            for r in batch.to_pylist():
+                if r["domain"] != stream:
+                    out += [(stream, k, s, None) for k, s in since.items()]
+                    stream, at, since, mse = r["domain"], None, {}, {}
+                if r["at"] != at:
+                    at, mse = r["at"], {}
+                k, error = r["model_id"], math.inf if r["mse"] is None else r["mse"]
+                if not r["joins"]:
+                    if k in since:
+                        mse[k] = error
+                    continue
+                if k in since:
+                    continue
+                if len(since) >= size:
+                    worst = min(since, key=lambda m: (-mse.get(m, math.inf), m))
+                    if not error < mse.get(worst, math.inf):
+                        continue
+                    out.append((stream, worst, since.pop(worst), at))
+                since[k], mse[k] = at, error
+            if out:
+                yield batch_of(out)
+        if since:
+            yield batch_of([(stream, k, s, None) for k, s in since.items()])
+    return run
+
+
+def remembered(scores: DataFrame, joins: DataFrame, size: int = config.MAX_ENSEMBLE) -> DataFrame:
+    """Membership ``[start_seq, end_seq)`` in pools that remember whom they turned out.
+
+    ``joins`` holds ``domain, model_id, at``, ``scores`` the ``mse`` of models
+    on the rows before ``at``. While a pool has room a model enters. A full
+    pool keeps its members unless the newcomer's error is smaller than that of
+    its worst member, which then leaves for good; of equally bad ones the
+    smaller id leaves. A missing error counts as infinite, an ``end_seq`` of
+    null as still in. Only members are held, joins are read in order.
+    """
+    asked = joins.select("domain", "model_id", F.col("at").cast("bigint").alias("at")).distinct()
+    known = scores.select("domain", "at", F.lit(False).alias("joins"), "model_id", "mse")
+    new = asked.join(scores.select("domain", "model_id", "at", "mse"), ["domain", "model_id", "at"], "left").select(
+        "domain", "at", F.lit(True).alias("joins"), "model_id", "mse")
+    records = known.unionByName(new).repartition("domain").sortWithinPartitions("domain", "at", "joins", "model_id")
+    return records.mapInArrow(_memory(size), "domain string, model_id string, start_seq bigint, end_seq bigint")
+
+
+def recent_rows(rows: DataFrame, moments: DataFrame, window: int) -> DataFrame:
+    """Copies of the rows of the last ``window`` before each moment ``domain, at``; other rows are not taken."""
+    block = F.floor(F.col("seq") / window)
+    near = rows.withColumn("_block", F.explode(F.array(block, block + 1)))
+    asked = moments.select("domain", F.col("at").cast("bigint").alias("at")).distinct().withColumn("_block", F.floor((F.col("at") - 1) / window))
+    return (join_bounded(near, asked, ["domain", "_block"])
+            .filter("seq < at AND seq >= at - %d" % window).drop("_block"))

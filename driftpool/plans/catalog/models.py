@@ -9,7 +9,7 @@ from driftpool.plans import config
 from driftpool.plans.catalog import query
 from driftpool.plans.catalog.common import (LINE, POOL, R2, WINDOW, big, first_models, pool_predictions, r,
                                             wide_predictions)
-from driftpool.session import join_bounded
+from driftpool.session import join_bounded, staged
 from driftpool.sources import tables
 
 POOL_SIZE = 10
@@ -381,3 +381,31 @@ def _experts(name, evict, order):
 
 _experts("experts_oldest_out", "oldest", "joined DESC, model_id DESC")
 _experts("experts_weakest_out", "weakest", "lw DESC, model_id DESC")
+
+
+@query("remembered_pool", f"""WITH RECURSIVE {POOL},
+mse AS (
+  SELECT domain, k, model_id, avg((y - p) ** 2) AS mse FROM pairs, range(0, {POOL_SIZE}) g(k)
+  WHERE seq BETWEEN 50 * k - 89 AND 50 * k GROUP BY domain, k, model_id),
+live AS (
+  SELECT 0::BIGINT AS k, domain, 'm0' AS model_id FROM (SELECT DISTINCT domain FROM stream)
+  UNION ALL
+  SELECT k, domain, CASE WHEN x = 1 THEN next ELSE model_id END FROM (
+    SELECT l.k + 1 AS k, l.domain, l.model_id, n.model_id AS next, n.mse AS new, count(*) OVER (PARTITION BY l.domain) AS size,
+           max(q.mse) OVER (PARTITION BY l.domain) AS worst,
+           row_number() OVER (PARTITION BY l.domain ORDER BY q.mse DESC, l.model_id) AS place
+    FROM live l JOIN mse q ON q.domain = l.domain AND q.k = l.k + 1 AND q.model_id = l.model_id
+    JOIN mse n ON n.domain = l.domain AND n.k = l.k + 1 AND n.model_id = 'm' || (l.k + 1)), (VALUES (0), (1)) v(x)
+  WHERE (x = 0 AND (size < 4 OR place > 1 OR new >= worst)) OR (x = 1 AND place = 1 AND (size < 4 OR new < worst)))
+SELECT domain, model_id, min(k) * 50 + 1 AS start_seq, CASE WHEN max(k) < {POOL_SIZE - 1} THEN max(k) * 50 + 51 END AS end_seq
+FROM live GROUP BY domain, model_id""")
+def remembered_pool(spark, folder):
+    """Ten models join a pool of four one after another; who is turned out stays out."""
+    from driftpool.operators import pool
+    pairs = pool_predictions(spark, folder)
+    joins = staged(pairs.select("domain", "model_id").distinct()).select(
+        "domain", "model_id", (F.substring("model_id", 2, 5).cast("int") * 50 + 1).cast("bigint").alias("at"))
+    near = pool.recent_rows(pairs, joins, config.WINDOW)
+    error = F.col("y") - F.col("p")
+    scores = near.groupBy("domain", "at", "model_id").agg(F.avg(error * error).alias("mse"))
+    return pool.remembered(staged(scores), joins, 4)

@@ -510,3 +510,69 @@ def test_experts_of_very_many_joins(spark, evict):
         top = max(w[m] for m in there)
         p = sum(math.exp(w[m] - top) * p_of(s, m) for m in there) / sum(math.exp(w[m] - top) for m in there)
         assert abs(got[s][0] - p) < 1e-6 and got[s][1] == len(there), s
+
+
+def test_pools_remember_whom_they_turned_out(spark):
+    source = np.random.default_rng(41)
+    scores, joins, want = [], [], set()
+    for d in ("a", "b", None):
+        since, gone = {}, set()
+        for at in range(1, 60):
+            new = [f"m{at:02d}"] + ([f"n{at:02d}"] if at % 9 == 0 else [])
+            mse = {m: float(source.integers(1, 12)) for m in [*since, *gone, *new]}
+            mse.pop("m07", None)
+            scores += [(d, at, m, v) for m, v in mse.items()] if d else []
+            joins += [(d, m, at) for m in new] if d else []
+            for m in new:
+                if len(since) >= 5:
+                    worst = min(since, key=lambda k: (-mse.get(k, math.inf), k))
+                    if not mse.get(m, math.inf) < mse.get(worst, math.inf):
+                        gone.add(m)
+                        continue
+                    gone.add(worst)
+                    want |= {(d, worst, since.pop(worst), at)} if d else set()
+                since[m] = at
+        want |= {(d, m, s, None) for m, s in since.items()} if d else set()
+    scores = spark.createDataFrame(scores, "domain string, at bigint, model_id string, mse double")
+    joins = spark.createDataFrame(joins, "domain string, model_id string, at bigint")
+    got = {tuple(r) for r in pool.remembered(scores, joins.unionByName(joins), 5).collect()}
+    assert got == want and len({w[3] for w in want}) > 10
+    assert pool.remembered(scores.limit(0), joins.limit(0)).count() == 0
+    rows = spark.range(1, 41).select(F.lit("a").alias("domain"), F.col("id").alias("seq"))
+    moments = spark.createDataFrame([("a", 1), ("a", 13), ("a", 13), ("a", 20), ("a", 41)], "domain string, at bigint")
+    taken = sorted((r["at"], r["seq"]) for r in pool.recent_rows(rows, moments, 10).collect())
+    assert taken == [(at, s) for at in (13, 20, 41) for s in range(max(at - 10, 1), at)]
+
+
+def test_weights_of_refits_and_remembered_pools(spark, small):
+    """Weights of the last refit give every row's prediction; models turned out take no part again."""
+    from driftpool.operators import loop
+    from driftpool.sources import tables
+    cfg = LoopConfig(window=30, eps=0.1)
+    stream = session.staged(tables.as_stream(tables.line_stream(spark, small)))
+    result = session.staged(loop.run(stream, cfg))
+    pooled = session.staged(online.remember(stream, online.pools(result, pool.complete_edges(stream.select("domain")), cfg, 100), cfg, size=2))
+    rows = online.combine(stream, result, pooled, cfg, "accuracy_weighted").collect()
+    fits, split = ({(r.domain, r.seq): r for r in online.refits(stream, result, pooled, cfg, "accuracy_weighted", chunk_rows=c).collect()}
+                   for c in (1 << 20, 128))
+    assert fits.keys() == split.keys()
+    models = {(r.domain, r.model_id): r for r in pooled.collect()}
+    own = {(r.domain, r.model_id): r for r in loop.models_of(result).collect()}
+    spare = {(r.domain, r.model_id): r for r in result.filter("kind = 'temporary'").collect()}
+    own = {**spare, **own}
+    features = {(r.domain, r.seq): r.features for r in stream.collect()}
+    assert any(m.usable_to is not None for m in models.values())
+    last = {}
+    for r in sorted(rows, key=lambda r: (r.domain, r.seq)):
+        if (r.domain, r.seq) in fits:
+            last[r.domain] = fits[r.domain, r.seq]
+        if r.domain not in last:
+            continue
+        f, x, p = last[r.domain], features[r.domain, r.seq], 0.0
+        for k, w in zip(f.members, f.weights):
+            m = models.get((r.domain, k)) or own[r.domain, k]
+            if "-" in k:
+                assert m.usable_from <= f.seq and (m.usable_to is None or f.seq < m.usable_to)
+            p += w * (np.dot(x, m.coef) + m.intercept)
+        assert abs(p + f.intercept - r.p) < 1e-6, (r.domain, r.seq)
+        np.testing.assert_allclose(f.weights, split[f.domain, f.seq].weights, atol=1e-9)
