@@ -19,7 +19,7 @@ from driftpool.functions import linalg
 from driftpool.operators.adaptive import AdaptiveWindow
 from driftpool.operators.memory import Memory, Model
 from driftpool.plans.config import LoopConfig
-from driftpool.session import bounded_side, new_folder, staged
+from driftpool.session import new_folder, staged
 
 BLOCK = 8192
 
@@ -333,23 +333,30 @@ def event_batch(domain: str, events: list[dict], schema: pa.Schema) -> pa.Record
     return to_batch(domain, {k: [e.get(k) for e in events] for k in names}, None, len(events), schema)
 
 
+END = "end"         # state of the mark behind the last row of a stream that goes on from epoch to epoch
+
+
 def _grouped(cfg, with_state: bool):
     """``cfg`` is one configuration, or a function that gives each stream its own."""
     schema = to_arrow_schema(OUTPUT)
     registered = dict(linalg.REGISTERED)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loop, domain, total = None, None, None
+        loop, domain, ended = None, None, not with_state
         for batch in batches:
             names = batch.schema.names
             if batch.num_rows == 0:
                 continue
+            if with_state and batch.column(names.index("state"))[batch.num_rows - 1].as_py() == END:
+                ended = True
+                batch = batch.slice(0, batch.num_rows - 1)
+                if batch.num_rows == 0:
+                    continue
             if loop is None:
                 domain = batch.column(names.index("domain"))[0].as_py()
                 kept = None
                 if with_state:
                     kept = batch.column(names.index("state"))[0].as_py()
-                    total = batch.column(names.index("total"))[0].as_py()
                     if kept is not None:
                         batch = batch.slice(1)
                 loop = StreamLoop(cfg(domain) if callable(cfg) else cfg, kept, registered)
@@ -369,7 +376,7 @@ def _grouped(cfg, with_state: bool):
                 loop.events = []
         if loop is None:
             return
-        if not with_state or loop.seen == total:
+        if ended:
             loop.finish()
             loop.transitions()
             for e in loop.events:
@@ -417,23 +424,22 @@ def run_in_epochs(stream: DataFrame, cfg: LoopConfig, epoch_rows: int) -> DataFr
     may have gaps: only epochs with rows are run.
     """
     spark = stream.sparkSession
-    totals, _ = bounded_side(stream.groupBy("domain").agg(F.count("*").alias("total")))
     parts = staged(stream.select(*_inputs(stream))
-                   .withColumn("epoch", F.floor((F.col("seq") - 1) / epoch_rows).cast("int"))
-                   .join(totals, "domain"), "epoch")
+                   .withColumn("epoch", F.floor((F.col("seq") - 1) / epoch_rows).cast("int")), "epoch")
+    ends = staged(parts.groupBy("domain").agg(F.max("epoch").alias("epoch")))
     # one number for each epoch
     epochs = sorted(r["epoch"] for r in parts.select("epoch").distinct().collect())
     state = None
     folder = new_folder(spark)
+    none = F.lit(None).cast("string").alias("state")
     for epoch in epochs:
-        rows = parts.filter(F.col("epoch") == epoch).drop("epoch")
-        rows = rows.withColumn("state", F.lit(None).cast("string"))
+        rows = parts.filter(F.col("epoch") == epoch).drop("epoch").select("*", none)
+        # the mark of a stream's end sorts behind its rows, the kept state in front of them
+        marks = ends.filter(F.col("epoch") == epoch).select(
+            "domain", F.lit(1 << 62).cast("bigint").alias("seq"), F.lit(END).alias("state"))
+        rows = rows.unionByName(marks, allowMissingColumns=True)
         if state is not None:
-            # the kept state sorts in front of the stream's rows
-            carried = state.join(totals, "domain").select(
-                "domain", F.lit(-(1 << 62)).cast("bigint").alias("seq"),
-                F.lit(None).cast("array<double>").alias("features"),
-                F.lit(None).cast("double").alias("y"), "total", "state")
+            carried = state.select("domain", F.lit(-(1 << 62)).cast("bigint").alias("seq"), "state")
             rows = rows.unionByName(carried, allowMissingColumns=True)
         done = in_order(rows).groupBy("domain").applyInArrow(_grouped(cfg, True), OUTPUT)
         path = f"{folder}/epoch={epoch}"

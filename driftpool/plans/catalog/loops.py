@@ -35,7 +35,7 @@ def _report(result):
 def _detector(name, detector):
     @query(name)
     def run(spark, folder):
-        return _report(staged(loop.run_bounded(_stream(spark, folder), LoopConfig(detector=detector, eps=EPS))))
+        return _report(loop.run_bounded(_stream(spark, folder), LoopConfig(detector=detector, eps=EPS)))
     run.__doc__ = f"Whole loop with the {detector} detector: accuracy and events by stream."
     return run
 
@@ -49,7 +49,7 @@ _detector("combined_loop", "combined")
 def older_adaptive_loop(spark, folder):
     """Adaptive detector with more buckets per level and shorter sides."""
     cfg = LoopConfig(detector="adaptive", eps=EPS, max_buckets=6, min_side=5)
-    return _report(staged(loop.run_bounded(_stream(spark, folder), cfg)))
+    return _report(loop.run_bounded(_stream(spark, folder), cfg))
 
 
 @query("user_loops")
@@ -59,7 +59,7 @@ def user_loops(spark, folder):
     stream = rows.select("domain", "seq", F.array(
         F.hour("ts") / 24.0, F.minute("ts") / 60.0, F.lit(1.0) * (F.col("event_type") == "error").cast("int")).alias("features"),
         (F.col("value") / 100.0).alias("y"))
-    return _report(staged(loop.run_bounded(stream, LoopConfig(window=20, eps=EPS))))
+    return _report(loop.run_bounded(stream, LoopConfig(window=20, eps=EPS)))
 
 
 @query("loop_segments")
@@ -136,7 +136,7 @@ def parameter_sweep(spark, folder):
 def _combined(spark, folder, kind, **limits):
     cfg = LoopConfig(eps=EPS, components="angles" in kind)
     stream = staged(_stream(spark, folder))
-    result = staged(loop.run_bounded(stream, cfg))
+    result = loop.run_bounded(stream, cfg)
     edges = pool.complete_edges(stream.select("domain"))
     return stream, result, edges, cfg, online.combine(stream, result, online.pools(result, edges, cfg, EPOCH_ROWS), cfg, kind, **limits)
 
@@ -186,7 +186,7 @@ def result_rows(spark, folder):
 def fixed_and_loop_drifts(spark, folder):
     """First drift of each stream: window query on the first model's predictions, and the loop."""
     cfg = LoopConfig(eps=EPS)
-    result = staged(loop.run_bounded(_stream(spark, folder), cfg))
+    result = loop.run_bounded(_stream(spark, folder), cfg)
     stream = _stream(spark, folder)
     first = loop.models_of(result).filter("model_id = '0'").select("domain", "coef", "intercept")
     from driftpool.operators.score import score_pool
