@@ -302,15 +302,48 @@ def self_tuned_clusters(affinity: np.ndarray, most: int = 10) -> np.ndarray:
     a = affinity - np.diag(np.diag(affinity))
     degree = np.sqrt(np.maximum(a.sum(axis=0), 1e-300))
     values, vectors = np.linalg.eigh(a / np.outer(degree, degree))
-    top = min(max(int((values > 0).sum()), 2), most, n)
-    best, z = None, vectors[:, -1:]
+    return aligned_clusters(values[::-1][:most], vectors[:, ::-1][:, :most])
+
+
+def aligned_clusters(values: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cluster number per row of the leading eigenvectors, which come by falling eigenvalue."""
+    n, most = vectors.shape
+    top = min(max(int((values > 0).sum()), 2), most)
+    best, z = None, vectors[:, :1]
     for c in range(2, top + 1):
-        cost, z = _aligned(np.column_stack([vectors[:, -c], z]))
+        cost, z = _aligned(np.column_stack([vectors[:, c - 1], z]))
         if best is None or cost <= best[0] + 1e-6 * n:
             best = (min(cost, best[0]) if best else cost, z)
     return np.argmax(np.abs(best[1]), axis=1)
 
 
+def ritz_step(x, mx, w, mw, p, mp, width: int):
+    """One step towards the ``width`` leading eigenvectors of a symmetric matrix.
+
+    ``x``, ``w`` and ``p`` are the vectors so far, their residuals and the last directions, ``m*`` their products with
+    the matrix. Returns the values, the next six blocks without ``mw``, and the length of every residual.
+    """
+    s, ms = np.hstack([x, w, p]), np.hstack([mx, mw, mp])
+    length = np.maximum(np.linalg.norm(s, axis=0), 1e-300)
+    s, ms = s / length, ms / length
+    spread, turn = np.linalg.eigh(s.T @ s)
+    kept = spread > 1e-12 * spread[-1]
+    turn = turn[:, kept] / np.sqrt(spread[kept])
+    h = turn.T @ (s.T @ ms) @ turn
+    values, e = np.linalg.eigh((h + h.T) / 2.0)
+    values, c = values[::-1][:width], turn @ e[:, ::-1][:, :width]
+    new, m_new = s @ c, ms @ c
+    known = x.shape[1]
+    if known:
+        p, mp = s[:, known:] @ c[known:], ms[:, known:] @ c[known:]
+        length = np.maximum(np.linalg.norm(p, axis=0), 1e-300)
+        p, mp = p / length, mp / length
+    left = m_new - new * values
+    residual = np.linalg.norm(left, axis=0)
+    left = left - new @ (new.T @ left)
+    return values, new, m_new, left / np.maximum(np.linalg.norm(left, axis=0), 1e-300), p, mp, residual
+
+
 def information_matrix(base: np.ndarray, bins: int) -> np.ndarray:
     """MI(a,b) / MI(b,b) of all pairs of columns over equal-width bins; a constant b gives 0."""
     n, m = base.shape

@@ -1,7 +1,7 @@
 """How alike models are: distances, local scales, affinities, shared information, clusters.
 
 Pairs are pairs of models of one pool, never of rows: what is paired has been
-aggregated before, and a pool larger than ``MAX_POOL`` is refused with an error.
+aggregated before. A pool larger than ``MAX_POOL`` is never packed into one row.
 """
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from driftpool.functions import batches, linalg
-from driftpool.session import bounded_groups, join_bounded, staged
+from driftpool.session import bounded_groups, bounded_side, join_bounded, staged
 
 MAX_POOL = 1000
 
@@ -139,8 +139,21 @@ def dense_rows(pairs: DataFrame, keys: list[str], value: str, diagonal: float) -
 
 
 def clusters(pairs: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
-    """Self-tuning spectral clusters of each pool from its affinities."""
-    pairs = bounded_groups(pairs.select(*keys, "i", "j", "affinity"), keys, MAX_POOL * MAX_POOL // 2)
+    """Self-tuning spectral clusters of each pool from its affinities.
+
+    A pool of up to ``MAX_POOL`` models is one matrix in one task; a larger one stays a pair table and only its
+    leading eigenvectors are computed, see ``spread_clusters``.
+    """
+    kept = staged(pairs.select(*keys, "i", "j", "affinity"))
+    large = kept.groupBy(*keys).count().filter(F.col("count") > MAX_POOL * (MAX_POOL - 1) // 2).select(*keys)
+    if large.isEmpty():
+        return _dense_clusters(kept, keys, most)
+    large = staged(large)
+    return _dense_clusters(kept.join(large, keys, "left_anti"), keys, most).unionByName(
+        spread_clusters(kept.join(large, keys, "left_semi"), keys, most))
+
+
+def _dense_clusters(pairs: DataFrame, keys: list[str], most: int) -> DataFrame:
     rows = dense_rows(pairs, keys, "affinity", 1.0).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("i", "row"))).alias("_m"))
 
@@ -152,6 +165,67 @@ def clusters(pairs: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
     return listed.select(*keys, F.explode("_c").alias("_c")).select(*keys, F.col("_c.model_id").alias("model_id"), F.col("_c.cluster").alias("cluster"))
 
 
+def _product(weights: DataFrame, block: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Matrix of pairs times a block of vectors: a join on the column and a sum by row."""
+    side, _ = bounded_side(block)
+    summed = weights.join(side, keys + ["j"]).groupBy(*keys, "i").agg(
+        *[F.sum(F.col("w") * F.col("v")[k]).alias(f"_{k}") for k in range(width)])
+    return summed.select(*keys, F.col("i").alias("model_id"), F.array(*[f"_{k}" for k in range(width)]).alias("mw"))
+
+
+def spread_clusters(pairs: DataFrame, keys: list[str], most: int = 10, guard: int = 4, limit: float = 1e-6,
+                    steps: int = 500) -> DataFrame:
+    """``clusters`` of pools of any size: the matrix stays a pair table, a model holds ``most + guard`` columns.
+
+    The leading eigenvectors of the normalised affinities come from block steps: each joins the pair table to the
+    residuals and sums by model, then a small problem per pool gives the next vectors, until no residual of the
+    ``most`` leading ones exceeds ``limit``; not converging in ``steps`` is an error. The blocks of one pool (about
+    0.5 KB a model, where its pair table has a row for each two models) meet in one task, the pairs never do.
+    """
+    width = most + guard
+    both = pairs.select(*keys, "i", "j", "affinity").unionByName(
+        pairs.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "affinity"))
+    roots = staged(both.groupBy(*keys, "i").agg(F.sqrt(F.greatest(F.sum("affinity"), F.lit(1e-300))).alias("_ri")))
+    scaled = join_bounded(join_bounded(both, roots, keys + ["i"]),
+                          roots.select(*keys, F.col("i").alias("j"), F.col("_ri").alias("_rj")), keys + ["j"])
+    weights = staged(scaled.select(*keys, "i", "j", (F.col("affinity") / (F.col("_ri") * F.col("_rj"))).alias("w")))
+    none = F.array().cast("array<double>")
+    seeds = F.array(*[F.xxhash64("i", F.lit(k)) / float(1 << 63) for k in range(width)])
+    blocks = ["x", "mx", "w", "p", "mp"]
+    state = roots.select(*keys, F.col("i").alias("model_id"), none.alias("values"), F.lit(None).cast("double").alias("residual"),
+                         *[(seeds if b == "w" else none).alias(b) for b in blocks])
+    schema = state.schema
+    state = staged(state)
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("model_id")
+        x, mx, w, p, mp, mw = (np.stack(rows[b].to_numpy()) for b in blocks + ["mw"])
+        values, *new, residual = linalg.ritz_step(x, mx, w, mw, p, mp, width)
+        out = rows[[*keys, "model_id"]].copy()
+        out["values"] = [values.tolist()] * len(rows)
+        out["residual"] = float(residual[:most].max())
+        for b, v in zip(blocks, new):
+            out[b] = list(v)
+        return out[schema.names]
+
+    for _ in range(steps):
+        sent = state.select(*keys, F.col("model_id").alias("j"), F.col("w").alias("v"))
+        met = state.join(_product(weights, sent, keys, width), keys + ["model_id"])
+        state = staged(met.groupBy(*keys).applyInPandas(step, schema))
+        if (state.agg(F.max("residual")).first()[0] or 0.0) <= limit:       # one number
+            break
+    else:
+        raise ArithmeticError(f"eigenvectors have not converged in {steps} steps")
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        found = linalg.aligned_clusters(np.array(rows["values"].iloc[0])[:most], np.stack(rows["x"].to_numpy())[:, :most])
+        return rows[[*keys, "model_id"]].assign(cluster=found.astype("int32"))
+
+    named = state.select(*keys, "model_id", "values", "x")
+    return named.groupBy(*keys).applyInPandas(assign, T.StructType(
+        [named.schema[k] for k in [*keys, "model_id"]] + [T.StructField("cluster", T.IntegerType())]))
+
+
 def cluster_of(assigned: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Models in the same cluster as each pool's target model; the first cluster if it has none."""
     home = assigned.join(target.select(*keys, "model_id"), keys + ["model_id"]).select(*keys, F.col("cluster").alias("_home"))

@@ -203,6 +203,43 @@ def test_clusters_find_separate_groups(spark):
     assert len(found) == 18 and len(groups) == 3 and all(len(g) == 1 for g in groups.values())
 
 
+def _classes(rows):
+    found = {}
+    for r in rows:
+        found.setdefault((r.pool_id, r.cluster), set()).add(r.model_id)
+    return {(k[0], frozenset(v)) for k, v in found.items()}
+
+
+def test_clusters_of_pools_beyond_one_matrix(spark, monkeypatch):
+    """A pair table is clustered like the matrix; small and large pools side by side."""
+    source = np.random.default_rng(12)
+    centres = np.array([[0, 0], [7, 5], [0, 9], [9, -3]])
+    rows = [(k, f"m{i:04d}", (centres[i % 4] + source.normal(0, 0.3, 2)).tolist())
+            for k, n in ((0, 12), (1, 260)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pool_id int, model_id string, vector array<double>")
+    pairs = session.staged(similar.affinities(similar.vector_pairs(df, ["pool_id"]), ["pool_id"], 7))
+    want = similar.clusters(pairs, ["pool_id"], 5).collect()
+    monkeypatch.setattr(similar, "MAX_POOL", 20)
+    got = similar.clusters(pairs, ["pool_id"], 5).collect()
+    assert len(got) == 272 and _classes(got) == _classes(want)
+    assert {len(c) for k, c in _classes(got) if k == 1} == {65}
+
+
+def test_leading_eigenvectors_of_a_pair_table_are_those_of_the_matrix():
+    source = np.random.default_rng(13)
+    a = source.random((200, 200))
+    a = a + a.T
+    blocks = [np.zeros((200, 0)), np.zeros((200, 0)), source.normal(size=(200, 9)), np.zeros((200, 0)), np.zeros((200, 0))]
+    for _ in range(300):
+        x, mx, w, p, mp = blocks
+        values, *blocks, residual = linalg.ritz_step(x, mx, w, a @ w, p, mp, 9)
+        if residual[:5].max() < 1e-8:
+            break
+    real, vectors = np.linalg.eigh(a)
+    np.testing.assert_allclose(values[:5], real[::-1][:5], rtol=1e-9)
+    np.testing.assert_allclose(np.abs(blocks[0][:, :5].T @ vectors[:, ::-1][:, :5]), np.eye(5), atol=1e-6)
+
+
 def test_angle_distance_properties():
     source = np.random.default_rng(9)
     a = np.linalg.qr(source.normal(size=(6, 3)))[0]
