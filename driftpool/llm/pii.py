@@ -15,8 +15,10 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # what may be an identifier: a word between white space with a digit or an at sign
-    "word": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    # what may be an identifier: a word between white space with a digit or an at sign, plain or spelled in brackets
+    "word": r"(?<!\S)(?:[^\s0-9@(\[]|[(\[](?!at[)\]]))*+(?:[0-9@]|[(\[]at[)\]])\S*+",
+    # and digits in groups
+    "run": r"(?<![\w.+(-])[+(]{0,2}[0-9]++(?:[\x20().-]{1,2}[0-9]++)++",
 }
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"     # of what is all digits
 # what a discovered identifier of a kind has to look like
@@ -24,9 +26,11 @@ SHAPES = {
     "email": r"^[^\s@]+(?:@|\(at\)|\[at\])[^\s@]+$",
     "ip": r"^[0-9A-Fa-f]+(?:[.:][0-9A-Fa-f]*){2,7}$",
     "card": r"^(?:[0-9][ -]?){12,19}$",
-    "phone": r"^\+?\(?[0-9](?:[().-]*[0-9]){6,14}$",
+    "phone": r"^\+?\(?[0-9](?:[().-]*[0-9]|[ ().-]{1,2}[0-9]){6,14}$",
 }
 ROUNDS = 3
+MIN_DIGITS = 7      # of a run with spaces
+NEIGHBOURS = 4      # matches of a kind that a context may reach over
 MIN_SEEDS = 5
 CONFIDENCE = 0.8
 
@@ -43,15 +47,17 @@ def _occurrences(text, kind):
 
 def _records(kind):
     m, g = f"m_{kind}", f"g_{kind}"
+    before = ", ".join(f"right(get({g}, k - {i}), 48)" for i in range(NEIGHBOURS, -1, -1))
+    after = ", ".join(f"left(get({g}, k + {i}), 24)" for i in range(1, NEIGHBOURS + 2))
     return F.expr(f"""transform(sequence(0, size({m}) - 1), k -> named_struct(
         'kind', '{kind}', 'k', k, 'gap', length({g}[k]), 'value', {m}[k],
-        'left', right({g}[k], 48), 'right', left({g}[k + 1], 24)))""")
+        'left', right(concat_ws(' ', {before}), 48), 'right', left(concat_ws(' ', {after}), 24)))""")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Staged rows (row, id, mark, kind, start, end, value, left, right), one with null kind for every document.
 
-    Offsets are code points, end exclusive. A null text is empty.
+    Offsets are code points, end exclusive. A null text is empty. Contexts reach over matches of the same kind.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
@@ -94,31 +100,43 @@ def base(placed: DataFrame) -> DataFrame:
 
 
 def candidates(placed: DataFrame, found: DataFrame) -> DataFrame:
-    """Identifier-like words, bared of punctuation around them, that touch no base span of their document."""
-    words = placed.filter("kind = 'word'")
-    lead = F.length(F.regexp_extract("value", r"^[\"'(\[{<,;:=]*+", 0))
-    bare = F.regexp_extract("value", r"^[\"'(\[{<,;:=]*+(.*?)[\"')\]}>.,;:!?]*$", 1)
-    words = words.select("row", "id", "mark", "kind", (F.col("start") + lead).alias("start"), bare.alias("value"),
-                         "left", "right")
-    words = words.withColumn("end", F.col("start") + F.length("value")).filter(
-        (F.length("value").between(6, 64)))
-    both = words.select("row", "id", "mark", "kind", "start", "end", "value", "left", "right").unionAll(
+    """Identifier-like words, bared of punctuation around them, and runs of digit groups with spaces.
+
+    None touches a base span of its document; a word inside such a run is no candidate of its own.
+    """
+    rest = placed.filter("kind IN ('word', 'run')")
+    word = F.col("kind") == "word"
+    lead = F.when(word, F.length(F.regexp_extract("value", r"^[\"'(\[{<,;:=]*+", 0))).otherwise(0)
+    bare = F.when(word, F.regexp_extract("value", r"^[\"'(\[{<,;:=]*+(.*?)[\"')\]}>.,;:!?]*$", 1)).otherwise(F.col("value"))
+    rest = rest.select("row", "id", "mark", "kind", (F.col("start") + lead).alias("start"), bare.alias("value"),
+                       "left", "right")
+    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    rest = rest.withColumn("end", F.col("start") + F.length("value")).filter(F.length("value").between(6, 64)).filter(
+        word | ((F.instr("value", " ") > 0) & (digits >= MIN_DIGITS)))
+    both = rest.select("row", "id", "mark", "kind", "start", "end", "value", "left", "right").unionAll(
         found.select("row", "id", "mark", "kind", "start", "end", "value", "left", "right"))
-    order = Window.partitionBy("row").orderBy("start", "end", "kind")
-    is_base = F.col("kind") != "word"
-    ended = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    is_base = F.col("kind").isin(*KINDS)
+    ended = F.max(F.when(is_base, F.col("end"))).over(before)
     begins = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     both = both.withColumn("ended", ended).withColumn("begins", begins)
-    return both.filter("kind = 'word' AND coalesce(ended, 0) <= start AND coalesce(begins, end) >= end").drop(
-        "ended", "begins")
+    free = both.filter(~is_base).filter("coalesce(ended, 0) <= start AND coalesce(begins, end) >= end")
+    free = free.withColumn("ended", F.max(F.when(F.col("kind") == "run", F.col("end"))).over(before))
+    return free.filter("kind = 'run' OR coalesce(ended, 0) <= start").drop("ended", "begins").withColumn(
+        "kind", F.lit("word"))
 
 
 def _patterns(rows):
-    """One row for each lexical pattern around an occurrence: word before, two words before, words on both sides."""
-    left = F.split(F.lower(F.trim(F.regexp_replace("left", r"[\s\"'(\[{<]+", " "))), " ")
-    right = F.element_at(F.split(F.lower(F.trim(F.regexp_replace("right", r"[\s\"')\]}>.,;!?]+", " "))), " "), 1)
+    """One row for each lexical pattern around an occurrence: word before, two words before, words on both sides.
+
+    Words with a digit or an at sign are neighbouring identifiers and no part of a pattern.
+    """
+    lexical = lambda c: F.filter(c, lambda t: ~t.rlike("[0-9@]"))
+    left = lexical(F.split(F.lower(F.trim(F.regexp_replace("left", r"[\s\"'(\[{<]+", " "))), " "))
+    right = F.get(lexical(F.split(F.lower(F.trim(F.regexp_replace("right", r"[\s\"')\]}>.,;!?]+", " "))), " ")), F.lit(0))
     rows = rows.withColumn("l", left).withColumn("r", right)
-    one, two = F.element_at("l", -1), F.when(F.size("l") > 1, F.element_at("l", -2))
+    one, two = (F.get("l", F.size("l") - 1), F.get("l", F.size("l") - 2))
     shapes = F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two, F.lit(" "), one),
                      F.concat(F.lit("3 "), one, F.lit(" _ "), F.col("r")))
     return (rows.withColumn("pattern", F.explode(F.filter(shapes, lambda s: s.isNotNull())))

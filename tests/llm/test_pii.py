@@ -81,3 +81,38 @@ def test_redaction(spark):
     assert {(r.doc_id, r.text, r.n_chars) for r in got.collect()} == {
         (1, first, len(first)), (2, "nothing", 7), (3, None, None), (None, "<PHONE>", 7), (4, "n <CARD>, <PHONE>", 17)}
     assert got.count() == len(rows)
+
+
+def card(k):
+    digits = f"41111111{k:07d}"
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def test_shapes_that_no_base_pattern_has(spark):
+    """Every shape is found by its context: all planted ones (recall), and nothing that stands elsewhere (precision)."""
+    seeds = [f"please call desk +1 (555) 010-{1000 + i} today" for i in range(24)]
+    seeds += [f"write a mail to person{i}@example.com soon" for i in range(24)]
+    seeds += [f"paid with card {card(i)} online" for i in range(24)]
+    seeds += [f"open hosts 10.0.0.{i} 10.0.1.{i} 10.0.2.{i} again" for i in range(24)]
+    planted = [("please call desk {} today", "phone", v) for v in ("555 010 7777", "(555) 010 7777", "555.010.7778", "555-010-7779")]
+    planted += [("write a mail to {} soon", "email", v) for v in ("jane(at)example.com", "joe[at]example.org", "ann@intranet")]
+    planted += [("paid with card {} online", "card", v) for v in ("4111 1111 1111 1112", "4111-1111-1111-1113")]
+    planted += [("open hosts 10.9.9.1 {} again", "ip", "fe80::1:22"), ("open hosts fe80::7:1 10.9.9.3 {} again", "ip", "fe80::2:33")]
+    others = ["then 555 010 7777 is a part number", "a word like what(at)ever stands alone", "section 4111 1111 1111 1112 ends",
+              "the year 2001 2002 2003 was", "version 1:2:3 of it"]
+    texts = seeds + [t.format(v) for t, _, v in planted] + others
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.id, r.kind, texts[r.id][r.start:r.end]) for r in pii.spans(docs).filter("NOT is_base").collect()}
+    want = {(len(seeds) + i, kind, v) for i, (_, kind, v) in enumerate(planted)}
+    want.add((len(seeds) + len(planted) - 1, "ip", "fe80::7:1"))
+    assert got == want
+
+
+def test_words_in_runs_and_beside_base_spans(spark):
+    rows = [(1, "4111111111111 1112 22"), (2, "10.0.0.1 2001 555 010 7777"), (3, "x " * 300 + "(at)"), (4, "1 " * 5000), (5, "([" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = pii.occurrences(docs, "doc_id", "text")
+    texts = dict(rows)
+    got = sorted((r.id, r.value) for r in pii.candidates(placed, pii.base(placed)).collect())
+    assert all(r[1] in texts[r[0]] for r in got)
+    assert got == [(1, "4111111111111 1112 22")]
