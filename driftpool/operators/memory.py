@@ -4,6 +4,7 @@ All methods work on a handful of models; the rows they test on are at most one
 window.
 """
 
+from bisect import bisect_left
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -11,7 +12,7 @@ import numpy as np
 from driftpool.functions.linalg import r2_score
 
 
-@dataclass
+@dataclass(slots=True)
 class Model:
     coef: list
     intercept: float
@@ -25,6 +26,168 @@ class Model:
         return X @ np.asarray(self.coef) + self.intercept
 
 
+FEW = 8             # models that are tried one by one without a look at their moments
+
+
+class Index:
+    """What the rules ask of all models, kept up with every change, so that a change costs no search through the memory.
+
+    Places of runs count on when old runs are dropped.
+    """
+
+    def __init__(self, memory: "Memory", stable: int):
+        self.memory, self.stable = memory, stable
+        self.born, self.next = {}, 0            # order of arrival
+        self.half, self.listed = {}, []         # row of each model that may be tried again, and the model of each row
+        self.coef, self.bias = None, np.zeros(0)
+        self.replaced = set()
+        self.first, self.at, self.anchor = 0, {}, None      # place of the first run, runs of a model, last stable run but one
+        self.rows, self.into, self.zeros = {}, {}, set()    # counts of a row, models that lead to a model, counts gone to 0
+        self.loose = set(memory.models)         # models that may be beyond reach
+        for k in memory.models:
+            self.arrived(k)
+        for place, (k, _) in enumerate(memory.runs):
+            self.at.setdefault(k, []).append(place)
+            if place < len(memory.runs) - 1 and memory.models[k].used_for >= stable:
+                self.anchor = place
+        for a, row in memory.moves.items():
+            for b, n in row.items():
+                self.into.setdefault(b, set()).add(a)
+                if n == 0:
+                    self.zeros.add((a, b))
+
+    # -- models -----------------------------------------------------------
+
+    def arrived(self, k: str) -> None:
+        self.born[k] = self.next
+        self.next += 1
+        self.changed(k)
+
+    def changed(self, k: str) -> None:
+        m = self.memory.models[k]
+        (self.replaced.add if m.substituted else self.replaced.discard)(k)
+        fit = not m.local or (m.used_for >= self.stable / 2 and not m.substituted)
+        if fit and k not in self.half:
+            if self.coef is None:
+                self.coef, self.bias = np.zeros((FEW, len(m.coef))), np.zeros(FEW)
+            elif len(self.half) == len(self.bias):
+                self.coef = np.vstack([self.coef, np.zeros_like(self.coef)])
+                self.bias = np.append(self.bias, np.zeros_like(self.bias))
+            self.half[k] = len(self.listed)
+            self.coef[len(self.listed)], self.bias[len(self.listed)] = m.coef, m.intercept
+            self.listed.append(k)
+        elif not fit and k in self.half:
+            self._unlist(k)
+
+    def _unlist(self, k: str) -> None:
+        place, last = self.half.pop(k), self.listed.pop()
+        if last != k:
+            self.listed[place], self.half[last] = last, place
+            self.coef[place], self.bias[place] = self.coef[len(self.listed)], self.bias[len(self.listed)]
+
+    def gone(self, k: str) -> None:
+        if k in self.half:
+            self._unlist(k)
+        self.replaced.discard(k)
+        for held in (self.born, self.rows, self.into):
+            held.pop(k, None)
+
+    def in_order(self, ids) -> list:
+        return sorted(ids, key=self.born.__getitem__)
+
+    def candidates(self, X, y) -> list:
+        """The models to try, in order of arrival: those whose error by the moments of the rows may be the least.
+
+        The bound on rounding is far wider than the rounding, so the best of them is the best of all.
+        """
+        m = len(self.listed)
+        if m <= FEW:
+            return self.in_order(self.listed)
+        w, b = self.coef[:m], self.bias[:m]
+        mean_x, mean_y = X.mean(axis=0), y.mean()
+        xs, ys = X - mean_x, y - mean_y
+        a, c, spread = xs.T @ xs, xs.T @ ys, ys @ ys
+        shift = mean_y - w @ mean_x - b
+        left = spread - 2.0 * (w @ c) + ((w @ a) * w).sum(axis=1) + len(y) * shift * shift
+        size = np.abs(w)
+        wide = abs(mean_y) + size @ np.abs(mean_x) + np.abs(b)
+        doubt = 1e-11 * (spread + 2.0 * (size @ np.abs(c)) + ((size @ np.abs(a)) * size).sum(axis=1) + len(y) * wide * wide)
+        if y.min() == y.max():
+            # a constant label knows right and wrong only, and wrong ones are equal: the first goes for all
+            first = min(self.listed, key=self.born.__getitem__)
+            return self.in_order({first, *(self.listed[i] for i in np.flatnonzero(~(left > doubt)))})
+        return self.in_order(self.listed[i] for i in np.flatnonzero(~(left - doubt > np.nanmin(left + doubt))))
+
+    # -- runs -------------------------------------------------------------
+
+    def closed(self, k: str) -> None:
+        self.changed(k)
+        places = self.at[k]
+        if self.memory.models[k].used_for >= self.stable and len(places) > 1:
+            self.anchor = max(-1 if self.anchor is None else self.anchor, places[-2])
+
+    def started(self, k: str) -> None:
+        runs = self.memory.runs
+        place = self.first + len(runs) - 1
+        self.at.setdefault(k, []).append(place)
+        if len(runs) > 1 and self.memory.models[runs[-2][0]].used_for >= self.stable:
+            self.anchor = place - 1
+
+    def drop_runs(self) -> None:
+        """Leave the runs from the last stable one before the present run on."""
+        if self.anchor is None or self.anchor <= self.first:
+            return
+        runs, gone = self.memory.runs, self.anchor - self.first
+        for k in {k for k, _ in runs[:gone]}:
+            places = self.at[k]
+            del places[:bisect_left(places, self.anchor)]
+            if not places:
+                del self.at[k]
+                self.loose.add(k)
+        del runs[:gone]
+        self.first = self.anchor
+
+    # -- transitions ------------------------------------------------------
+
+    def row(self, a: str):
+        """Sum of the counts of a row, the greatest, and the models of each count."""
+        if a not in self.rows:
+            by = {}
+            row = self.memory.moves.get(a, {})
+            for b, n in row.items():
+                by.setdefault(n, {})[b] = None
+            self.rows[a] = [sum(row.values()), max(by, default=0), by]
+        return self.rows[a]
+
+    def counted(self, a: str, b: str, old: int | None, n: int) -> None:
+        if n > 0:
+            self.into.setdefault(b, set()).add(a)
+        else:
+            self.zeros.add((a, b))
+        if a in self.rows:
+            row = self.rows[a]
+            self._leave(row, b, old)
+            row[0] += n - (old or 0)
+            row[2].setdefault(n, {})[b] = None
+            row[1] = n if n > row[1] else row[1] if row[1] in row[2] else max(row[2])
+
+    @staticmethod
+    def _leave(row, b: str, n: int | None) -> None:
+        if n is not None:
+            del row[2][n][b]
+            if not row[2][n]:
+                del row[2][n]
+
+    def drop_zeros(self) -> None:
+        for a, b in self.zeros:
+            row = self.memory.moves.get(a)
+            if row is not None and row.get(b) == 0:
+                del row[b]
+                if a in self.rows:
+                    self._leave(self.rows[a], b, 0)
+        self.zeros.clear()
+
+
 @dataclass
 class Memory:
     """``runs`` lists ``[model, start]`` from the last run a walk back can reach."""
@@ -44,11 +207,20 @@ class Memory:
         return cls({k: Model(**m) for k, m in kept["models"].items()}, kept["moves"], kept["runs"],
                    kept["own"], kept["open"])
 
+    _index = None
+
+    def _indexed(self, stable: int) -> Index:
+        if self._index is None or self._index.stable != stable:
+            self._index = Index(self, stable)
+        return self._index
+
     # -- runs -------------------------------------------------------------
 
     def start(self, model_id: str, seq: int) -> None:
         self.runs.append([model_id, seq])
         self.open = True
+        if self._index:
+            self._index.started(model_id)
 
     def close(self, end: int):
         """End the open run: its length counts as use. Returns ``(model, start, length)``."""
@@ -56,6 +228,8 @@ class Memory:
         length = max(end - start, 0)
         self.models[model_id].used_for += length
         self.open = False
+        if self._index:
+            self._index.closed(model_id)
         return model_id, start, length
 
     def settle(self, length: int, stable: int) -> str:
@@ -64,15 +238,27 @@ class Memory:
         A run that was too short does not count: transitions into it are
         undone while walking back to the last model with enough use.
         """
-        last = self.runs[-1][0]
-        source = last
-        for prior, _ in reversed(self.runs[:-1]):
-            if length >= stable:
-                break
-            if self.moves.get(prior, {}).get(last, 0) > 0:
-                self.moves[prior][last] -= 1
-            source, length = prior, self.models[prior].used_for
-        return source
+        index = self._indexed(stable)
+        here, last = len(self.runs) - 1, self.runs[-1][0]
+        if length >= stable or not here:
+            return last
+        stop = 0 if index.anchor is None else index.anchor - index.first
+        leading = index.into.get(last, set())
+        if here - stop <= len(leading):
+            for prior, _ in self.runs[stop:here]:
+                self._undo(prior, last, 1)
+        else:
+            for prior in list(leading):
+                places = index.at.get(prior, [])
+                self._undo(prior, last, bisect_left(places, index.first + here) - bisect_left(places, index.first + stop))
+                if not self.moves.get(prior, {}).get(last, 0):
+                    leading.discard(prior)
+        return self.runs[stop][0]
+
+    def _undo(self, source: str, model_id: str, times: int) -> None:
+        n = self.moves.get(source, {}).get(model_id, 0)
+        if n > 0 and times:
+            self._count(source, model_id, max(n - times, 0))
 
     def forget(self, stable: int) -> None:
         """Drop what no later rule can reach, so state stays bounded.
@@ -80,19 +266,17 @@ class Memory:
         Walks back stop at a stable model; a model with less than half the
         stable use is never tried again once it is out of use.
         """
-        for i in range(len(self.runs) - 2, -1, -1):
-            if self.models[self.runs[i][0]].used_for >= stable:
-                del self.runs[:i]
-                break
-        kept = {m for m, _ in self.runs} | {str(self.own - 1)}
-        dead = [k for k, m in self.models.items() if k not in kept and m.local
-                and not m.substituted and m.used_for < stable / 2]
-        for k in dead:
-            del self.models[k]
-            self.moves.pop(k, None)
-        for row in self.moves.values():
-            for k in [k for k, n in row.items() if n == 0]:
-                del row[k]
+        index = self._indexed(stable)
+        index.drop_runs()
+        for k in index.loose:
+            m = self.models.get(k)
+            if (m and k not in index.at and k != str(self.own - 1) and m.local
+                    and not m.substituted and m.used_for < stable / 2):
+                del self.models[k]
+                self.moves.pop(k, None)
+                index.gone(k)
+        index.loose.clear()
+        index.drop_zeros()
 
     # -- transitions ------------------------------------------------------
 
@@ -100,19 +284,31 @@ class Memory:
         model = self.models[source]
         return model.sub_id if model.substituted else source
 
+    def _count(self, source: str, model_id: str, n: int) -> None:
+        row = self.moves.setdefault(source, {})
+        old, row[model_id] = row.get(model_id), n
+        if self._index:
+            self._index.counted(source, model_id, old, n)
+
     def learn(self, model: Model, source: str | None) -> str:
         model_id = str(self.own)
+        if self._index:
+            self._index.loose.add(str(self.own - 1))
         self.own += 1
         self.models[model_id] = model
         self.moves[model_id] = {}
+        if self._index:
+            self._index.arrived(model_id)
         if source is not None:
-            self.moves.setdefault(self._left(source), {})[model_id] = 1
+            self._count(self._left(source), model_id, 1)
         return model_id
 
     def repeat(self, model_id: str, source: str) -> None:
-        row = self.moves.setdefault(self._left(source), {})
-        row[model_id] = row.get(model_id, 0) + 1
+        left = self._left(source)
+        self._count(left, model_id, self.moves.get(left, {}).get(model_id, 0) + 1)
         self.models[model_id].substituted = False
+        if self._index:
+            self._index.changed(model_id)
 
     def substitute(self, old: str, new: str, model: Model | None = None) -> None:
         """Let ``new`` take over the transitions of ``old``."""
@@ -128,6 +324,7 @@ class Memory:
         self.moves = merged
         gone = self.models[old]
         gone.substituted, gone.sub_id, gone.used_for = True, new, 0
+        self._index = None
 
     # -- choice -----------------------------------------------------------
 
@@ -140,10 +337,6 @@ class Memory:
                 found = (k, value)
         return found
 
-    def half_stable(self, stable: int):
-        return [k for k, m in self.models.items()
-                if not m.local or (m.used_for >= stable / 2 and not m.substituted)]
-
     def choose(self, source: str, X, y, cfg):
         """Known model that fits the rows, or None if a new one must be learned.
 
@@ -151,16 +344,18 @@ class Memory:
         use, replaced models. The combined detector does not widen the search
         when there are likely successors, and never takes a negative R2.
         """
+        index = self._indexed(cfg.stable)
         careful = cfg.detector == "combined"
         floor = 0.0 if careful else None
-        row = self.moves.get(source, {})
-        total = sum(row.values())
+        total, top, by = index.row(source)
         if total == 0:
-            found = self.best(self.half_stable(cfg.stable), X, y, floor)
+            found = self.best(index.candidates(X, y), X, y, floor)
             return found[0] if found[1] >= cfg.acc else None
-        top = max(row.values())
-        likely = [k for k, n in row.items() if n == top and top / total >= cfg.prob
-                  and not (k in self.models and self.models[k].substituted)]
+        likely = []
+        if top / total >= cfg.prob:
+            likely = [k for k in by[top] if not (k in self.models and self.models[k].substituted)]
+            if len(likely) > 1:
+                likely = [k for k in self.moves[source] if k in set(likely)]
 
         def proven(ids):
             return [k for k in ids if k in self.models
@@ -170,12 +365,12 @@ class Memory:
         if likely:
             found = self.best(proven(likely), X, y, floor)
         if not likely or (found[1] < cfg.acc and not careful):
-            found = self.best(self.half_stable(cfg.stable), X, y, floor)
+            found = self.best(index.candidates(X, y), X, y, floor)
         if found[1] < cfg.acc:
-            replaced = proven([k for k, m in self.models.items() if m.substituted])
+            replaced = proven(index.in_order(index.replaced))
             if replaced:
                 found = self.best(replaced, X, y, floor)
         return found[0] if found[0] is not None and found[1] >= cfg.acc else None
 
     def reusable(self, X, y, cfg) -> bool:
-        return self.best(self.half_stable(cfg.stable), X, y, 0.0)[1] >= cfg.acc
+        return self.best(self._indexed(cfg.stable).candidates(X, y), X, y, 0.0)[1] >= cfg.acc
