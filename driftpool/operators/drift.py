@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftpool.plans.sequence import CHUNK_ROWS, chunk_window, next_over_chunks, with_halo
+from driftpool.plans.sequence import CHUNK_ROWS, chunk_window, next_over_chunks, tasks_for, with_halo
 
 
 def _parts(over):
@@ -23,7 +23,8 @@ def rolling_r2(rows: DataFrame, keys: list[str], window: int, chunk_rows: int =
     chunk and its halo, so one long stream is spread over many tasks.
     """
     spread = with_halo(rows, ahead=window - 1, chunk_rows=chunk_rows)
-    spread = spread.repartition(*keys, "chunk").withColumn("_block", F.floor(F.col("seq") / window))
+    tasks = tasks_for(rows.sparkSession, rows.count())
+    spread = spread.repartition(tasks, *keys, "chunk").withColumn("_block", F.floor(F.col("seq") / window))
     inside = Window.partitionBy(*keys, "chunk", "_block")
     running = (Window.unboundedPreceding, 0)
     parts = (spread.withColumn("_head", _parts(inside.orderBy("seq").rowsBetween(*running)))
