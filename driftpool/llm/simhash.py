@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHashes found through deletion-variant signatures, and exact Jaccard of shingles through prefixes."""
+"""Near-duplicates: SimHashes found through deletion-variant signatures, and links of exact Jaccard similarity behind them."""
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +168,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 PARITY = 8             # words of 64 bits in the parities of a set
 FINE = 128             # and in those of sets that are about to be compared
 SAMPLED, MOST_COMMON = 8192, 250_000   # texts and shingles in the estimate of what is frequent
-STARS, HEAVY = 4, 1 << 22              # rounds of cheap comparisons, and comparisons of a bucket worth another one
+STARS, LEADS, HEAVY = 2, 16, 1 << 12   # rounds of cheap comparisons, members they take, comparisons worth another one
+PRINT, RADIUS = 3, 3   # words of a shingle in the fingerprints of texts, and bits in which candidates may differ
 BLOCK = 1 << 12
 
 
@@ -213,6 +214,7 @@ def _few(batches, rows=256):
     # a worker holds the shingles of few texts at once, and nothing of other operators
     worker_store("simhash")
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
@@ -242,12 +244,13 @@ def _sketches(rows, kind, size, similarity, frequent):
         for batch in _few(batches):
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
             found = [sketch(s, similarity, *frequent) for s in sets]
+            prints = np.array([fingerprint(t, PRINT) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints.view(np.int64)),
                  *[pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in (0, 1)],
                  *[_lists([f[k] for f in found]) for k in (2, 3)]],
-                names=["id", "mark", "n", "x", "y", "parity", "prefix"])
-    return rows.mapInArrow(run, f"id {kind}, mark bigint, n bigint, x bigint, y bigint, parity array<bigint>, "
+                names=["id", "mark", "n", "fp", "x", "y", "parity", "prefix"])
+    return rows.mapInArrow(run, f"id {kind}, mark bigint, n bigint, fp bigint, x bigint, y bigint, parity array<bigint>, "
                                 "prefix array<bigint>")
 
 
@@ -265,6 +268,15 @@ def _sets(rows, size):
     return rows.mapInArrow(run, "node bigint, n bigint, fine array<bigint>, set array<bigint>")
 
 
+def _printed(prints):
+    """Pairs (a, node) of texts that connect all whose SimHashes differ in at most RADIUS bits."""
+    lead = measured(prints.groupBy("fp").agg(F.min("node").alias("a")))
+    same = prints.join(lead, "fp").filter("a != node").select("a", "node")
+    near = links(prints, RADIUS).select(F.col("a").alias("fp"), F.col("b").alias("other")).join(lead, "fp")
+    return same.unionAll(near.join(lead.select(F.col("fp").alias("other"), F.col("a").alias("node")), "other")
+                         .select("a", "node"))
+
+
 def _possible(similarity):
     """What the sizes and parities of sets a and b leave open; no pair of the similarity is turned away."""
     apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY)), F.lit(0))
@@ -282,11 +294,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows are told apart by id and ``mark``, a hash of the text; ``many`` counts repeated rows. Texts are linked if
     the Jaccard similarity of their distinct shingles, counted exactly, is at least ``similarity``; groups are the
-    components. Two such texts share a shingle of their prefixes, so the texts with one shingle in their prefix are
-    a bucket, and buckets of the same texts are one. Members are first compared with one of them, in heavy buckets
-    with a few; then, in every bucket of whatever size, each member outside the component that most are in is
-    compared with all of other components. No pair of one bucket is left that is neither compared nor in one
-    component. The smallest id of a group stands for it (null last); null and empty texts are one group.
+    components. First candidates are texts whose SimHashes differ in at most RADIUS bits. Links that SimHashes miss
+    are found by prefixes: two such texts share a shingle of their prefixes, so the texts with one shingle in their
+    prefix are a bucket, and buckets of the same texts are one. Members are first compared with one of them, in heavy
+    buckets with a few more, drawn from those outside the component that most are in; then, in every bucket of
+    whatever size, each member outside that component is compared with all of other components. No pair of one
+    bucket is left that is neither compared nor in one component. The smallest id of a group stands for it (null
+    last); null and empty texts are one group.
     """
     narrow(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
@@ -304,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = held(rows.groupBy("n", "x", "y").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("key"),
                                                  F.min("row").alias("node")))
     marked = rows.join(measured(texts.select("node")), F.col("row") == F.col("node")).select(
-        "node", "n", "parity", "prefix")
+        "node", "n", "fp", "parity", "prefix")
     keyed = marked.select("node", F.explode("prefix").alias("key"))
     shared = held(keyed.join(measured(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
                                       .select("key")), "key"))
@@ -335,14 +349,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         unstaged(near)
         return found
 
+    def possible(pairs):
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        return (pairs.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_possible(similarity))
+                .select("a", "b"))
+
     def starred(leads, rows):
         # every member beside the lead of its bucket
-        star = rows.join(leads.select("key", F.col("lead").alias("a")), "key").filter("a != node")
-        star = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        return (star.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_possible(similarity))
-                .select("a", "b"))
+        return rows.join(leads.select("key", F.col("lead").alias("a")), "key").filter("a != node").select("a", "node")
 
-    tried = held(starred(buckets, members))
+    prints = held(marked.select("node", "fp"))
+    tried = held(possible(starred(buckets, members).unionAll(_printed(prints))))
     linked = verified(tried)
     for turn in range(1, STARS + 1):
         root = connected_components(linked, "a", "b").select(F.col("node").alias("m"), "root")
@@ -355,9 +372,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn == STARS or heavy.isEmpty():
             break
         some = rooted.join(heavy.select("key", "main"), "key")
-        leads = some.filter("root != main").groupBy("key").agg(
-            F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("lead"))
-        fresh = held(starred(leads, some).join(tried, ["a", "b"], "left_anti"))
+        leads = some.filter("root != main").groupBy("key").agg(F.array_distinct(F.array(*[
+            F.min_by("node", F.xxhash64("node", F.lit(LEADS * turn + k))) for k in range(LEADS)])).alias("leads"))
+        leads = leads.select("key", F.explode("leads").alias("lead"))
+        fresh = held(possible(starred(leads, some)).join(tried, ["a", "b"], "left_anti"))
         tried, linked = tried.unionAll(fresh), linked.unionAll(verified(fresh))
     cuts = F.ceil(F.col("many") / BLOCK)
     apart = rooted.join(open_, "key").join(marked.select("node", "n", "parity"), "node")
