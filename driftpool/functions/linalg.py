@@ -210,6 +210,51 @@ def insensitive(X: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int
     return best[:-1], best[-1]
 
 
+def insensitive_many(X: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int = 5000):
+    """``insensitive`` of many equally long windows at once: (coefficients, intercepts) by window.
+
+    The rounds and the rule by which a window ends are its own; windows that have ended leave the block.
+    """
+    ones = np.concatenate([X, np.ones((*y.shape, 1))], axis=2)
+    penalty = np.eye(ones.shape[2])
+    penalty[-1, -1] = 1e-9
+    fitted = lambda ones, v: (ones @ v[..., None])[..., 0]
+
+    def loss(v, p, y):
+        outside = np.abs(y - p) - eps
+        return 0.5 * (v[:, :-1] * v[:, :-1]).sum(axis=1) + c * outside.clip(min=0.0).sum(axis=1)
+
+    across = ones.transpose(0, 2, 1)
+    v = np.linalg.solve(across @ ones * c + penalty, across @ y[..., None] * c)[..., 0]
+    p = fitted(ones, v)
+    best, best_loss = v.copy(), loss(v, p, y)
+    mark, still = best_loss.copy(), np.zeros(len(y), dtype=int)
+    at, done = np.arange(len(y)), np.empty_like(v)
+    for _ in range(rounds):
+        residual = y - p
+        outside = np.abs(residual) - eps
+        weight = np.where(outside > 0, c / np.maximum(outside, 1e-6), c * 1e-3)
+        aim = np.where(outside > 0, y - np.sign(residual) * eps, p)
+        weighted = ones.transpose(0, 2, 1) * weight[:, None, :]
+        v = np.linalg.solve(weighted @ ones + penalty, weighted @ aim[..., None])[..., 0]
+        p = fitted(ones, v)
+        now = loss(v, p, y)
+        better = now < best_loss
+        best[better], best_loss[better] = v[better], now[better]
+        still = np.where(best_loss > mark - 1e-7 * np.abs(mark), still + 1, 0)
+        mark = np.where(still == 0, best_loss, mark)
+        ended = still >= 30
+        if ended.any():
+            done[at[ended]] = best[ended]
+            ones, y, p, best, best_loss, mark, still, at = (
+                a[~ended] for a in (ones, y, p, best, best_loss, mark, still, at))
+            if not len(at):
+                break
+    if len(at):
+        raise ArithmeticError(f"reweighting has not converged in {rounds} rounds")
+    return done[:, :-1], done[:, -1]
+
+
 def r2_score(y: np.ndarray, p: np.ndarray) -> float:
     residual = float(((y - p) ** 2).sum())
     if y.min() == y.max():
@@ -383,6 +428,18 @@ LEARNERS = {
 }
 
 
+# settings of the learners that fit many windows at once
+INSENSITIVE = {"insensitive": (1.0, 0.01), "insensitive_following": (0.1, 0.02), "insensitive_heating": (5.0, 0.001)}
+
+
+def fit_windows(name: str, X: np.ndarray, y: np.ndarray):
+    """Fits of equally long windows under a learner's name: (coefficients, intercepts) by window."""
+    if name in INSENSITIVE:
+        return insensitive_many(X, y, *INSENSITIVE[name])
+    fits = [LEARNERS[name](x, t) for x, t in zip(X, y)]
+    return np.stack([w for w, _ in fits]), np.array([b for _, b in fits])
+
+
 REGISTERED = {}
 
 

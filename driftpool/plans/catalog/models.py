@@ -118,15 +118,29 @@ def insensitive_models(spark, folder):
     return window_fits(windows, ["domain", "block"], "insensitive")
 
 
+WINDOWS = 512      # windows that a group holds
+
+
 def window_fits(rows, keys, learner):
-    def one(pdf):
-        x = np.stack(pdf["features"].to_numpy())
-        w, b = linalg.LEARNERS[learner](x, pdf["y"].to_numpy())
-        out = pdf[keys].head(1).copy()
-        out["n"], out["coef"], out["intercept"] = len(pdf), [[float(v) for v in w]], float(b)
+    """One fit a window of ``keys``, the last of them its number; neighbouring windows are fitted together."""
+    *outer, block = keys
+
+    def many(pdf):
+        pdf = pdf.sort_values(block, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(pdf[block].to_numpy()) != 0))
+        out = pdf[keys].iloc[starts].copy()
+        out["n"] = np.diff(np.append(starts, len(pdf)))
+        x, y = np.stack(pdf["features"].to_numpy()), pdf["y"].to_numpy(dtype=float)
+        coef, intercept = np.empty((len(out), x.shape[1])), np.empty(len(out))
+        for n in out["n"].unique():
+            found = np.flatnonzero(out["n"] == n)
+            at = starts[found][:, None] + np.arange(n)
+            coef[found], intercept[found] = linalg.fit_windows(learner, x[at], y[at])
+        out["coef"], out["intercept"] = coef.tolist(), intercept
         return out
     types = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(one, f"{types}, n bigint, coef array<double>, intercept double")
+    return (rows.groupBy(*outer, F.floor(F.col(block) / WINDOWS).alias("_windows"))
+            .applyInPandas(many, f"{types}, n bigint, coef array<double>, intercept double"))
 
 
 @query("tree_accuracy")
