@@ -171,6 +171,7 @@ SAMPLED, MOST_COMMON = 8192, 250_000   # texts and shingles in the estimate of w
 STARS, LEADS, HEAVY = 2, 16, 1 << 12   # rounds of cheap comparisons, members they take, comparisons worth another one
 PRINT, RADIUS = 3, 3   # words of a shingle in the fingerprints of texts, and bits in which candidates may differ
 BLOCK = 1 << 12
+KNOWN = 64             # keys of a text that are looked through for the first shared bucket
 
 
 def _mixed(x):
@@ -288,6 +289,32 @@ def _side(rows, s, *keep):
     return rows.select(*keep, F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("parity").alias(f"p{s}"))
 
 
+def _led(members, leads):
+    """Pairs (a, node) of members with the leads of their buckets. Buckets of much the same members draw the same
+    leads: a member meets each of them once, not in every bucket."""
+    met = members.join(leads, "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
+    return met.select("node", F.explode("leads").alias("a")).filter("a != node")
+
+
+def _unmet(rooted, open_, marked, similarity):
+    """Pairs (a, b) that may be of the similarity, share an open bucket and lie in different components.
+
+    A bucket's members outside its main component are compared with all others, block by block. A pair is left to the
+    first bucket that both sides know to be shared (of the KNOWN least keys of a text), so it is made once.
+    """
+    cuts = F.ceil(F.col("many") / BLOCK)
+    known = rooted.join(open_.select("key"), "key").groupBy("node").agg(
+        F.slice(F.array_sort(F.collect_set("key")), 1, KNOWN).alias("keys"))
+    apart = rooted.join(open_, "key").join(marked.select("node", "n", "parity"), "node").join(known, "node")
+    odd = _side(apart.filter("root != main"), "a", "key", F.col("root").alias("ra"), F.col("keys").alias("ka"),
+                F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1)).alias("block"))
+    full = _side(apart, "b", "key", "main", F.col("root").alias("rb"), F.col("keys").alias("kb"),
+                 F.pmod(F.xxhash64("node"), cuts).alias("block"))
+    first = ~F.coalesce(F.array_min(F.array_intersect("ka", "kb")) < F.col("key"), F.lit(False))
+    return (odd.join(full, ["key", "block"]).filter(F.expr("ra != rb AND (a < b OR rb = main)") & _possible(similarity) & first)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                     similarity: float = SIMILARITY) -> DataFrame:
     """Staged (id, mark, first_id, first_mark, many): the document that stands for the group of each distinct row.
@@ -317,9 +344,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets are one text to this method: they need no pairs
     texts = held(rows.groupBy("n", "x", "y").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("key"),
                                                  F.min("row").alias("node")))
-    marked = rows.join(measured(texts.select("node")), F.col("row") == F.col("node")).select(
-        "node", "n", "fp", "parity", "prefix")
-    keyed = marked.select("node", F.explode("prefix").alias("key"))
+    own = measured(texts.select("node"))
+    marked = held(rows.join(own, F.col("row") == F.col("node")).select("node", "n", "fp", "parity"))
+    keyed = rows.join(own, F.col("row") == F.col("node")).select("node", F.explode("prefix").alias("key"))
     shared = held(keyed.join(measured(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
                                       .select("key")), "key"))
     buckets = (shared.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("lead"), *[
@@ -358,8 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # every member beside the lead of its bucket
         return rows.join(leads.select("key", F.col("lead").alias("a")), "key").filter("a != node").select("a", "node")
 
-    prints = held(marked.select("node", "fp"))
-    tried = held(possible(starred(buckets, members).unionAll(_printed(prints))))
+    tried = held(possible(starred(buckets, members).unionAll(_printed(marked.select("node", "fp")))))
     linked = verified(tried)
     for turn in range(1, STARS + 1):
         root = connected_components(linked, "a", "b").select(F.col("node").alias("m"), "root")
@@ -374,16 +400,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = rooted.join(heavy.select("key", "main"), "key")
         leads = some.filter("root != main").groupBy("key").agg(F.array_distinct(F.array(*[
             F.min_by("node", F.xxhash64("node", F.lit(LEADS * turn + k))) for k in range(LEADS)])).alias("leads"))
-        leads = leads.select("key", F.explode("leads").alias("lead"))
-        fresh = held(possible(starred(leads, some)).join(tried, ["a", "b"], "left_anti"))
+        fresh = held(possible(_led(some, leads)).join(tried, ["a", "b"], "left_anti"))
         tried, linked = tried.unionAll(fresh), linked.unionAll(verified(fresh))
-    cuts = F.ceil(F.col("many") / BLOCK)
-    apart = rooted.join(open_, "key").join(marked.select("node", "n", "parity"), "node")
-    odd = _side(apart.filter("root != main"), "a", "key", F.col("root").alias("ra"),
-                F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1)).alias("block"))
-    full = _side(apart, "b", "key", "main", F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), cuts).alias("block"))
-    rest = (odd.join(full, ["key", "block"]).filter("ra != rb AND (a < b OR rb = main)").filter(_possible(similarity))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rest = _unmet(rooted, open_, marked, similarity).distinct()
     rest = held(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         linked = linked.unionAll(verified(rest))
