@@ -106,7 +106,8 @@ def aligned(index: Index, slop: int = 0) -> DataFrame:
     else:
         wanted = wanted.withColumn("off", F.lit(0))
     wanted = wanted.withColumn("at", F.col("shift") + F.col("j") + F.col("off"))
-    lists = left.select(F.col("id").alias("i"), F.col("mark").alias("m"), "pos", "tid")
+    # postings take few bytes in files and many as rows: their size must not decide on a broadcast
+    lists = left.select(F.col("id").alias("i"), F.col("mark").alias("m"), "pos", "tid").hint("merge")
     return wanted.join(lists, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))
                        & (F.col("at") == F.col("pos")) & (F.col("want") == F.col("tid"))).select(
         "id", "mark", "item", "shift", "j", "pos").distinct()

@@ -91,7 +91,9 @@ def links(fps: DataFrame, radius: int = 3, hot_pairs: int = HOT_PAIRS) -> DataFr
         wild = own if wild is None else wild.unionAll(own)
     left = wild.filter(~F.col("set")).select("seg", "bit", "key", F.col("value").alias("v"), F.col("n").alias("nv"))
     right = wild.filter("set").select("seg", "bit", "key", F.col("value").alias("w"), F.col("n").alias("nw"))
-    near = left.join(right, ["seg", "bit", "key"]).select("seg", "v", "w", (F.col("nv") * F.col("nw")).alias("pairs"))
+    # Spark takes a table for as large as before it was exploded: without the hint it may broadcast all of this one
+    near = (left.join(right.hint("merge"), ["seg", "bit", "key"])
+            .select("seg", "v", "w", (F.col("nv") * F.col("nw")).alias("pairs")))
     same = buckets.filter("n > 1").select("seg", F.col("value").alias("v"), F.col("value").alias("w"),
                                           (F.col("n") * F.col("n")).alias("pairs"))
     met = staged(near.unionAll(same))

@@ -87,3 +87,14 @@ def test_proximity_over_the_whole_item(spark):
     index = decontaminate.build(docs, items)
     got = {(r.id, r.item_id): r.words for r in decontaminate.near(index).collect()}
     assert got == {(1, 1): 60, (2, 1): 59, (3, 2): 9, (3, 3): 9}
+
+
+def test_postings_are_not_broadcast(spark):
+    """Postings take few bytes in files: their estimate is below the limit long after their rows are not."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x a b c d y"), (3, "q")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
+    found = decontaminate.aligned(decontaminate.build(docs, items))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    last = plan[:plan.index("Join")].splitlines()[-1] + plan[plan.index("Join"):].splitlines()[0]
+    assert "SortMergeJoin" in last
+    assert sorted({r.id for r in found.collect()}) == [1, 2]

@@ -62,6 +62,16 @@ def test_links_keep_every_class(spark, hot):
     assert len({(a, b) for a, b in zip(mine, want)}) == len(set(mine)) == len(set(want))
 
 
+def test_exploded_segments_are_not_broadcast(spark, monkeypatch):
+    """The estimate of an exploded table is that of the table before: 32 rows for one are not to reach the driver."""
+    plans, plain_staged = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or plain_staged(df))
+    simhash.links(spark.createDataFrame([(i * 7919,) for i in range(500)], "fp long")).count()
+    joins = [p for p in plans if "Join" in p]
+    assert joins and not any("Broadcast" in p for p in joins)
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c", 1), (3, None, 2), (3, None, 2), (4, "", 3), (5, "x", 4), (6, "X", 5), (7, "y " * 40000, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
